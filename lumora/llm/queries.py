@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import simhash
+from lumora.llm import decontamination, packing, simhash, tokens
+from lumora.llm.shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,42 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids."""
+    found = packing.pack(_table(spark, sf_dir, "documents"), tokenizer=_vocabulary(), capacity=1024, with_ids=False)
+    return found.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"
+    )
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as Parquet lists and read back."""
+    path = new_path(spark, "tokens")
+    tokens.write(_table(spark, sf_dir, "documents"), path, tokenizer=_vocabulary())
+    return tokens.checked(tokens.read(spark, path))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside 10-word windows of benchmark items."""
+    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
+    )
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
+    "op7_tokens": op7_tokens,
+    "op8_decontamination": op8_decontamination,
+}
 
 ORACLE_SQL: dict[str, str] = {}
