@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, packing, simhash, tokens
+from lumora.llm import decontamination, packing, quality, sharding, simhash, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -19,6 +19,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document by a model of labels.quality outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -50,11 +59,54 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, equal payloads once, read back from the archives."""
+    path = new_path(spark, "warc")
+    warc.write(warc.resolve(_table(spark, sf_dir, "pages"), least_bytes=0), path)
+    return warc.restored(warc.read(spark, path))
+
+
+#: Bytes of text in a shard of op10_sharding.
+SHARD_BYTES = 2 << 20
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard, read back from the shards' files, and the shard's size in the directory."""
+    path = new_path(spark, "shards")
+    shards = sharding.write(_table(spark, sf_dir, "documents"), path, limit=SHARD_BYTES)
+    rows = spark.read.schema("doc_id long, text string, depth int, shard string").parquet(path)
+    rows = rows.select("doc_id", "shard", "depth", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    sizes = shards.select("shard", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"))
+    return rows.join(sizes, "shard").select("doc_id", "shard", "depth", "n_bytes", "shard_docs", "shard_bytes")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op7_tokens": op7_tokens,
     "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS m FROM p GROUP BY d)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(d, CAST((5 * i) // 4 + 1 AS INT), 2))::INT >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to
+        FROM p JOIN f USING (d)""",
+    "op10_sharding": f"""
+        WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+                          ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT AS h FROM documents),
+        v AS (SELECT doc_id, n_bytes, CAST(k AS INT) AS k, h >> CAST(48 - k AS BIGINT) AS p FROM d, range(0, 31) AS r(k)),
+        s AS (SELECT k, p, CAST(sum(n_bytes) AS BIGINT) AS b, count(*) AS n FROM v GROUP BY k, p),
+        l AS (SELECT doc_id, n_bytes, min(v.k) AS k FROM v JOIN s USING (k, p) WHERE b <= {SHARD_BYTES} OR n = 1 GROUP BY ALL)
+        SELECT doc_id, 's' || CASE WHEN l.k = 0 THEN '' ELSE lpad(bin(s.p), l.k, '0') END AS shard, l.k AS depth, l.n_bytes,
+               s.n AS shard_docs, s.b AS shard_bytes
+        FROM l JOIN v USING (doc_id, k) JOIN s USING (k, p)""",
+}
