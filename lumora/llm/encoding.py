@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +16,9 @@ KEPT = 300_000
 
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: A space before a sign that is surely no white space: pieces never reach across it.
-BREAK = regex.compile(r" (?=[!-~¡-ʯ])")
+#: White space (fixed value), and the runs between which no piece reaches: a word with its space, or white space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class _Memo(dict):
@@ -62,20 +65,18 @@ class Encoder:
 
         def merged(piece: str) -> bytes:
             mapped = piece.encode().decode("latin-1").translate(signs)
-            return np.array([x.id for x in model.tokenize(mapped)], dtype="<u4").tobytes()
+            return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
 
         self.pieces = _Memo(merged)
-        self.first = _Memo(lambda s: b"".join(map(self.pieces.__getitem__, PIECES.findall(s))))
-        self.words = _Memo(lambda s: b"".join(map(self.pieces.__getitem__, PIECES.findall(" " + s))))
+        self.runs = _Memo(lambda run: b"".join(map(self.pieces.__getitem__, PIECES.findall(run))))
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
-        head, *words = BREAK.split(text)
-        found = self.first[head] + b"".join(map(self.words.__getitem__, words))
-        for memo in (self.pieces, self.first, self.words):
-            memo.trim()
+        found = b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        self.pieces.trim()
+        self.runs.trim()
         return found
 
 

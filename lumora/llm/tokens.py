@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumora.llm.encoding import encoder
 from lumora.llm.shared import in_order, narrowed
 
+#: Files whose first places are broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 100_000
 SCHEMA = "doc_id long, part int, before long, n_tokens long, tokens array<int>"
 
 #: The format: row groups of 16 MB, so a reader takes few at a time; pages of at most 2,000 rows,
@@ -69,11 +71,13 @@ def write(
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, tokens of what write() wrote.
 
-    Only the columns that are asked for are read; `start` needs one number for each file.
+    Only the columns that are asked for are read; `start` needs one number for each file,
+    which are broadcast up to BROADCAST_ROWS files, so the ids are not shuffled.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     base = rows.groupBy("part").agg(F.sum("n_tokens").alias("own"))
     base = base.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
+    base = F.broadcast(base) if base.count() <= BROADCAST_ROWS else base
     return rows.join(base, "part").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "tokens"
     )
