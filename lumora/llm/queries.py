@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, packing, quality, sharding, simhash, tokens, warc
+from lumora.llm import decontamination, embeddings, packing, quality, sharding, simhash, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -42,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of at least 0.9."""
+    found = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as Parquet lists and read back."""
     path = new_path(spark, "tokens")
@@ -84,6 +90,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op6_embeddings": op6_embeddings,
     "op7_tokens": op7_tokens,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
