@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, embeddings, packing, quality, sharding, simhash, tokens, warc
+from lumora.llm import decontamination, embeddings, packing, quality, sharding, simhash, suffixes, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -19,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without bytes in strings of 200 bytes that occur again."""
+    found = suffixes.deduplicated(_table(spark, sf_dir, "documents"), length=200)
+    lengths = F.transform("spans", lambda x: x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("left", 256).alias("kept_sha256"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document by a model of labels.quality outside the held-out quarter."""
     docs = _table(spark, sf_dir, "documents")
@@ -88,6 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op6_embeddings": op6_embeddings,
