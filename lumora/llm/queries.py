@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, embeddings, packing, quality, sharding, simhash, suffixes, tokens, warc
+from lumora.llm import decontamination, embeddings, language_model, packing, quality, sharding, simhash, suffixes, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -52,6 +52,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean stupid-backoff log score of each document's words by bigrams of the whole corpus."""
+    found = language_model.score(_table(spark, sf_dir, "documents"), order=2, alpha=0.4, min_count=2)
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
+    return found.select("doc_id", "n_words", "n_backoff", mean.alias("mean_log_score"))
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings with a cosine of at least 0.9."""
     found = embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -101,6 +108,7 @@ QUERIES = {
     "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_language_model": op5_language_model,
     "op6_embeddings": op6_embeddings,
     "op7_tokens": op7_tokens,
     "op8_decontamination": op8_decontamination,
@@ -109,6 +117,21 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_language_model": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+        p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
+        u AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+        b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
+        t AS (SELECT count(*) AS n FROM w),
+        s AS (SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(uw.n) - ln(t.n) WHEN b.n >= 2 THEN ln(b.n) - ln(uv.n)
+                                    ELSE ln(uw.n) - ln(t.n) + ln(0.4) END AS s,
+                     CASE WHEN p.v IS NOT NULL AND b.n < 2 THEN 1 ELSE 0 END AS k
+              FROM p CROSS JOIN t JOIN u AS uw ON p.w = uw.w LEFT JOIN u AS uv ON p.v = uv.w LEFT JOIN b ON p.v = b.v AND p.w = b.w)
+        SELECT d.doc_id, CAST(count(s.s) AS BIGINT) AS n_words, CAST(coalesce(sum(s.k), 0) AS BIGINT) AS n_backoff,
+               round(sum(s.s) / count(s.s), 6) AS mean_log_score
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS m FROM p GROUP BY d)
