@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import in_order, narrowed
+from lumora.llm.shared import in_order, narrowed, written
 
 #: RFC 4648's base32 letters (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -64,7 +64,7 @@ def resolve(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     )
 
 
-def write(resolved: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000, compression: str = "none") -> None:
+def write(resolved: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000, compression: str = "gzip") -> None:
     """Write the rows of resolve() as WARC 1.1 files, each record with fresh headers.
 
     A response's block is an HTTP header and the payload; a revisit's has the header alone.
@@ -153,6 +153,7 @@ def restored(records: DataFrame) -> DataFrame:
         "record_id", "record_type", "page_id", "refers_to_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
     )
+    known = written(known, "warc-headers")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     responses = known.where("record_type = 'response'")
     originals = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(
