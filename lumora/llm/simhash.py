@@ -2,59 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lumora.llm.shared import binaries, components, in_order, narrowed, numbers, roots, runs, written
+from lumora.llm.suffixes import mixed
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one cell; larger buckets become cells of two parts.
 PART = 4096
 
 
-def simhash(text: bytes, shingle: int = 5, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included.
-
-    Words lie between ASCII white space, A-Z in lower case; a shorter text is one shingle,
-    a text without words has fingerprint 0. A bit is set if it is set in over half of the
-    shingles' XXH64.
-    """
+def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; a shorter text is one, one without words none."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined, n = b" ".join(words), len(words)
     if n <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)] * (n > 0), dtype=np.uint64)
     ends = np.fromiter(map(len, words), dtype=np.int64, count=n)
     ends = np.cumsum(ends + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     pieces = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in pieces], dtype=np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in pieces], dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """Each bit that is set in over half of the hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         octets = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
         ones += np.add.reduce(np.unpackbits(octets, axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def simhash(text: bytes, shingle: int = 5, seed: int = 42, n_words: int = 1) -> list[int]:
+    """The SimHash of a text's word shingles, repeats included, as n_words 64-bit numbers.
+
+    Words lie between ASCII white space, A-Z in lower case; a shorter text is one shingle,
+    a text without words has fingerprint 0. A bit is set if it is set in over half of the
+    shingles' XXH64, or of what is mixed from it for the numbers after the first.
+    """
+    hashes = _hashes(text, shingle, seed)
+    found = [_majority(hashes)]
+    for i in range(1, n_words):
+        found.append(_majority(mixed(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << BITS)))))
+    return [int(x) for x in found]
 
 
 def fingerprints(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, n_words: int = 1
 ) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each document; null text counts as empty."""
+    """doc_id, fp (the fingerprint as n_words signed longs) of each document; null text counts as empty."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = np.array([simhash(x, shingle, seed) for x in binaries(batch.column("text"))], dtype=np.uint64)
-            yield {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))}
+            found = [simhash(x, shingle, seed, n_words) for x in binaries(batch.column("text"))]
+            flat = pa.array(np.array(found, dtype=np.uint64).reshape(-1).view(np.int64))
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_words)
+            yield {"doc_id": batch.column("doc_id"), "fp": pa.ListArray.from_arrays(ends, flat)}
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(in_order(["doc_id", "fp"], body), "doc_id long, fp long")
+    return rows.mapInArrow(in_order(["doc_id", "fp"], body), "doc_id long, fp array<long>")
 
 
 def masks(distance: int, blocks: int) -> list[int]:
@@ -82,8 +97,24 @@ def blocks_for(n: int, distance: int) -> int:
     return 2 * distance if distance else 1
 
 
+def similar_blocks(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Bits of a block, blocks, and the most differing bits of 256, for pairs of a Jaccard similarity.
+
+    Such texts differ in a share p of the bits, the angle between their shingle counts. A
+    block is wide enough that random fingerprints meet few others, and there are enough of them
+    that a pair of just that similarity shares one with probability `recall`.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = next(w for w in (16, 32) if w == 32 or n < 1 << (w + 10))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width)), round(256 * (p + 0.02))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
 def _links(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the distinct fingerprints x that joins exactly what links of at most distance join.
+    """A forest over the distinct fingerprints x (one a row) that joins exactly what links of at most distance join.
 
     Stars around pivots first. Two stars that other links have not joined yet are compared
     member by member, without what the triangle inequality rules out.
@@ -92,10 +123,10 @@ def _links(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     star, pivots, far = np.full(n, -1), [], []
     for i in range(n):
         if star[i] < 0:
-            d = np.bitwise_count(x ^ x[i])
+            d = _apart(x, x[i])
             star[(d <= distance) & (star < 0)] = len(pivots)
             pivots.append(i)
-            far.append(d)
+            far.append(d.astype(np.int16))
     far, pivots = np.array(far), np.array(pivots)
     s, member = np.nonzero(far <= distance)
     a, b = [pivots[s]], [member]
@@ -107,64 +138,78 @@ def _links(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         left = np.flatnonzero((star == p) & (far[q] <= 2 * distance))
         right = np.flatnonzero((star == q) & (far[p] <= 2 * distance))
-        hit = np.argwhere(np.bitwise_count(x[left][:, None] ^ x[right][None, :]) <= distance)
+        hit = np.argwhere(_apart(x[left][:, None], x[right][None, :]) <= distance)
         if len(hit):
             a.append(left[hit[:1, 0]])
             b.append(right[hit[:1, 1]])
             of[of == of[q]] = of[p]
-    return np.concatenate(a), np.concatenate(b)
+    a, b = np.concatenate(a), np.concatenate(b)
+    keep = star[a] == star[b]  # of a pivot's links to another star's members one is enough
+    keep[np.unique(np.stack([a, star[b]]), axis=1, return_index=True)[1]] = True
+    return a[keep], b[keep]
 
 
-def links(fps: DataFrame, *, distance: int = 4, blocks: int | None = None, part: int = PART) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that join all of at most `distance` bits.
+def links(fps: DataFrame, keys: list[Column], *, distance: int, n_words: int = 1, part: int = PART) -> DataFrame:
+    """a, b: links between fingerprints (node, fp) that join all that share a key and differ in at most `distance` bits.
 
-    Each fingerprint goes to one bucket for each mask. Buckets of one are dropped by a join
-    with the counts; a bucket over `part` is cut into parts, and each two of them are one
-    cell, so no task holds a bucket whole. Within a cell only a forest is emitted, never
-    all pairs of a group.
+    The distance is that of the first n_words numbers of fp. Each fingerprint goes to one
+    bucket for each key. Buckets of one are dropped by a join with the counts; a bucket over
+    `part` is cut into parts, and each two of them are one cell, so no task holds a bucket
+    whole. Within a cell only a forest is emitted, never all pairs of a group.
     """
-    if blocks is None:
-        blocks = blocks_for(fps.count(), distance)
+    words = [f"w{i}" for i in range(n_words)]
     keyed = fps.select(
-        "fp",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).cast("long").alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
-            for i, m in enumerate(masks(distance, blocks))
-        ])).alias("key"),
-    ).select("key.block", "key.bits", "fp")
+        "node", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)],
+        F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("block"), k.alias("bits")) for i, k in enumerate(keys)])).alias("key"),
+    ).select("key.block", "key.bits", "node", *words)
     counts = keyed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part)
     cells = (
         keyed.join(counts, ["block", "bits"])
-        .withColumn("own", F.pmod(F.xxhash64("fp"), parts))
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("block", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        .select("block", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *words)
     )
     key = ["block", "bits", "i", "j"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table, starts in runs(batches, key):
-            x = numbers(table.column("fp").combine_chunks()).view(np.uint64)
+            node = numbers(table.column("node").combine_chunks())
+            x = np.stack([numbers(table.column(w).combine_chunks()).view(np.uint64) for w in words], axis=1)
             sizes = np.diff(np.append(starts, len(x)))
-            a, b = [], []
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             small = np.repeat(np.where(sizes <= 32, np.arange(len(sizes)), -1), sizes)
             for step in range(1, int(min(32, sizes.max()))):
-                i = np.flatnonzero((small[step:] == small[:-step]) & (small[step:] >= 0) & (np.bitwise_count(x[step:] ^ x[:-step]) <= distance))
-                a.append(x[i])
-                b.append(x[i + step])
+                i = np.flatnonzero((small[step:] == small[:-step]) & (small[step:] >= 0))
+                i = i[_apart(x[i], x[i + step]) <= distance]
+                a.append(node[i])
+                b.append(node[i + step])
             for k in np.flatnonzero(sizes > 32):
-                own = x[starts[k] : starts[k] + sizes[k]]
-                p, q = _links(own, distance)
-                a.append(own[p])
-                b.append(own[q])
-            a, b = (np.concatenate([np.zeros(0, np.uint64), *v]) for v in (a, b))
+                at = slice(starts[k], starts[k] + sizes[k])
+                p, q = _links(x[at], distance)
+                a.append(node[at][p])
+                b.append(node[at][q])
+            a, b = np.concatenate(a), np.concatenate(b)
             keep = a != b
-            yield {"a": pa.array(a[keep].view(np.int64)), "b": pa.array(b[keep].view(np.int64))}
+            yield {"a": pa.array(a[keep]), "b": pa.array(b[keep])}
 
     found = cells.repartition(*key).sortWithinPartitions(*key)
     return found.mapInArrow(in_order(["a", "b"], body), "a long, b long")
 
 
+def _grouped(fps: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fp, component_id of fingerprints, with the links that found() gives for the distinct ones."""
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    least = written(least, "distinct-fingerprints")
+    reached = components(found(least.select("node", "fp")))
+    joined = written(
+        least.join(reached, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")), "components"
+    )
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = joined.join(ids, "component").select("fp", "component_id")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -183,15 +228,38 @@ def near_duplicates(
     An empty table gives none.
     """
     fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = links(least.select("fp"), distance=distance, blocks=blocks)
-    # the graph is over fingerprints; the smallest doc_id of each of its components follows
-    joined = written(
-        least.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "least", F.coalesce("component", "fp").alias("component")
-        ),
-        "components",
-    )
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(ids, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+    def found(distinct: DataFrame) -> DataFrame:
+        chosen = masks(distance, blocks or blocks_for(distinct.count(), distance))
+        return links(distinct, [F.col("fp")[0].bitwiseAND(F.lit(m)) for m in chosen], distance=distance)
+
+    return _grouped(fps, found).withColumn("fp", F.col("fp")[0])
+
+
+def similar(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    seed: int = 42,
+    similarity: float = 0.8,
+    recall: float = 0.95,
+) -> DataFrame:
+    """doc_id, component_id of every row, linked if the word shingles have a Jaccard similarity of about `similarity`.
+
+    Texts that alike differ in too many of 64 bits for whole blocks to agree for certain, so
+    fingerprints are wider: pairs of just that similarity share one of their blocks with
+    probability `recall` (more similar ones nearly always), and are verified by the Hamming
+    distance of 256 bits. Nulls, repeats and ties are as in near_duplicates().
+    """
+    n = docs.count()
+    width, blocks, distance = similar_blocks(n, similarity, recall)
+    each = BITS // width
+    n_words = max(4, -(-blocks // each))
+    fps = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, n_words=n_words)
+    keys = [
+        F.shiftrightunsigned(F.col("fp")[k // each], width * (k % each)).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)
+    ]
+    found = _grouped(written(fps, "fingerprints"), lambda distinct: links(distinct, keys, distance=distance, n_words=4))
+    return found.select("doc_id", "component_id")
