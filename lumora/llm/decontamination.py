@@ -43,7 +43,8 @@ _built: dict[str, ahocorasick.Automaton] = {}
 
 def _automaton(key: str, windows: list[tuple[str, int, list[int]]]) -> ahocorasick.Automaton:
     if key not in _built:
-        _built.clear()
+        if len(_built) >= 8:
+            _built.clear()
         made = ahocorasick.Automaton()
         for pattern, n, items in windows:
             made.add_word(pattern, (n, items))
@@ -52,6 +53,17 @@ def _automaton(key: str, windows: list[tuple[str, int, list[int]]]) -> ahocorasi
     return _built[key]
 
 
+def _grouped(items: DataFrame, item_id_col: str, item_text_col: str, window: int, group_bytes: int) -> Iterator[list[tuple]]:
+    """The windows of groups of items, each group of about group_bytes bytes at most."""
+    bench = narrowed(items, item_id=item_id_col, text=item_text_col).where("item_id is not null and text is not null")
+    bench = bench.select(F.col("item_id").cast("long"), F.encode("text", "utf-8").alias("text"))
+    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = -(-size // group_bytes) or 1
+    for group in range(groups):
+        own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == group)
+        yield patterns([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
+
+
 def find(
     docs: DataFrame,
     items: DataFrame,
@@ -71,64 +83,89 @@ def find(
     original bytes. Null or empty texts have no words; items with null id or no words
     have no windows; repeated items count once; repeated documents get a row each.
     """
-    spark = docs.sparkSession
-    bench = narrowed(items, item_id=item_id_col, text=item_text_col).where("item_id is not null and text is not null")
-    bench = bench.select(F.col("item_id").cast("long"), F.encode("text", "utf-8").alias("text"))
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = -(-size // group_bytes) or 1
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("long"), F.encode("text", "utf-8").alias("text"),
-        F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"),
-        F.array().cast("array<long>").alias("items"),
+        F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"),
     )
-    for group in range(groups):
-        own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == group)
-        windows = spark.sparkContext.broadcast(patterns([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window))
+    names = ["doc_id", "text", "hits", "items"]
+    for group in _grouped(items, item_id_col, item_text_col, window, group_bytes):
+        windows = docs.sparkSession.sparkContext.broadcast(group)
 
-        def body(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[dict]:
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[dict]:
             made = _automaton(key, windows.value) if windows.value else None
             for batch in batches:
-                n_words, hits, found = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for i, text in enumerate(binaries(batch.column("text"))):
+                hits, found = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+                for i, text in enumerate(binaries(batch.column("text")) if made else ()):
                     own = words(text)
-                    n_words.append(len(own))
-                    line = (b" " + b" ".join(own) + b" ").decode("latin-1")
-                    got = list(made.iter(line)) if made and own else []
+                    got = list(made.iter((b" " + b" ".join(own) + b" ").decode("latin-1"))) if own else []
                     if got:
                         ends = np.cumsum([len(x) + 1 for x in own])
-                        last = np.searchsorted(ends, [x for x, _ in got])
-                        hits[i] = hits[i] + [v for k, (_, (n, _)) in zip(last.tolist(), got, strict=True) for v in (k - n + 1, k + 1)]
+                        last = np.searchsorted(ends, [x for x, _ in got]).tolist()
+                        hits[i] = hits[i] + [v for k, (_, (n, _)) in zip(last, got, strict=True) for v in (k - n + 1, k + 1)]
                         found[i] = sorted({*found[i], *(x for _, (_, of) in got for x in of)})
                 yield {
-                    "doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": pa.array(n_words, pa.int64()),
+                    "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                     "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.int64())),
                 }
 
-        if group < groups - 1:
-            rows = rows.mapInArrow(in_order(["doc_id", "text", "n_words", "hits", "items"], body), rows.schema)
+        rows = rows.mapInArrow(in_order(names, scan), "doc_id long, text binary, hits array<int>, items array<long>")
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for columns in body(batches):
-            n_hit, spans = [], []
-            for text, hits in zip(binaries(columns["text"]), columns["hits"].to_pylist(), strict=True):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            n_words, n_hit, spans = [], [], []
+            for text, hits in zip(binaries(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
                 if not hits:
+                    n_words.append(len(words(text)))
                     n_hit.append(0)
                     spans.append([])
                     continue
-                inside = np.frombuffer(text.translate(FOLD), dtype=np.uint8) != 32
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-                starts, ends = edge[::2], edge[1::2]
+                starts, ends = _runs(np.frombuffer(text.translate(FOLD), dtype=np.uint8) != 32)
                 level = np.zeros(len(starts) + 1, dtype=np.int64)
                 np.add.at(level, hits[::2], 1)
                 np.add.at(level, hits[1::2], -1)
                 hit = np.cumsum(level)[:-1] > 0
+                n_words.append(len(starts))
                 n_hit.append(int(hit.sum()))
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                spans.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield {"doc_id": columns["doc_id"], "n_words": columns["n_words"], "n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(spans, span), "items": columns["items"]}
+                spans.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(*_runs(hit), strict=True)])
+            yield {
+                "doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
+                "spans": pa.array(spans, span), "items": batch.column("items"),
+            }
 
     return rows.mapInArrow(
-        in_order(["doc_id", "n_words", "n_hit", "spans", "items"], final),
+        in_order(["doc_id", "n_words", "n_hit", "spans", "items"], merge),
         "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>",
     )
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def kept(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    for group in _grouped(items, item_id_col, item_text_col, window, group_bytes):
+        windows = docs.sparkSession.sparkContext.broadcast(group)
+
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            made = _automaton(key, windows.value) if windows.value else None
+            for batch in batches:
+                if made:
+                    lines = ((b" " + b" ".join(words(x)) + b" ").decode("latin-1") for x in binaries(batch.column(text_col)))
+                    batch = batch.filter(pa.array([next(made.iter(x), None) is None for x in lines], pa.bool_()))
+                yield batch
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

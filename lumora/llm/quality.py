@@ -141,3 +141,15 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(in_order(["doc_id", "score"], body), "doc_id long, score double")
+
+
+def kept(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose text scores at least `threshold`, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [held.value.score(x) >= threshold for x in binaries(batch.column(text_col))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(body, docs.schema)

@@ -119,8 +119,9 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (null: empty), uid: a hash of both, so that only equal rows share it."""
-    rows = narrowed(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text (null: empty), uid: a hash of both, so that only equal rows share it; rest: the other columns."""
+    rest = F.struct(F.lit(True).alias("own"), *[docs[x] for x in docs.columns if x not in (id_col, text_col)])
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), rest.alias("rest"))
     return rows.withColumn("uid", F.xxhash64(F.col("doc_id").cast("string"), F.lit("\0"), "text"))
 
 
@@ -283,7 +284,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, left (the bytes that stay), n_bytes, spans (start, end of each removed run).
+    """doc_id, left (the bytes that stay), n_bytes, spans (start, end of each removed run), rest (other columns).
 
     Removed is each byte that a string of `length` bytes covers which starts anywhere else
     too, in the same document or another; all copies go, judged on the input. Null texts
@@ -307,10 +308,27 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
                 left.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 cuts.append([{"start": a, "end": b} for a, b in runs_])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield {"doc_id": batch.column("doc_id"), "left": pa.array(left, pa.binary()), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "spans": pa.array(cuts, span)}
+            yield {"doc_id": batch.column("doc_id"), "rest": batch.column("rest"), "left": pa.array(left, pa.binary()), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "spans": pa.array(cuts, span)}
 
-    kind = docs.schema[options.get("id_col", "doc_id")].dataType.simpleString()
+    kinds = {x: rows.schema[x].dataType.simpleString() for x in ("doc_id", "rest")}
     return rows.join(found, "uid", "left").mapInArrow(
-        in_order(["doc_id", "left", "n_bytes", "spans"], body),
-        f"doc_id {kind}, left binary, n_bytes long, spans array<struct<start: long, end: long>>",
+        in_order(["doc_id", "rest", "left", "n_bytes", "spans"], body),
+        f"doc_id {kinds['doc_id']}, rest {kinds['rest']}, left binary, n_bytes long, spans array<struct<start: long, end: long>>",
     )
+
+
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs with the text that deduplicated() leaves; a letter that a cut parts goes whole."""
+    found = deduplicated(docs, id_col=id_col, text_col=text_col, **options)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in binaries(batch.column("left"))]
+            yield {"doc_id": batch.column("doc_id"), "rest": batch.column("rest"), "text": pa.array(texts, pa.string())}
+
+    kinds = {x: found.schema[x].dataType.simpleString() for x in ("doc_id", "rest")}
+    texts = found.select("doc_id", "rest", "left").mapInArrow(
+        in_order(["doc_id", "rest", "text"], body), f"doc_id {kinds['doc_id']}, rest {kinds['rest']}, text string"
+    )
+    given = {id_col: F.col("doc_id"), text_col: F.col("text")}
+    return texts.select(*[given.get(x, F.col("rest").getField(x)).alias(x) for x in docs.columns])
