@@ -11,14 +11,16 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Remembered pieces for each generation of a memo; two generations are held.
-KEPT = 300_000
+#: Remembered keys for each generation of a memo; two generations are held.
+KEPT = 400_000
 
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: White space (fixed value), and the runs between which no piece reaches: a word with its space, or white space.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: White space other than single blanks and line ends between words: such texts are split by RUNS.
+ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 
 
 class _Memo(dict):
@@ -62,19 +64,34 @@ class Encoder:
         rest = [x for x in range(256) if x not in plain]
         signs = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
         model = self.tokenizer.model
+        model._resize_cache(0)  # the memos below serve for it
 
         def merged(piece: str) -> bytes:
             mapped = piece.encode().decode("latin-1").translate(signs)
             return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
 
         self.pieces = _Memo(merged)
-        self.runs = _Memo(lambda run: b"".join(map(self.pieces.__getitem__, PIECES.findall(run))))
+
+        def split(run: str) -> bytes:
+            if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
+                return merged(run)  # one piece
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
+
+        self.runs = _Memo(split)
+        # a word after a blank; a line end stands before its word and takes no blank
+        self.words = _Memo(lambda word: self.pieces["\n"] + split(word[1:]) if word[0] == "\n" else split(" " + word))
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
-        found = b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        plain = text and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and not ODD.search(text)
+        if plain and not (text[0] in " \n" or text[-1] in " \n"):
+            first, *words = text.replace("\n", " \n").split(" ")
+            found = self.runs[first] + b"".join(map(self.words.__getitem__, words))
+        else:
+            found = b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        self.words.trim()
         self.pieces.trim()
         self.runs.trim()
         return found

@@ -27,7 +27,7 @@ FORMAT = {
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
     "parquet.writer.version": "PARQUET_2_0",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
