@@ -15,7 +15,7 @@ from lumora.llm.shared import binaries, in_order, narrowed, new_path, numbers, r
 #: Bytes of a suffix's own prefix, by whose fingerprint a suffix array is ordered.
 PREFIX = 40
 #: Bytes of texts that are sampled at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
