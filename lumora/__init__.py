@@ -1,0 +1 @@
+"""Semantic and relational analytics over DataFrames, and operators for training data."""
