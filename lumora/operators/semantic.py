@@ -18,8 +18,14 @@ def sem_filter(df: DataFrame, condition: str, judge: Judge, *, columns: list[str
     return asked.where(F.col("_reply") == "true").select(df.columns)
 
 
-def _schema(fields: list[Field]) -> str:
-    return ", ".join(f"`{f.name}` {f.type}" for f in fields)
+def _nested(kind: str) -> bool:
+    return kind.lower().startswith(("array", "map", "struct"))
+
+
+def _given(fields: list[Field]) -> dict[str, Column]:
+    """The fields of a reply: plain types are cast from whatever JSON holds, null where that fails."""
+    reply = F.from_json("_reply", ", ".join(f"`{f.name}` {f.type if _nested(f.type) else 'string'}" for f in fields))
+    return {f.name: reply.getField(f.name) if _nested(f.type) else reply.getField(f.name).try_cast(f.type) for f in fields}
 
 
 def _task(task: str, fields: list[Field]) -> str:
@@ -36,8 +42,7 @@ def sem_map(df: DataFrame, fields: list[Field], judge: Judge, *, columns: list[s
     known = {f.name: native[f.name].try_cast(f.type) for f in fields if native[f.name] is not None}
     if open_:
         asked = judge.ask(df, _task("Compute the fields of the record as a JSON object.", open_), columns or df.columns, parse_json)
-        given = F.from_json("_reply", _schema(open_))
-        df = asked.withColumns({f.name: given.getField(f.name) for f in open_}).select(
+        df = asked.withColumns(_given(open_)).select(
             *[c for c in df.columns if c not in {f.name for f in open_}], *[f.name for f in open_]
         )
     return df.withColumns(known) if known else df
@@ -95,16 +100,16 @@ def _reduced(df: DataFrame, keys: list[str], task: str, fields: list[Field], jud
     record = F.to_json(F.struct(*[c for c in df.columns if c not in keys])) if len(df.columns) > len(keys) else F.lit("{}")
     rows = df.select(*keys, record.alias("record"))
     while True:
-        sized = rows.groupBy(*keys).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("_packs"))
+        own = {k: f"_{i}" for i, k in enumerate(keys)}
+        sized = rows.groupBy(*[F.col(k).alias(v) for k, v in own.items()]).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("_packs"))
         most = sized.agg(F.max("_packs")).first()[0] or 1
-        packed = rows.join(sized, [rows[k].eqNullSafe(sized[k]) for k in keys]) if keys else rows.join(F.broadcast(sized))
-        packed = packed.select(*[rows[k] for k in keys], "record", F.pmod(F.xxhash64("record"), "_packs").alias("_pack"))
+        packed = rows.join(sized, [F.col(k).eqNullSafe(F.col(v)) for k, v in own.items()]) if keys else rows.join(F.broadcast(sized))
+        packed = packed.select(*keys, "record", F.pmod(F.xxhash64("record"), "_packs").alias("_pack"))
         packs = packed.groupBy(*keys, "_pack").agg(F.to_json(F.array_sort(F.collect_list("record"))).alias("records"))
         asked = judge.ask(packs, _task(task, fields), ["records"], parse_json)
-        rows = asked.select(*keys, F.col("_reply").alias("record"))
         if most <= 1:
-            given = F.from_json("record", _schema(fields))
-            return rows.select(*keys, *[given.getField(f.name).alias(f.name) for f in fields])
+            return asked.withColumns(_given(fields)).select(*keys, *[f.name for f in fields])
+        rows, budget = asked.select(*keys, F.col("_reply").alias("record")), 2 * budget  # so the rounds end
 
 
 def sem_aggregate(df: DataFrame, task: str, fields: list[Field], judge: Judge, *, budget: int = 8000) -> DataFrame:

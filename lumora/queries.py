@@ -298,7 +298,7 @@ def outer_join_nonnull(spark, sf_dir):
     return c.join(s, "nationkey", "outer").join(n, "nationkey", "outer").select("nationkey", sides.alias("sides")).where("sides >= 2")
 
 
-@query("""SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders
+@query("""SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(DISTINCT o_orderkey) AS n_orders
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
           JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'R' GROUP BY 1, 2""")
 def multiway_join(spark, sf_dir):
@@ -309,7 +309,7 @@ def multiway_join(spark, sf_dir):
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
     return rows.groupBy("r_name", "n_name").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders")
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), F.countDistinct("o_orderkey").alias("n_orders")
     )
 
 
@@ -318,10 +318,10 @@ def argmax_by_group(spark, sf_dir):
     return relational.argmax(Tables(spark, sf_dir).orders, ["o_custkey"], "o_totalprice", "o_orderkey", "best")
 
 
-@query("SELECT p_partkey, split_part(p_type, ' ', 2) AS finish, TRY_CAST(split_part(p_brand, '#', 2) AS BIGINT) AS brand_no FROM part")
+@query("SELECT p_partkey, split_part(p_name, ' ', 2) AS noun, TRY_CAST(split_part(p_brand, '#', 2) AS BIGINT) AS brand_no FROM part")
 def split_part_cast(spark, sf_dir):
     return Tables(spark, sf_dir).part.select(
-        "p_partkey", F.split_part("p_type", F.lit(" "), F.lit(2)).alias("finish"), F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("bigint").alias("brand_no")
+        "p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"), F.split_part("p_brand", F.lit("#"), F.lit(2)).try_cast("bigint").alias("brand_no")
     )
 
 
@@ -347,10 +347,10 @@ def json_facts(spark, sf_dir):
     return docs.select("doc_id", F.to_json(F.struct(F.lower("lang").alias("lang"), "source")).alias("facts"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), ['BRASS'])")
+@query("SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), ['ring'])")
 def list_containment(spark, sf_dir):
-    kinds = F.split("p_type", " ")
-    return Tables(spark, sf_dir).part.where(F.size(F.array_except(F.array(F.lit("BRASS")), kinds)) == 0).select("p_partkey")
+    words = F.split("p_name", " ")
+    return Tables(spark, sf_dir).part.where(F.size(F.array_except(F.array(F.lit("ring")), words)) == 0).select("p_partkey")
 
 
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders")
