@@ -255,7 +255,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     def ranges(uid: np.ndarray, start: np.ndarray) -> dict:
         """Runs of strings that follow one another, sorted by uid and start."""
         new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)))) if len(uid) else np.zeros(0, int)
-        last = np.append(new[1:], len(uid)) - 1
+        last = np.append(new[1:], len(uid))[: len(new)] - 1
         return {"uid": pa.array(uid[new]), "a": pa.array(start[new].astype(np.int32)), "b": pa.array((start[last] + length).astype(np.int32))}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
