@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def choose_pivots(classes: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> np.ndarray:
     """Reference points from a sample of at most `sample` distinct vectors, by the order of their hash.
 
-    Taken greedily so that no two have a cosine of ALIKE or more: a group of near copies gives one.
+    Taken greedily so that no two have a cosine of ALIKE or more: a group of near copies gives
+    one. If the sample holds several lengths, the most frequent one counts.
     """
-    rows = classes.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").collect()
-    chosen = np.zeros((0, len(rows[0][0]) if rows else 0))
-    for x in _unit(np.array([r[0] for r in rows], dtype=np.float64)) if rows else ():
+    rows = [r[0] for r in classes.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").collect()]
+    width = Counter(map(len, rows)).most_common(1)[0][0] if rows else 0
+    chosen = np.zeros((0, width))
+    for x in _unit(np.array([r for r in rows if len(r) == width], dtype=np.float64)) if rows else ():
         if len(chosen) < pivots and not (chosen @ x >= ALIKE).any():
             chosen = np.vstack([chosen, x])
     return chosen

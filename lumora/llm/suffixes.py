@@ -119,8 +119,9 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (null: empty), uid: a hash of both, so that only equal rows share it; rest: the other columns."""
-    rest = F.struct(F.lit(True).alias("own"), *[docs[x] for x in docs.columns if x not in (id_col, text_col)])
+    """doc_id, text (null: empty), uid: a hash of both, so that only equal rows share it; rest: the other columns by place."""
+    others = [docs[x].alias(f"c{i}") for i, x in enumerate(docs.columns) if x not in (id_col, text_col)]
+    rest = F.struct(F.lit(True).alias("row"), *others)
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), rest.alias("rest"))
     return rows.withColumn("uid", F.xxhash64(F.col("doc_id").cast("string"), F.lit("\0"), "text"))
 
@@ -331,4 +332,4 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         in_order(["doc_id", "rest", "text"], body), f"doc_id {kinds['doc_id']}, rest {kinds['rest']}, text string"
     )
     given = {id_col: F.col("doc_id"), text_col: F.col("text")}
-    return texts.select(*[given.get(x, F.col("rest").getField(x)).alias(x) for x in docs.columns])
+    return texts.select(*[(given[x] if x in given else F.col("rest").getField(f"c{i}")).alias(x) for i, x in enumerate(docs.columns)])
