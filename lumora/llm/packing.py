@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumora.llm.encoding import encoder
 from lumora.llm.shared import in_order, narrowed, written
 
-PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part long, nth long"
+PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
 
 
 def cuts(n: int, capacity: int = 1024, grain: int = 16) -> list[int]:
@@ -41,9 +41,8 @@ def pieces(
     capacity: int = 1024,
     grain: int = 16,
     end_id: int = 0,
-    with_ids: bool = True,
 ) -> DataFrame:
-    """One row for each piece, with its ids (bytes, little-endian unsigned 32-bit) and their CRC-32.
+    """One row for each piece, with its ids (bytes, little-endian unsigned 32-bit).
 
     `part` and `nth` number a piece among those of its length in its task: workers count on
     their own, and the counts are added up later. Written to the shared folder, so the
@@ -63,13 +62,13 @@ def pieces(
                     for length in cuts(total, capacity, grain):
                         piece = ids[4 * start : 4 * (start + length)]
                         nth = seen[length] = seen.get(length, -1) + 1
-                        rows.append((doc, start, length, piece if with_ids else None, zlib.crc32(piece), total, part, nth))
+                        rows.append((doc, start, length, piece, total, part, nth))
                         start += length
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
+                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
                 yield dict(zip(names, map(pa.array, columns, kinds), strict=True))
 
-    names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "part", "nth"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"]
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     return written(rows.mapInArrow(in_order(names, body), PIECE), "pieces")
 
@@ -97,25 +96,40 @@ def pack(docs: DataFrame, *, capacity: int = 1024, grain: int = 16, **options) -
     classes = counts.groupBy("length").agg(F.first("total").alias("total")).withColumn("bins", F.floor(F.col("total") / a_bin))
     classes = classes.select("length", "bins", (F.sum("bins").over(Window.orderBy("length")) - F.col("bins")).alias("first"), F.sum("bins").over(Window.partitionBy(F.lit(0))).alias("all"))
     counts = counts.join(classes, "length").drop("total")
-    ranked = rows.join(counts, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     whole = F.col("rank") < F.col("bins") * a_bin
-    names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "fill"]
-    full = ranked.where(whole).withColumns({
-        "sequence_id": F.col("first") + F.floor(F.col("rank") / a_bin),
-        "offset": F.col("rank") % a_bin * F.col("length"),
-        "fill": a_bin * F.col("length"),
-    })
-    rest = written(ranked.where(~whole), "incomplete")
+    ranked = rows.join(counts, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     order = Window.partitionBy("fine").orderBy(F.col("length").desc(), "rank")
-    rest = rest.withColumn("fine", F.col("length") < grain).withColumn("at", F.sum("length").over(order) - F.col("length"))
+    rest = ranked.drop("ids").where(~whole).withColumn("fine", F.col("length") < grain)
+    rest = rest.withColumn("at", F.sum("length").over(order) - F.col("length"))
     # a rest that begins below capacity - grain + 1 ends within capacity
     rest = rest.withColumn("bin", F.floor(F.col("at") / F.when(F.col("fine"), capacity - grain + 1).otherwise(capacity)))
     one = Window.partitionBy("fine", "bin")
-    rest = rest.withColumns({
-        "offset": F.col("at") - F.min("at").over(one),
-        "fill": F.sum("length").over(one),
-        "sequence_id": F.col("all") + 2 * F.col("bin") + F.col("fine").cast("long"),
+    rest = rest.select(
+        "length", "part", "nth",
+        (F.col("all") + 2 * F.col("bin") + F.col("fine").cast("long")).alias("late_sequence"),
+        (F.col("at") - F.min("at").over(one)).alias("late_offset"),
+        F.sum("length").over(one).alias("late_fill"),
+    )
+    # fewer than capacity // l pieces of each length l, of which there are few: their number is bounded
+    rest = F.broadcast(written(rest, "incomplete"))
+    packed = ranked.join(rest, ["length", "part", "nth"], "left").withColumns({
+        "sequence_id": F.coalesce("late_sequence", F.col("first") + F.floor(F.col("rank") / a_bin)),
+        "offset": F.coalesce("late_offset", F.col("rank") % a_bin * F.col("length")),
+        "fill": F.coalesce("late_fill", a_bin * F.col("length")),
     })
-    packed = full.select(names).unionByName(rest.select(names))
     power = F.col("fill").bitwiseAND(F.col("fill") - 1) == 0
-    return packed.select(*names[:-1], F.when(power, F.col("fill")).otherwise(capacity).alias("padded_length"))
+    return packed.select(
+        "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", F.when(power, F.col("fill")).otherwise(capacity).alias("padded_length")
+    )
+
+
+def checked(packed: DataFrame) -> DataFrame:
+    """The rows of pack() with ids_crc32, the unsigned CRC-32 of the ids' bytes, in place of the ids."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
+            yield {k: crc if k == "ids_crc32" else batch.column(k) for k in names}
+
+    return packed.mapInArrow(in_order(names, body), ", ".join(f"{x} long" for x in names))

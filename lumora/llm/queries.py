@@ -46,10 +46,7 @@ def _vocabulary() -> str:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
-    found = packing.pack(_table(spark, sf_dir, "documents"), tokenizer=_vocabulary(), capacity=1024, with_ids=False)
-    return found.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"
-    )
+    return packing.checked(packing.pack(_table(spark, sf_dir, "documents"), tokenizer=_vocabulary(), capacity=1024))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
