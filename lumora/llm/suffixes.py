@@ -23,6 +23,10 @@ _STEP = 0x2545F4914F6CDD1D
 _SIGNS = np.random.Generator(np.random.PCG64(200)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: A string on its way to its slot: its fingerprint, how often it was met (2: at least), its owner or -1.
+STRING = np.dtype([("key", "<i8"), ("uid", "<i8"), ("at", "<i4"), ("n", "<i4")])
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
 
@@ -213,14 +217,15 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
     return mixed(of(start, start + length) ^ (prefix * _ODD)).view(np.int64), row, place
 
 
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 4, part: int = 1000) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 4, part: int = 1000, slot: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """The rows of identified(), and uid, a, b: byte ranges covered by strings of `length` that start anywhere else too.
 
     The documents enter a SuffixIndex in `batches` batches. Suffixes with equal covered
     bytes settle at once; where a prefix occurs again among other bytes, the strings
     of each distinct context are compared one by one. A prefix of up to `part` contexts is
-    compared in one place; strings of more common ones are counted by Spark, with sums
-    before the shuffle. Ranges of a document overlap.
+    compared in one place. The strings of more common ones are first compared within each
+    batch, and then each distinct one goes once, whatever its prefix, to the slot of its
+    fingerprint; slots hold about `slot` strings. Ranges of a document overlap.
     """
     rows = identified(docs, id_col, text_col)
     placed = written(suffixes(rows, length), "suffixes")
@@ -268,19 +273,47 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             row, place = row[hit], place[hit]
             yield ranges(numbers(batch.column("uid"))[row], numbers(batch.column("at"))[row] + place)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
             key, row, place = _windows(batch, length)
+            uid, at = numbers(batch.column("uid"))[row], numbers(batch.column("at"))[row] + place
+            own = batch.column("open").to_numpy(zero_copy_only=False)[row]
+            _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            hit = (count[inverse] > 1) & own
+            met = ranges(uid[hit], at[hit])
+            n = len(met["uid"])
+            yield met | {"slot": pa.array([None] * n, pa.int64()), "strings": pa.array([None] * n, pa.binary())}
+            # each distinct string with its owner, if only one place of the batch is open to be settled
+            sent = np.zeros(len(first), dtype=STRING)
+            alone = (count == 1) & own[first]
+            sent["key"], sent["n"] = key[first], np.minimum(count, 2)
+            sent["uid"], sent["at"] = uid[first], np.where(alone, at[first], -1)
+            to = (((sent["key"].view(np.uint64) >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+            parts = [sent[i].tobytes() for i in np.split(order, cut[1:])] if len(order) else []
             yield {
-                "key": pa.array(key), "uid": pa.array(numbers(batch.column("uid"))[row]), "at": pa.array((numbers(batch.column("at"))[row] + place).astype(np.int32)),
-                "open": pa.array(batch.column("open").to_numpy(zero_copy_only=False)[row]),
+                "uid": pa.nulls(len(parts), pa.int64()), "a": pa.nulls(len(parts), pa.int32()), "b": pa.nulls(len(parts), pa.int32()),
+                "slot": pa.array(to[order][cut] if len(order) else none), "strings": pa.array(parts, pa.binary()),
             }
 
+    def settle(table: pa.Table) -> pa.Table:
+        sent = np.frombuffer(b"".join(table.column("strings").to_pylist()), dtype=STRING)
+        _, inverse = np.unique(sent["key"], return_inverse=True)
+        hit = sent[(np.bincount(inverse, sent["n"])[inverse] > 1) & (sent["at"] >= 0)]
+        hit = hit[np.lexsort((hit["at"], hit["uid"]))]
+        return pa.table(ranges(hit["uid"].astype(np.int64), hit["at"].astype(np.int64)))
+
     few = contexts.where("not crowd").repartition("prefix").sortWithinPartitions("prefix").select("prefix", "uid", "at", "open", "context")
     few = few.mapInArrow(in_order(["uid", "a", "b"], compare), "uid long, a int, b int")
-    many = contexts.where("crowd").mapInArrow(in_order(["key", "uid", "at", "open"], strings), "key long, uid long, at int, open boolean")
-    common = many.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    many = many.where("open").join(common, "key").select("uid", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    many = contexts.where("crowd")
+    slots = -(-(many.agg(F.sum(F.octet_length("context") - length + 1)).first()[0] or 0) // slot) or 1
+    met = many.mapInArrow(in_order(["uid", "a", "b", "slot", "strings"], meet), "uid long, a int, b int, slot long, strings binary")
+    met = written(met, "met-strings")
+    many = met.where("slot is null").select("uid", "a", "b").unionByName(
+        met.where("slot is not null").select("slot", "strings").groupBy("slot").applyInArrow(settle, "uid long, a int, b int")
+    )
     return rows, settled.unionByName(few).unionByName(many)
 
 

@@ -42,7 +42,7 @@ def test_passages_runs_and_overlaps(spark, part, batches):
     passage, other = prose(11, 60), prose(12, 45)
     rows = [(i, prose(100 + i, 30 + i) + passage[i % 7 :] + prose(200 + i, 20)) for i in range(12)]
     rows += [(20, "b" * 450), (21, "ab" * 300), (22, prose(5, 50) * 2), (23, passage[:199]), (24, passage[:200]), (25, other + passage), (26, passage + other), (27, passage[40:] + other)]
-    compare(spark, rows, part=part, batches=batches)
+    compare(spark, rows, part=part, batches=batches, slot=300)
 
 
 def test_the_limit_itself(spark):
