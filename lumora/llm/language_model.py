@@ -129,7 +129,8 @@ def score(
             "partial": pa.array(np.bincount(of, value, docs_).astype(np.float64)),
         })
 
-    exploded = rows.select("text", "block").groupBy("block").applyInArrow(explode, "part long, block long, keys binary, counts binary")
+    # the same columns as below, so that the texts are shuffled once for both
+    exploded = rows.groupBy("block").applyInArrow(explode, "part long, block long, keys binary, counts binary")
     totals = exploded.groupBy("part").applyInArrow(total, "part long, block long, totals binary, n long")
     found = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         sums, f"doc_id {kind}, n_words long, n_backoff long, n_single long, partial double"
