@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import binaries, in_order, narrowed
+from lumora.llm.shared import RELEASE, binaries, in_order, narrowed, release
 
 #: Bytes of items for which one automaton is built and broadcast (about 60 times as much memory);
 #: more items are dealt into groups, scanned one after the other.
@@ -39,6 +39,7 @@ def patterns(items: list[tuple[int, bytes]], window: int) -> list[tuple[str, int
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
+RELEASE["decontamination"] = _built.clear
 
 
 def _automaton(key: str, windows: list[tuple[str, int, list[int]]]) -> ahocorasick.Automaton:
@@ -108,7 +109,7 @@ def find(
                     "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.int64())),
                 }
 
-        rows = rows.mapInArrow(in_order(names, scan), "doc_id long, text binary, hits array<int>, items array<long>")
+        rows = rows.mapInArrow(in_order(names, scan, "decontamination"), "doc_id long, text binary, hits array<int>, items array<long>")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -134,7 +135,7 @@ def find(
             }
 
     return rows.mapInArrow(
-        in_order(["doc_id", "n_words", "n_hit", "spans", "items"], merge),
+        in_order(["doc_id", "n_words", "n_hit", "spans", "items"], merge, "decontamination"),
         "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>",
     )
 
@@ -160,6 +161,7 @@ def kept(
         windows = docs.sparkSession.sparkContext.broadcast(group)
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            release("decontamination")
             made = _automaton(key, windows.value) if windows.value else None
             for batch in batches:
                 if made:

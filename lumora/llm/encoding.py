@@ -11,6 +11,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from lumora.llm.shared import RELEASE, Memo
+
 #: Remembered keys for each generation of a memo; two generations are held.
 KEPT = 400_000
 
@@ -23,26 +25,6 @@ RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 
 
-class _Memo(dict):
-    """What `make` gave for each key; the older half of a full memo goes unless it is asked for again."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def trim(self) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """encode(text): the ids as bytes, little-endian unsigned 32-bit.
 
@@ -70,16 +52,16 @@ class Encoder:
             mapped = piece.encode().decode("latin-1").translate(signs)
             return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
 
-        self.pieces = _Memo(merged)
+        self.pieces = Memo(merged, KEPT)
 
         def split(run: str) -> bytes:
             if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
                 return merged(run)  # one piece
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
 
-        self.runs = _Memo(split)
+        self.runs = Memo(split, KEPT)
         # a word after a blank; a line end stands before its word and takes no blank
-        self.words = _Memo(lambda word: self.pieces["\n"] + split(word[1:]) if word[0] == "\n" else split(" " + word))
+        self.words = Memo(lambda word: self.pieces["\n"] + split(word[1:]) if word[0] == "\n" else split(" " + word), KEPT)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
@@ -101,3 +83,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's own encoder, which lives as long as the worker."""
     return Encoder(path)
+
+
+RELEASE["encoder"] = encoder.cache_clear

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from lumora.llm.encoding import _Memo
-from lumora.llm.shared import binaries, narrowed, written
+from lumora.llm.shared import RELEASE, Memo, binaries, narrowed, release, written
 from lumora.llm.suffixes import mixed
 
 #: Bytes of text whose distinct n-grams are looked up together.
 BLOCK_BYTES = 12 << 20
 
-_hashes = _Memo(lambda word: xxh64_digest(word, 5))
+_hashes = Memo(lambda word: xxh64_digest(word, 5), 200_000)
+RELEASE["language model"] = _hashes.forget
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -25,6 +25,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
 
     Also the words' document numbers, as the last of the second list.
     """
+    release("language model")
     words, count = [], []
     for text in texts:
         own = text.lower().split()

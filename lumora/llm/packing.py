@@ -70,7 +70,7 @@ def pieces(
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"]
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return written(rows.mapInArrow(in_order(names, body), PIECE), "pieces")
+    return written(rows.mapInArrow(in_order(names, body, "encoder"), PIECE), "pieces")
 
 
 def pack(docs: DataFrame, *, capacity: int = 1024, grain: int = 16, **options) -> DataFrame:

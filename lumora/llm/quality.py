@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.encoding import _Memo
-from lumora.llm.shared import binaries, in_order, narrowed
+from lumora.llm.shared import RELEASE, Memo, binaries, in_order, narrowed, release
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 16_000
@@ -37,7 +36,8 @@ def _word(raw: bytes) -> bytes:
     return np.array([zlib.crc32(core.encode()), zlib.crc32(b"\0" + _shape(text).encode())], dtype="<u4").tobytes()
 
 
-_words = _Memo(_word)
+_words = Memo(_word, 100_000)
+RELEASE["quality"] = _words.forget
 
 
 def features(text: bytes) -> tuple[np.ndarray, int]:
@@ -124,7 +124,7 @@ def fit(
         yield {"weights": pa.array([model.weights.tobytes()]), "bias": pa.array([model.bias])}
 
     one = rows.repartition(1).sortWithinPartitions("at", "doc_id").select("text", "label")
-    row = one.mapInArrow(in_order(["weights", "bias"], body), "weights binary, bias double").first()
+    row = one.mapInArrow(in_order(["weights", "bias"], body, "quality"), "weights binary, bias double").first()
     if row is None:
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0)
     return Model(np.frombuffer(bytes(row[0]), dtype=np.float32), row[1])
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
             yield {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())}
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(in_order(["doc_id", "score"], body), "doc_id long, score double")
+    return rows.mapInArrow(in_order(["doc_id", "score"], body, "quality"), "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -148,6 +148,7 @@ def kept(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: fl
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("quality")
         for batch in batches:
             keep = [held.value.score(x) >= threshold for x in binaries(batch.column(text_col))]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -164,10 +164,46 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
 
 
-def in_order(names: list[str], body: Callable) -> Callable:
+class Memo(dict):
+    """What `make` gave for each key; the older half of a full memo goes unless it is asked for again."""
+
+    def __init__(self, make: Callable, kept: int):
+        super().__init__()
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+#: What a worker keeps from task to task, by its user: how to let go of it.
+RELEASE: dict[str, Callable[[], None]] = {}
+
+
+def release(user: str = "") -> None:
+    """Let go of what other users keep in this worker, which may serve many jobs."""
+    for name, forget in RELEASE.items():
+        if name != user:
+            forget()
+
+
+def in_order(names: list[str], body: Callable, user: str = "") -> Callable:
     """For mapInArrow: yield body's dicts of arrays as batches of the given columns."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(user)
         for columns in body(batches):
             yield pa.RecordBatch.from_arrays([columns[x] for x in names], names=names)
 

@@ -65,7 +65,7 @@ def write(
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     names = ["doc_id", "part", "before", "n_tokens", "tokens"]
-    rows.mapInArrow(in_order(names, body), SCHEMA).write.options(**FORMAT).parquet(path)
+    rows.mapInArrow(in_order(names, body, "encoder"), SCHEMA).write.options(**FORMAT).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
