@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumora.llm.encoding import encoder
 from lumora.llm.shared import in_order, narrowed, written
 
+#: Rows of the counts of each length and task that are broadcast, so that ids are not shuffled; more are joined by shuffle.
+BROADCAST_ROWS = 300_000
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
 
 
@@ -95,7 +97,8 @@ def pack(docs: DataFrame, *, capacity: int = 1024, grain: int = 16, **options) -
     a_bin = F.floor(F.lit(capacity) / F.col("length"))
     classes = counts.groupBy("length").agg(F.first("total").alias("total")).withColumn("bins", F.floor(F.col("total") / a_bin))
     classes = classes.select("length", "bins", (F.sum("bins").over(Window.orderBy("length")) - F.col("bins")).alias("first"), F.sum("bins").over(Window.partitionBy(F.lit(0))).alias("all"))
-    counts = counts.join(classes, "length").drop("total")
+    counts = written(counts.join(classes, "length").drop("total"), "piece-counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     whole = F.col("rank") < F.col("bins") * a_bin
     ranked = rows.join(counts, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     order = Window.partitionBy("fine").orderBy(F.col("length").desc(), "rank")
