@@ -144,7 +144,9 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
 
 def kept(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text scores at least `threshold`, with all their columns."""
+    """The rows of docs whose text scores at least `threshold`, with all their columns; all of them if no label was fitted."""
+    if not model.weights.any():
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,4 +34,5 @@ def test_awkward(spark, awkward):
     assert quality.kept(awkward, model, threshold=0.0).count() == awkward.count()
     assert quality.scored(awkward.limit(0), model).count() == 0
     empty = quality.fit(awkward, labels.limit(0))
+    assert quality.kept(awkward, empty).count() == awkward.count()
     assert {r.score for r in quality.scored(awkward, empty).collect()} == {0.5}
