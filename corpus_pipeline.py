@@ -11,8 +11,8 @@ from lumora.llm.shared import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, fitted on the labels outside the held-out quarter, accepts."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality model, fitted on the labelled documents of sf_dir outside the held-out quarter, accepts."""
+    model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept(docs, model, threshold=0.7)
 
 
@@ -22,9 +22,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows of the doc_id that stays count as one; rows without doc_id stay.
     """
     groups = simhash.similar(docs, shingle=5, similarity=0.8)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    stay = written(stay, "one-of-each")
+    found = docs.join(stay.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if stay.where("n > 1").limit(1).count():  # only repeated ids need their rows grouped
+        found = found.unionByName(docs.join(stay.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return found.select(docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
