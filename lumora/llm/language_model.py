@@ -65,7 +65,9 @@ def score(
     The n-grams of a block of documents are exploded and made distinct, and go with their
     counts to the partition of their hash, where all blocks' counts are added up. The totals
     go back to the block in the same order, and are summed there for each document. A common
-    n-gram is one entry of each block, so no partition holds more than its share.
+    n-gram is one entry of each block, so no partition holds more than its share. There are as
+    many partitions as blocks; for very large inputs raise block_bytes as far as a worker's
+    memory allows (it takes some 15 times as much).
 
     Null and empty texts have no words and log_score 0; repeated rows count each and get a
     row each; an empty table gives none.
@@ -81,13 +83,13 @@ def score(
         new = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
         keys, counts = grams[new], np.diff(np.append(new, len(grams))).astype("<u4")
         part = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        cut = np.searchsorted(part, np.arange(blocks + 1, dtype=np.uint64))
-        own = [k for k in range(blocks) if cut[k] < cut[k + 1]]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=False))
         return pa.table({
-            "part": pa.array(own, pa.int64()),
-            "block": pa.array([table.column("block")[0].as_py()] * len(own), pa.int64()),
-            "keys": pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary()),
-            "counts": pa.array([counts[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary()),
+            "part": pa.array(part[first].astype(np.int64)),
+            "block": pa.array([table.column("block")[0].as_py()] * len(cuts), pa.int64()),
+            "keys": pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary()),
         })
 
     def total(table: pa.Table) -> pa.Table:
