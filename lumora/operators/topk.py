@@ -56,3 +56,12 @@ def best_first(df: DataFrame, query: list[float], k: int, *, vector_col: str, id
     near = centroids(df, vector_col, cluster_col).select(F.col("cluster").alias("_c"), squared_l2(F.col("centroid"), literal(query)).alias("_d"))
     rows = df.join(near, F.col(cluster_col) == F.col("_c")).drop("_c")
     return rows.orderBy("_d", cluster_col, id_col).limit(k).drop("_d")
+
+
+def reranked_topk(
+    df: DataFrame, query: list[float], k: int, rerank: F.Column, *, vector_col: str, id_col: str, candidates: int = 40, metric: str = "dot"
+) -> DataFrame:
+    """The k rows with the largest `rerank` of the nearest candidates; where it is null, in the order of the first stage after the others."""
+    near = sem_topk(df, query, candidates, vector_col=vector_col, id_col=id_col, metric=metric)
+    first = F.col("score").asc_nulls_last() if METRICS[metric][1] else F.col("score").desc_nulls_last()
+    return near.orderBy(rerank.desc_nulls_last(), first, id_col).limit(k)

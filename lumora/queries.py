@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumora.frame import SemFrame
 from lumora.functions import metrics, text, vectors
-from lumora.operators import relational, topk
+from lumora.operators import embedding, relational, topk
 from lumora.plans.judges import Field, Judge, Pairs
 from lumora.streaming import windows
 
@@ -206,6 +206,23 @@ def filter_after_topk(spark, sf_dir):
     return near.where("label < 5").select("vec_id", "label")
 
 
+@query(f"""SELECT vec_id, label FROM (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], {SQL_VECTOR}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 40)
+           ORDER BY CASE WHEN label < 5 THEN label END DESC NULLS LAST, s DESC, vec_id LIMIT 8""")
+def topk_reranked(spark, sf_dir):
+    rerank = F.when(F.col("label") < 5, F.col("label"))
+    return topk.reranked_topk(Tables(spark, sf_dir).embeddings, VECTOR, 8, rerank, vector_col="embedding", id_col="vec_id").select("vec_id", "label")
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^ \n\r\t]+')) AS w FROM benchmark),
+           c AS (SELECT item_id, ('0x' || substr(md5(w), 1, 6))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM w GROUP BY 1, 2),
+           v AS (SELECT item_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS weight FROM c)
+           SELECT a.item_id, round(sum(a.weight * b.weight), 6) AS score FROM v a JOIN v b ON a.bucket = b.bucket AND b.item_id = 0
+           GROUP BY a.item_id ORDER BY score DESC, a.item_id LIMIT 10""")
+def topk_hashed_texts(spark, sf_dir):
+    vectors_ = embedding.hashed_words(Tables(spark, sf_dir).benchmark, "item_id", "text", 64)
+    return embedding.nearest_texts(vectors_, vectors_.where("item_id = 0"), "item_id", 10)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def limit_ordered(spark, sf_dir):
     return SemFrame(Tables(spark, sf_dir).orders.orderBy(F.desc("o_totalprice"), "o_orderkey")).limit(20).df.select("o_orderkey", "o_totalprice")

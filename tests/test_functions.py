@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumora.functions import metrics, text, vectors
-from lumora.operators import relational, topk
+from lumora.operators import embedding, relational, topk
 
 
 def test_chunks_join_to_the_text(spark):
@@ -62,3 +62,15 @@ def test_relational(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 3, 4)], "k string, i int, v int")
     assert {r.k: r.best for r in relational.argmax(df, ["k"], "v", "i", "best").collect()} == {"a": 2, "b": 3}
     assert [r.k for r in relational.most_with_ties(df, ["k"]).collect()] == ["a"]
+
+
+def test_embedding_averages_chunks_and_asks_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        asked.add(len(texts))
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    df = spark.createDataFrame([(1, "aabb"), (2, "aabb"), (3, "aaaabb"), (4, ""), (5, None)], "id int, t string")
+    got = {r.id: r.vector for r in embedding.embed(df, "t", model, max_chars=4).collect()}
+    assert got == {1: [4.0, 2.0], 2: [4.0, 2.0], 3: [3.0, 2.0], 4: None, 5: None} and asked.value == 3
