@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -13,8 +14,8 @@ from tokenizers import Tokenizer
 
 from lumora.llm.shared import RELEASE, Memo
 
-#: Remembered keys for each generation of a memo; two generations are held.
-KEPT = 400_000
+#: Remembered words and pieces of words for each generation of a memo; two generations are held.
+KEPT, PIECES_KEPT = 350_000, 100_000
 
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -52,14 +53,14 @@ class Encoder:
             mapped = piece.encode().decode("latin-1").translate(signs)
             return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
 
-        self.pieces = Memo(merged, KEPT)
+        self.pieces = Memo(merged, PIECES_KEPT)
 
         def split(run: str) -> bytes:
             if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
                 return merged(run)  # one piece
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
 
-        self.runs = Memo(split, KEPT)
+        self.runs = Memo(split, PIECES_KEPT)
         # a word after a blank; a line end stands before its word and takes no blank
         self.words = Memo(lambda word: self.pieces["\n"] + split(word[1:]) if word[0] == "\n" else split(" " + word), KEPT)
 
@@ -81,7 +82,11 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder, which lives as long as the worker."""
+    """The worker's own encoder, which lives as long as no other operator needs the worker.
+
+    It makes very many strings and no cycles, so the worker looks for cycles less often.
+    """
+    gc.set_threshold(200_000, 20, 20)
     return Encoder(path)
 
 
