@@ -17,7 +17,7 @@ from lumora.llm.suffixes import mixed
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one cell; larger buckets become cells of two parts.
-PART = 4096
+PART = 2048
 
 
 def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:

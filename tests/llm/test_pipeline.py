@@ -1,14 +1,11 @@
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from pyspark.sql import functions as F  # noqa: E402
-
-from lumora.llm import queries  # noqa: E402
-from tests.conftest import DATA  # noqa: E402
-from tests.llm.test_packing_tokens import check_sequences, ids_of  # noqa: E402
+import corpus_pipeline
+from lumora.llm import queries
+from tests.conftest import DATA
+from tests.llm.test_packing_tokens import check_sequences, ids_of
 
 
 def staged(spark, docs):
