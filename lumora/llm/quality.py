@@ -69,21 +69,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def ftrl(rows: list[tuple[bytes, int]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0, l2: float = 1e-3, epochs: int = 3) -> Model:
-    """FTRL-proximal logistic regression over the rows in their order (McMahan et al., 2013)."""
+def ftrl(rows: list[tuple[bytes, int]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0, l2: float = 1e-3, epochs: int = 2) -> Model:
+    """FTRL-proximal logistic regression over the rows in their order (McMahan et al., 2013).
+
+    n-grams are hashed anew in each epoch: they take several times the memory of the texts.
+    """
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    data = []
-    for text, label in rows:
-        found, words = features(text)
-        at, count = np.unique(found, return_counts=True)
-        data.append((np.append(at, BUCKETS).astype(np.int32), np.append(count / max(1, words), 1.0).astype(np.float32), label))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         shrunk = np.sign(z) * l1 - z
         return np.where(np.abs(z) <= l1, 0.0, shrunk / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(epochs):
-        for at, x, label in data:
+        for text, label in rows:
+            found, words = features(text)
+            at, count = np.unique(found, return_counts=True)
+            at, x = np.append(at, BUCKETS), np.append(count / max(1, words), 1.0)
             own_z, own_n = z[at], n[at]
             w = weights(own_z, own_n)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
