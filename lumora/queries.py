@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -456,3 +457,56 @@ def win_tumbling(spark, sf_dir):
           SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def win_session(spark, sf_dir):
     return windows.sessions(Tables(spark, sf_dir).events, "6 hours", ["user_id"]).select("user_id", "n")
+
+
+def stand_in(prompts: list[str]) -> list[str]:
+    """Replies in the form of a model's, by fixed rules over the record in each prompt."""
+    replies = []
+    for prompt in prompts:
+        task, _, record = prompt.partition("\n")
+        r = json.loads(record)
+        if "written in a Germanic language" in task:
+            replies.append(f"```text\n{'TRUE' if r['lang'] in ('en', 'de') else 'FALSE'}\n```")
+        elif "both of even or both of odd length" in task:
+            replies.append(str(len(r["n_name"]) % 2 == len(r["r_name"]) % 2))
+        elif "family" in task:
+            replies.append("Here it is: " + json.dumps({"family": {"en": "germanic", "de": "germanic"}.get(r["lang"], "romance"), "length": str(len(r["lang"]))}))
+        else:
+            rows = [json.loads(x) for x in json.loads(r["records"])]
+            replies.append(json.dumps({"total": sum(x.get("s_suppkey") or x.get("total") or 0 for x in rows)}))
+    return replies
+
+
+MODEL = Judge(model=stand_in)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+def judged_filter(spark, sf_dir):
+    docs = SemFrame(Tables(spark, sf_dir).documents, MODEL)
+    return docs.sem_filter("It is written in a Germanic language.", columns=["lang"]).df.select("doc_id", "lang")
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS family, CAST(length(lang) AS BIGINT) AS length FROM documents")
+def judged_map(spark, sf_dir):
+    fields = [Field("family", "string", "the language's family"), Field("length", "bigint", "letters of its code")]
+    return SemFrame(Tables(spark, sf_dir).documents, MODEL).sem_map(fields, columns=["lang"]).df.select("doc_id", "family", "length")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(n_name) % 2 = length(r_name) % 2")
+def judged_join(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = SemFrame(t.nation, MODEL).sem_join(SemFrame(t.region), "The names are both of even or both of odd length.", on=[("n_regionkey", "r_regionkey")])
+    return found.df.select("n_name", "r_name")
+
+
+@query("SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS family, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY 1")
+def judged_groupby(spark, sf_dir):
+    docs = SemFrame(Tables(spark, sf_dir).documents.select("lang", "n_chars"), MODEL).sem_map([Field("family", "string", "the language's family")], columns=["lang"])
+    found = docs.sem_groupby([Field("family")], [("n_chars", "count", "n"), ("n_chars", "mean", "mean_chars")]).df
+    return found.withColumn("mean_chars", F.round("mean_chars", 4))
+
+
+@query("SELECT CAST(sum(s_suppkey) AS BIGINT) AS total FROM supplier")
+def judged_aggregate(spark, sf_dir):
+    rows = SemFrame(Tables(spark, sf_dir).supplier.select("s_suppkey"), MODEL)
+    return rows.sem_aggregate("Add the numbers.", [Field("total", "bigint")], budget=200).df
