@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import RELEASE, binaries, in_order, narrowed, release
+from lumora.llm.shared import RELEASE, binaries, in_order, narrowed, release, sliced
 
 #: Bytes of items for which one automaton is built and broadcast (about 60 times as much memory);
 #: more items are dealt into groups, scanned one after the other.
@@ -94,7 +94,7 @@ def find(
 
         def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[dict]:
             made = _automaton(key, windows.value) if windows.value else None
-            for batch in batches:
+            for batch in sliced(batches):
                 hits, found = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
                 for i, text in enumerate(binaries(batch.column("text")) if made else ()):
                     own = words(text)
@@ -113,7 +113,7 @@ def find(
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_hit, spans = [], [], []
             for text, hits in zip(binaries(batch.column("text")), batch.column("hits").to_pylist(), strict=True):
                 if not hits:
@@ -163,7 +163,7 @@ def kept(
         def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             release("decontamination")
             made = _automaton(key, windows.value) if windows.value else None
-            for batch in batches:
+            for batch in sliced(batches):
                 if made:
                     lines = ((b" " + b" ".join(words(x)) + b" ").decode("latin-1") for x in binaries(batch.column(text_col)))
                     batch = batch.filter(pa.array([next(made.iter(x), None) is None for x in lines], pa.bool_()))

@@ -80,6 +80,9 @@ class Encoder:
         return found
 
 
+_THRESHOLD = gc.get_threshold()
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The worker's own encoder, which lives as long as no other operator needs the worker.
@@ -90,4 +93,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-RELEASE["encoder"] = encoder.cache_clear
+def _forget() -> None:
+    encoder.cache_clear()
+    gc.set_threshold(*_THRESHOLD)
+
+
+RELEASE["encoder"] = _forget

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import RELEASE, Memo, binaries, in_order, narrowed, release
+from lumora.llm.shared import RELEASE, Memo, binaries, in_order, narrowed, release, sliced
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 16_000
@@ -119,7 +119,7 @@ def fit(
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         data = []
-        for batch in batches:
+        for batch in sliced(batches):
             data += zip(binaries(batch.column("text")), batch.column("label").to_pylist(), strict=True)
         model = ftrl(data)
         yield {"weights": pa.array([model.weights.tobytes()]), "bias": pa.array([model.bias])}
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [held.value.score(x) for x in binaries(batch.column("text"))]
             yield {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())}
 
@@ -152,7 +152,7 @@ def kept(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: fl
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("quality")
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [held.value.score(x) >= threshold for x in binaries(batch.column(text_col))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -192,11 +196,29 @@ class Memo(dict):
 RELEASE: dict[str, Callable[[], None]] = {}
 
 
+_last = [""]
+
+
 def release(user: str = "") -> None:
-    """Let go of what other users keep in this worker, which may serve many jobs."""
+    """Let go of what other users keep in this worker, which may serve many jobs, and give the memory back."""
+    if _last[0] == user:
+        return
+    _last[0] = user
     for name, forget in RELEASE.items():
         if name != user:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that copies of texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def in_order(names: list[str], body: Callable, user: str = "") -> Callable:

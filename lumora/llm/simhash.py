@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lumora.llm.shared import binaries, components, in_order, narrowed, numbers, roots, runs, written
+from lumora.llm.shared import binaries, components, in_order, narrowed, numbers, roots, runs, sliced, written
 from lumora.llm.suffixes import mixed
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprints(
     """doc_id, fp (the fingerprint as n_words signed longs) of each document; null text counts as empty."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [simhash(x, shingle, seed, n_words) for x in binaries(batch.column("text"))]
             flat = pa.array(np.array(found, dtype=np.uint64).reshape(-1).view(np.int64))
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_words)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import binaries, in_order, narrowed, new_path, numbers, removed, runs, written
+from lumora.llm.shared import binaries, in_order, narrowed, new_path, numbers, removed, runs, sliced, written
 
 #: Bytes of a suffix's own prefix, by whose fingerprint a suffix array is ordered.
 PREFIX = 40
@@ -137,7 +137,7 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             uid, texts = numbers(batch.column("uid")), binaries(batch.column("text"))
             for a, b in _cut(texts):
                 data, bounds = _joined(texts[a:b])
@@ -242,7 +242,7 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("prefix", "crowd", "at", "strings", "n")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             found: list[tuple] = []
             uids = batch.column("uid").to_pylist()
             for uid, text, wanted in zip(uids, binaries(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
@@ -329,7 +329,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     found = found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, left, cuts = binaries(batch.column("text")), [], []
             for text, ranges in zip(texts, batch.column("ranges").to_pylist(), strict=True):
                 runs_: list[list[int]] = []
@@ -356,7 +356,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = deduplicated(docs, id_col=id_col, text_col=text_col, **options)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x.decode("utf-8", "ignore") for x in binaries(batch.column("left"))]
             yield {"doc_id": batch.column("doc_id"), "rest": batch.column("rest"), "text": pa.array(texts, pa.string())}
 
