@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from lumora.llm.shared import RELEASE, Memo
 
 #: Remembered words and pieces of words for each generation of a memo; two generations are held.
-KEPT, PIECES_KEPT = 350_000, 100_000
+KEPT, PIECES_KEPT = 400_000, 60_000
 
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -50,19 +50,32 @@ class Encoder:
         model._resize_cache(0)  # the memos below serve for it
 
         def merged(piece: str) -> bytes:
-            mapped = piece.encode().decode("latin-1").translate(signs)
+            if piece.isascii() and piece.isprintable():
+                mapped = piece.replace(" ", signs[32])  # the other printable signs stand for themselves
+            else:
+                mapped = piece.encode().decode("latin-1").translate(signs)
             return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
 
-        self.pieces = Memo(merged, PIECES_KEPT)
-
         def split(run: str) -> bytes:
             if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
                 return merged(run)  # one piece
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
 
+        def after_blank(word: str) -> bytes:
+            """A word after a blank; a line end stands before its word and takes no blank."""
+            if word.isalpha():
+                return merged(" " + word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                bare = word[:-1]
+                known = self.words.get(bare) or self.words.old.get(bare) or merged(" " + bare)
+                return known + self.pieces[word[-1]]
+            if word[0] == "\n":
+                return self.pieces["\n"] + split(word[1:])
+            return split(" " + word)
+
+        self.pieces = Memo(merged, PIECES_KEPT)
         self.runs = Memo(split, PIECES_KEPT)
-        # a word after a blank; a line end stands before its word and takes no blank
-        self.words = Memo(lambda word: self.pieces["\n"] + split(word[1:]) if word[0] == "\n" else split(" " + word), KEPT)
+        self.words = Memo(after_blank, KEPT)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:

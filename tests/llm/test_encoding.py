@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from lumora.llm import encoding
 
 SIGNS = [
-    " ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "ß", "漢字", "1", "23", "'s", "'", "!", "...", "½", "²", "　", "\xa0", "\x85", "\x1c", " ",
+    " ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "ß", "漢字", "the,", "Of.", "1", "23", "'s", "'", "!", "...", "½", "²", "　", "\xa0", "\x85", "\x1c", " ",
     "<|endoftext|>", "😀", "\r\n", "don't", "́", " the", "\nThe",
 ]
 
