@@ -34,7 +34,7 @@ class Encoder:
     are those of encoding the whole text. Other vocabularies encode each whole text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
@@ -75,7 +75,7 @@ class Encoder:
 
         self.pieces = Memo(merged, PIECES_KEPT)
         self.runs = Memo(split, PIECES_KEPT)
-        self.words = Memo(after_blank, KEPT)
+        self.words = Memo(after_blank, kept or KEPT)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
@@ -97,13 +97,13 @@ _THRESHOLD = gc.get_threshold()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int | None = None) -> Encoder:
     """The worker's own encoder, which lives as long as no other operator needs the worker.
 
     It makes very many strings and no cycles, so the worker looks for cycles less often.
     """
     gc.set_threshold(200_000, 20, 20)
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 def _forget() -> None:

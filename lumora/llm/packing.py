@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lumora.llm.encoding import encoder
 from lumora.llm.shared import in_order, narrowed, written
 
+#: Words that the encoder remembers for each generation: fewer than elsewhere, as pieces take memory too.
+KEPT = 120_000
 #: Rows of the counts of each length and task that are broadcast, so that ids are not shuffled; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
@@ -52,12 +54,12 @@ def pieces(
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        own, part, seen = encoder(tokenizer, KEPT), TaskContext.get().partitionId(), {}
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
+            for at in range(0, batch.num_rows, 250):
                 rows = []
-                some = batch.slice(at, 1000)
+                some = batch.slice(at, 250)
                 for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     ids = own.encode(text or "") + end
                     total, start = len(ids) // 4, 0
