@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from lumora.llm.shared import components, in_order, narrowed, numbers, roots, ru
 
 #: Vectors that pivots are chosen from, pivots at most, and the cosine at which two are too alike.
 SAMPLE, PIVOTS, ALIKE = 4096, 1024, 0.5
+#: Vectors of each length that pivots are chosen from at the least, where lengths differ.
+LEAST = 16
 #: Members and queries of a pivot's list that one cell compares.
 PART = 2048
 
@@ -28,19 +29,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(classes: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> np.ndarray:
-    """Reference points from a sample of at most `sample` distinct vectors, by the order of their hash.
+def choose_pivots(classes: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
+    """Reference points for each length of vectors (`width`), from a sample of distinct ones by the order of their hash.
 
-    Taken greedily so that no two have a cosine of ALIKE or more: a group of near copies gives
-    one. If the sample holds several lengths, the most frequent one counts.
+    Lengths share `sample` by their number of vectors, with LEAST each at the least. Points are
+    taken greedily so that no two have a cosine of ALIKE or more: a group of near copies gives one.
     """
-    rows = [r[0] for r in classes.orderBy(F.xxhash64("vector"), "rep").limit(sample).select("vector").collect()]
-    width = Counter(map(len, rows)).most_common(1)[0][0] if rows else 0
-    chosen = np.zeros((0, width))
-    for x in _unit(np.array([r for r in rows if len(r) == width], dtype=np.float64)) if rows else ():
-        if len(chosen) < pivots and not (chosen @ x >= ALIKE).any():
-            chosen = np.vstack([chosen, x])
-    return chosen
+    sizes = {r[0]: r[1] for r in classes.groupBy("width").count().collect()}
+    shares = {w: max(LEAST, sample * n // sum(sizes.values())) for w, n in sizes.items()}
+    # hashes up to a bound hold a share, bar a rare chance, and not much more
+    most = {w: min(1.0, (k + 5 * k**0.5 + 5) / sizes[w]) for w, k in shares.items()}
+    bounds = [(w, (1 << 63) - 1 if x == 1.0 else int(x * (1 << 64)) - (1 << 63)) for w, x in most.items()]
+    bounds = F.broadcast(classes.sparkSession.createDataFrame(bounds, "width int, bound long"))
+    rows = classes.withColumn("hash", F.xxhash64("vector")).join(bounds, "width").where("hash <= bound")
+    found: dict[int, list] = {w: [] for w in sizes}
+    for r in sorted(rows.select("width", "hash", "rep", "vector").collect(), key=lambda r: (r.hash, r.rep)):
+        if len(found[r.width]) < shares[r.width]:
+            found[r.width].append(r.vector)
+    points = {}
+    for width, vectors in found.items():
+        chosen = np.zeros((0, width))
+        for x in _unit(np.array(vectors, dtype=np.float64)):
+            if len(chosen) < pivots and not (chosen @ x >= ALIKE).any():
+                chosen = np.vstack([chosen, x])
+        points[width] = chosen
+    return points
 
 
 def near_duplicates(
@@ -60,14 +73,13 @@ def near_duplicates(
     Equal vectors form a class, counted before any comparison. Each class is described by
     the ordered list of its `nearest` pivots. It is a member of its first pivot's inverted
     list and asks the lists of all its pivots; of what it meets there, the classes that
-    share at least `shared` pivots are candidates, verified by their cosine in double
-    precision. A list is cut into cells of at most about `part` members and queries, and a
+    share at least `shared` pivots (all, where there are fewer) are candidates, verified by
+    their cosine in double precision. Each length of vectors has pivots of its own. A list is cut into cells of at most about `part` members and queries, and a
     cell emits link counts and a forest, not pairs. The pivots are few and bounded, so
     their list lengths are broadcast.
 
-    Vectors that are null, empty, zero or hold nulls or non-finite numbers, and vectors of another
-    length than the pivots, have no links but (the last) to equal ones. Repeated rows count as
-    other vectors. An empty table gives none.
+    Vectors that are null, empty, zero or hold nulls or non-finite numbers have no links, and
+    vectors of different lengths none to each other. Repeated rows count as other vectors. An empty table gives none.
     """
     rows = narrowed(vectors, vec_id=id_col, vector=vector_col).select(F.col("vec_id").cast("long"), "vector")
     sound = F.coalesce(
@@ -76,23 +88,28 @@ def near_duplicates(
         F.lit(False),
     )
     valid = rows.where(sound & F.col("vec_id").isNotNull())
-    classes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
-    points = choose_pivots(classes, sample, pivots)
-    width, depth = points.shape[1], min(nearest, len(points))
+    classes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("width", F.size("vector")), "vector-classes")
+    points, first = {}, 0
+    for width, chosen in choose_pivots(classes, sample, pivots).items():
+        points[width] = (first, chosen)  # the pivots' numbers follow one another over all lengths
+        first += len(chosen)
     held = vectors.sparkSession.sparkContext.broadcast(points)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                x = _matrix(some.column("vector"))
-                near = np.argsort(-(_unit(x) @ held.value.T), axis=1, kind="stable")[:, :depth].astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * depth), pa.array(near.ravel()))
-                yield {"rep": some.column("rep"), "n": some.column("n"), "vector": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.ravel())), "near": flat}
+                widths = numbers(some.column("width"))
+                for width in np.unique(widths).tolist():
+                    own = some.take(pa.array(np.flatnonzero(widths == width)))
+                    x = _matrix(own.column("vector"))
+                    first, chosen = held.value[width]
+                    near = np.argsort(-(_unit(x) @ chosen.T), axis=1, kind="stable")[:, :nearest].astype(np.int32) + np.int32(first)
+                    yield {"rep": own.column("rep"), "n": own.column("n"), "vector": lists(x), "near": lists(near)}
 
     names = ["rep", "n", "vector", "near"]
-    fit = classes.where(F.size("vector") == width).select("rep", "n", "vector")
-    index = written(fit.mapInArrow(in_order(names, describe), "rep long, n long, vector array<double>, near array<int>"), "pivot-index")
+    index = written(classes.select("rep", "n", "vector", "width").mapInArrow(in_order(names, describe), "rep long, n long, vector array<double>, near array<int>"), "pivot-index")
     asked = index.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / part).alias("asking"))
     homes = index.groupBy(F.col("near")[0].alias("pivot")).agg(F.ceil(F.count(F.lit(1)) / part).alias("living"))
     lists = F.broadcast(homes.join(asked, "pivot"))  # at most one row for each pivot
@@ -110,21 +127,23 @@ def near_duplicates(
             table = table.combine_chunks()
             columns = {k: table.column(k).chunk(0) for k in ("role", *names)}
             role, rep, n = (numbers(columns[k]) for k in ("role", "rep", "n"))
-            unit, near = _unit(_matrix(columns["vector"])), _matrix(columns["near"], "int32")
             found: list[tuple] = []
             for a, b in zip(starts, np.append(starts[1:], len(rep)), strict=True):
-                m, q = a + np.flatnonzero(role[a:b] == 0), a + np.flatnonzero(role[a:b] == 1)
+                m, q = np.flatnonzero(role[a:b] == 0), np.flatnonzero(role[a:b] == 1)
                 if not len(m) or not len(q):
                     continue
+                # a pivot's list, so all of one length
+                unit, near = _unit(_matrix(columns["vector"].slice(a, b - a))), _matrix(columns["near"].slice(a, b - a), "int32")
                 common = np.zeros((len(q), len(m)), dtype=np.int8)
                 for x in near[q].T:
                     for y in near[m].T:
                         common += x[:, None] == y[None, :]
-                hit = (common >= shared) & (unit[q] @ unit[m].T >= threshold)
+                hit = (common >= min(shared, near.shape[1])) & (unit[q] @ unit[m].T >= threshold)
                 i, j = np.nonzero(hit)
                 i, j = q[i], m[j]
                 # met in both of their home lists, a pair counts where the smaller one lives
                 twice = (near[i][:, :1] == near[j]).any(axis=1)
+                i, j = i + a, j + a
                 keep = (rep[i] != rep[j]) & (~twice | (rep[j] < rep[i]))
                 i, j = i[keep], j[keep]
                 if len(i):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.llm import embeddings, language_model, queries, sharding, warc
-from lumora.llm.shared import new_path
+from lumora.llm.shared import new_path, roots
 from tests.conftest import DATA
 
 
@@ -75,6 +75,38 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked(spark, vectors, **options):
+    """n_links and component_id of each vector, with those that brute force gives."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = {f.vec_id: (f.n_links, f.component_id) for f in embeddings.near_duplicates(df, **options).collect()}
+    unit = [v / np.linalg.norm(v) for v in vectors]
+    hit = np.array([[len(a) == len(b) and a @ b >= 0.9 for b in unit] for a in unit])
+    least = roots(len(vectors), *np.nonzero(hit))
+    return [rows[i] for i in range(len(vectors))], [(int(n) - 1, int(c)) for n, c in zip(hit.sum(axis=1), least, strict=True)]
+
+
+def test_embeddings_of_one_cone(spark):
+    r = np.random.default_rng(5)
+    cone = np.eye(12)[0] + r.normal(size=(150, 12)) * 0.12  # one pivot: all lie within a cosine of 0.5 of each other
+    got, want = linked(spark, cone, part=40)
+    assert got == want and len({c for _, c in want}) > 1 and sum(n for n, _ in want) > 150
+    assert linked(spark, np.array([[1.0, 0.0], [0.95, 0.3122]]))[0] == [(1, 0), (1, 0)]
+
+
+def test_embeddings_of_several_lengths(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=(60, 8))
+    vectors = [*base, *(base[:30] + r.normal(size=(30, 8)) * 0.1)]
+    other = r.normal(size=(20, 5))
+    vectors += [*other, *(other + r.normal(size=(20, 5)) * 0.1), np.array([1.0, 2.0]), np.array([1.0, 2.1]), np.ones(3)]
+    r.shuffle(order := list(range(len(vectors))))
+    got, want = linked(spark, [vectors[i] for i in order], part=20)
+    assert all(g[0] <= w[0] for g, w in zip(got, want, strict=True))
+    assert sum(g[0] for g in got) >= 0.9 * sum(w[0] for w in want)
+    short = [k for k, i in enumerate(order) if len(vectors[i]) != 8]
+    assert [got[k] for k in short] == [want[k] for k in short] and sum(want[k][0] for k in short) >= 40
+
+
 def test_embedding_recall(spark):
     """Links found of those there are, over a whole table."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
