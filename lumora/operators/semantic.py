@@ -96,20 +96,37 @@ AGGREGATES = {
 
 
 def _reduced(df: DataFrame, keys: list[str], task: str, fields: list[Field], judge: Judge, budget: int) -> DataFrame:
-    """One answer for each key, by packs of records of about `budget` tokens whose answers are packed again."""
+    """One answer for each key, by packs of records of about `budget` tokens whose answers are packed again.
+
+    Equal records are dealt evenly over a key's packs. A pack that stays unanswered makes all
+    fields of its key null, as the rest would be an answer about a part of the rows.
+    """
     record = F.to_json(F.struct(*[c for c in df.columns if c not in keys])) if len(df.columns) > len(keys) else F.lit("{}")
-    rows = df.select(*keys, record.alias("record"))
+    rows = df.select(*keys, record.alias("record"), F.lit(False).alias("_lost"))
     while True:
         own = {k: f"_{i}" for i, k in enumerate(keys)}
         sized = rows.groupBy(*[F.col(k).alias(v) for k, v in own.items()]).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("_packs"))
         most = sized.agg(F.max("_packs")).first()[0] or 1
         packed = rows.join(sized, [F.col(k).eqNullSafe(F.col(v)) for k, v in own.items()]) if keys else rows.join(F.broadcast(sized))
-        packed = packed.select(*keys, "record", F.pmod(F.xxhash64("record"), "_packs").alias("_pack"))
-        packs = packed.groupBy(*keys, "_pack").agg(F.to_json(F.array_sort(F.collect_list("record"))).alias("records"))
+        packed = packed.withColumn("_packs", F.coalesce("_packs", F.lit(1)))
+        packed = packed.groupBy(*keys, "record", "_packs").agg(F.count(F.lit(1)).alias("_n"), F.max("_lost").alias("_lost"))
+        # by content alone, so that a pack is the same however often it is computed
+        turn, several = F.col("_turn"), F.col("_n") % F.col("_packs")
+        packed = packed.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_n", "_packs") - 1)))
+        copies = F.floor(F.col("_n") / F.col("_packs")) + (turn < several).cast("long")
+        packed = packed.select(
+            *keys, F.pmod(F.xxhash64("record") + turn, "_packs").alias("_pack"), "_lost",
+            F.when(F.col("record").isNotNull(), F.array_repeat("record", copies.cast("int"))).alias("_records"),
+        )
+        packs = packed.groupBy(*keys, "_pack").agg(
+            F.to_json(F.array_sort(F.flatten(F.collect_list("_records")))).alias("records"), F.max("_lost").alias("_lost")
+        )
         asked = judge.ask(packs, _task(task, fields), ["records"], parse_json)
         if most <= 1:
-            return asked.withColumns(_given(fields)).select(*keys, *[f.name for f in fields])
-        rows, budget = asked.select(*keys, F.col("_reply").alias("record")), 2 * budget  # so the rounds end
+            given = {name: F.when(~F.col("_lost"), value) for name, value in _given(fields).items()}
+            return asked.withColumns(given).select(*keys, *[f.name for f in fields])
+        lost = F.col("_lost") | F.col("_reply").isNull()
+        rows, budget = asked.select(*keys, F.col("_reply").alias("record"), lost.alias("_lost")), 2 * budget  # so the rounds end
 
 
 def sem_aggregate(df: DataFrame, task: str, fields: list[Field], judge: Judge, *, budget: int = 8000) -> DataFrame:

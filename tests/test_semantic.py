@@ -109,6 +109,43 @@ def test_aggregate_in_packs(spark, animals):
         assert [r.total for r in found.collect()] == [7259]
 
 
+def _adder(spoiled=None):
+    """Adds weights; has no answer to a pack that holds `spoiled`."""
+
+    def model(prompts):
+        out = []
+        for p in prompts:
+            records = json.loads(_record(p)["records"])
+            total = sum(json.loads(x).get("weight", json.loads(x).get("total", 0)) for x in records)
+            out.append("none" if any(json.loads(x).get("weight") == spoiled for x in records) and spoiled else json.dumps({"total": total}))
+        return out
+
+    return model
+
+
+def test_an_unanswered_pack_leaves_no_partial_answer(spark):
+    rows = [(k, 100_000 + i) for k in ("a", "b") for i in range(60)] + [("b", 7)]
+    df = spark.createDataFrame(rows, "k string, weight long")
+    fields = [Field("total", "bigint")]
+    fine = semantic.sem_aggregate(df, "Add.", fields, Judge(model=_adder()), budget=80).collect()
+    assert [r.total for r in fine] == [sum(w for _, w in rows)]
+    assert [r.total for r in semantic.sem_aggregate(df, "Add.", fields, Judge(model=_adder(7)), budget=80).collect()] == [None]
+    found = {r.k: r.total for r in semantic._reduced(df, ["k"], "Add.", fields, Judge(model=_adder(7)), 80).collect()}
+    assert found == {"a": sum(w for k, w in rows if k == "a"), "b": None}
+
+
+def test_equal_records_spread_over_packs(spark):
+    df = spark.createDataFrame([(5,)] * 500 + [(i,) for i in range(1000, 1040)], "weight long")
+
+    def model(prompts):
+        for p in prompts:
+            assert len(json.loads(_record(p)["records"])) < 120, "a pack far over its budget"
+        return _adder()(prompts)
+
+    found = semantic.sem_aggregate(df, "Add.", [Field("total", "bigint")], Judge(model=model), budget=400).collect()
+    assert [r.total for r in found] == [2500 + sum(range(1000, 1040))]
+
+
 def test_groupby_builtin_and_null_keys(spark):
     df = spark.createDataFrame([("a", 1.5), ("a", None), (None, None), ("b", None)], "k string, v double")
     rows = {r.k: r for r in semantic.sem_groupby(df, [Field("k")], [("v", "count", "n"), ("v", "sum", "s"), ("v", "mean", "m"), ("v", "min"), ("v", "max")], Judge()).collect()}
