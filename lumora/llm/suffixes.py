@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,8 @@ def sampled(data: np.ndarray, bounds: np.ndarray, length: int, prefix: int = PRE
     """The suffixes that stand for all strings of `length` bytes of the texts between bounds.
 
     Each such string is stood for by the suffix, starting within it, whose prefix has the
-    least fingerprint (the first of equals): equal strings have it at the same place. Returned
+    least fingerprint (the first of equals): equal strings have it at the same place. Places
+    take 24 bits, so the texts are under 16 MiB together. Returned
     are, for each suffix, the fingerprint of its prefix, one of all bytes that its strings
     cover, the first string's start and the number of strings, which follow one another.
     """
@@ -106,19 +107,26 @@ def sampled(data: np.ndarray, bounds: np.ndarray, length: int, prefix: int = PRE
     return grams[at], mixed(covered ^ ((at - first).astype(np.uint64) * _ODD) ^ (count.astype(np.uint64) << np.uint64(48))), first, count
 
 
-def _cut(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `size` bytes together."""
-    at, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > size:
-            yield at, i
-            at, held = i, 0
-        held += len(text)
-    if texts:
-        yield at, len(texts)
-
+def _cut(texts: list[bytes], length: int, size: int = BLOCK) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Blocks of pieces (text, offset, bytes) of about `size` bytes together.
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    A longer text is cut into pieces that overlap by length - 1 bytes, so that each string
+    of `length` bytes lies in just one.
+    """
+    block, held = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), size):
+            piece = text[at : at + size + length - 1] if at or len(text) > size else text
+            if held and held + len(piece) > size:
+                yield block
+                block, held = [], 0
+            block.append((i, at, piece))
+            held += len(piece)
+    if block:
+        yield block
+
+
+def _joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
 
 
@@ -139,13 +147,15 @@ def suffixes(rows: DataFrame, length: int) -> DataFrame:
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in sliced(batches):
             uid, texts = numbers(batch.column("uid")), binaries(batch.column("text"))
-            for a, b in _cut(texts):
-                data, bounds = _joined(texts[a:b])
+            for block in _cut(texts, length):
+                text, offset, pieces = zip(*block, strict=True)
+                data, bounds = _joined(pieces)
                 prefix, covered, first, count = sampled(data, bounds, length)
-                doc = np.searchsorted(bounds, first, side="right") - 1
+                own = np.searchsorted(bounds, first, side="right") - 1
                 # empty texts share a bound with the next; the last of equals is the text that holds it
+                at = first - bounds[own] + np.array(offset)[own]
                 yield {
-                    "uid": pa.array(uid[a:b][doc]), "at": pa.array((first - bounds[doc]).astype(np.int32)), "strings": pa.array(count.astype(np.int32)),
+                    "uid": pa.array(uid[np.array(text)[own]]), "at": pa.array(at.astype(np.int32)), "strings": pa.array(count.astype(np.int32)),
                     "prefix": pa.array(prefix.view(np.int64)), "covered": pa.array(covered.view(np.int64)),
                 }
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -58,6 +59,27 @@ def test_cleaned_keeps_columns_and_whole_letters(spark, awkward):
     assert rows[1] == ("", "a") and rows[2] == ("x", "b")
 
 
+def test_pieces_of_long_texts_hold_each_string_once():
+    texts = [prose(50, 40).encode(), b"", prose(51, 400).encode(), b"x" * 100, prose(52, 30).encode()]
+    blocks = list(suffixes._cut(texts, 50, size=200))
+    found = Counter((i, at + p) for block in blocks for i, at, piece in block for p in range(len(piece) - 49))
+    assert found == Counter((i, p) for i, t in enumerate(texts) for p in range(len(t) - 49))
+    assert all(texts[i][at : at + len(piece)] == piece for block in blocks for i, at, piece in block)
+    assert max(sum(len(x) for *_, x in block) for block in blocks) < 200 + 50
+
+
+def test_passages_behind_16_mib(spark):
+    passage, r = prose(60, 120), random.Random(61)
+    long = [r.randbytes(8_400_000).hex(), r.randbytes(300_000).hex()]  # the passage stands behind the first 16 MiB
+    at_cut = r.randbytes(524_188).hex()  # and over the end of a piece
+    rows = [(1, long[0] + passage + long[1]), (2, "head " + passage + " tail"), (3, at_cut + passage + prose(62, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x for x in suffixes.deduplicated(df).collect()}
+    spans = {i: [(x.start, x.end) for x in found[i].spans] for i in found}
+    assert spans[2] == [(5, 5 + len(passage))] and bytes(found[2].left) == b"head  tail"
+    assert (len(long[0]), len(long[0]) + len(passage)) in spans[1] and (len(at_cut), len(at_cut) + len(passage)) in spans[3]
+
+
 def test_query(spark):
     from lumora.llm import queries
     from tests.conftest import DATA
