@@ -19,14 +19,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group with 5-word shingles of similarity 0.8 or more.
 
-    Repeated rows of the doc_id that stays count as one; rows without doc_id stay.
+    Rows of one doc_id and text count as one, unlike texts of one doc_id as others; rows without doc_id stay.
     """
-    groups = simhash.similar(docs, shingle=5, similarity=0.8)
-    stay = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = written(stay, "one-of-each")
-    found = docs.join(stay.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if stay.where("n > 1").limit(1).count():  # only repeated ids need their rows grouped
-        found = found.unionByName(docs.join(stay.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    groups = simhash.similar(docs, shingle=5, similarity=0.8).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "uid"))
+    stay = groups.groupBy("component").agg(first.alias("first"))
+    stay = written(stay.select("first.uid"), "one-of-each")
+    again = groups.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(stay, "uid", "left_semi")
+    again = written(again.select("uid"), "repeated-rows")
+    rows = docs.withColumn("uid", simhash.row_id())
+    found = rows.join(stay.join(again, "uid", "left_anti"), "uid", "left_semi").unionByName(rows.where("doc_id is null"))
+    if again.limit(1).count():  # only repeated rows need to be grouped
+        found = found.unionByName(rows.join(again, "uid", "left_semi").dropDuplicates(["doc_id", "text"]))
     return found.select(docs.columns)
 
 

@@ -42,34 +42,44 @@ def _majority(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def simhash(text: bytes, shingle: int = 5, seed: int = 42, n_words: int = 1) -> list[int]:
-    """The SimHash of a text's word shingles, repeats included, as n_words 64-bit numbers.
+def simhash(text: bytes, shingle: int = 5, seed: int = 42, n_words: int = 1, distinct: bool = False) -> list[int]:
+    """The SimHash of a text's word shingles, repeats included unless `distinct`, as n_words 64-bit numbers.
 
     Words lie between ASCII white space, A-Z in lower case; a shorter text is one shingle,
     a text without words has fingerprint 0. A bit is set if it is set in over half of the
     shingles' XXH64, or of what is mixed from it for the numbers after the first.
     """
     hashes = _hashes(text, shingle, seed)
+    hashes = np.unique(hashes) if distinct else hashes
     found = [_majority(hashes)]
     for i in range(1, n_words):
         found.append(_majority(mixed(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << BITS)))))
     return [int(x) for x in found]
 
 
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A hash of id and text, so that only equal rows share it; null text counts as empty."""
+    return F.xxhash64(F.col(doc_id).cast("string"), F.lit("\0"), F.coalesce(F.col(text), F.lit("")))
+
+
 def fingerprints(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, n_words: int = 1
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, n_words: int = 1, distinct: bool = False
 ) -> DataFrame:
-    """doc_id, fp (the fingerprint as n_words signed longs) of each document; null text counts as empty."""
+    """doc_id, fp (the fingerprint as n_words signed longs) of each document; null text counts as empty.
+
+    With `distinct`, repeated shingles count once and rows have their row_id() as uid.
+    """
+    more = ["uid"] if distinct else []
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in sliced(batches):
-            found = [simhash(x, shingle, seed, n_words) for x in binaries(batch.column("text"))]
+            found = [simhash(x, shingle, seed, n_words, distinct) for x in binaries(batch.column("text"))]
             flat = pa.array(np.array(found, dtype=np.uint64).reshape(-1).view(np.int64))
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_words)
-            yield {"doc_id": batch.column("doc_id"), "fp": pa.ListArray.from_arrays(ends, flat)}
+            yield {x: batch.column(x) for x in ("doc_id", *more)} | {"fp": pa.ListArray.from_arrays(ends, flat)}
 
-    rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(in_order(["doc_id", "fp"], body), "doc_id long, fp array<long>")
+    rows = narrowed(docs, doc_id=id_col, text=text_col).withColumn("uid", row_id()).select(F.col("doc_id").cast("long"), *more, "text")
+    return rows.mapInArrow(in_order(["doc_id", *more, "fp"], body), f"doc_id long, {'uid long, ' if distinct else ''}fp array<long>")
 
 
 def masks(distance: int, blocks: int) -> list[int]:
@@ -102,11 +112,12 @@ def similar_blocks(n: int, similarity: float, recall: float) -> tuple[int, int,
 
     Such texts differ in a share p of the bits, the angle between their shingle counts. A
     block is wide enough that random fingerprints meet few others, and there are enough of them
-    that a pair of just that similarity shares one with probability `recall`.
+    that a pair of just that similarity shares one with probability `recall`. The differing
+    bits are those that all but one in 30,000 of such pairs stay within, four standard deviations over the mean.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     width = next(w for w in (16, 32) if w == 32 or n < 1 << (w + 10))
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width)), round(256 * (p + 0.02))
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width)), round(256 * p + 4 * math.sqrt(256 * p * (1 - p)))
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,16 +209,17 @@ def links(fps: DataFrame, keys: list[Column], *, distance: int, n_words: int = 1
 
 
 def _grouped(fps: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, fp, component_id of fingerprints, with the links that found() gives for the distinct ones."""
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    """fps with component (a number) and component_id, by the links that found() gives for the distinct ones."""
+    own = [F.min("uid").alias("uid")] if "uid" in fps.columns else []
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *own).withColumn("node", F.monotonically_increasing_id())
     least = written(least, "distinct-fingerprints")
-    reached = components(found(least.select("node", "fp")))
+    reached = components(found(least.drop("least")))
     joined = written(
         least.join(reached, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")), "components"
     )
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(ids, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = joined.join(ids, "component").select("fp", "component", "component_id")
+    return fps.join(of, "fp")
 
 
 def near_duplicates(
@@ -233,7 +245,91 @@ def near_duplicates(
         chosen = masks(distance, blocks or blocks_for(distinct.count(), distance))
         return links(distinct, [F.col("fp")[0].bitwiseAND(F.lit(m)) for m in chosen], distance=distance)
 
-    return _grouped(fps, found).withColumn("fp", F.col("fp")[0])
+    return _grouped(fps, found).select("doc_id", F.col("fp")[0].alias("fp"), "component_id")
+
+
+def _alike(words: np.ndarray, own: np.ndarray, flat: np.ndarray, ends: np.ndarray, distance: int, similarity: float) -> tuple[list, list]:
+    """A forest over sets that joins what pairs of at least the similarity join.
+
+    Set k is flat[ends[k]:ends[k + 1]], sorted; pairs of over `distance` bits of words are not
+    compared, and where two parts (own) meet only pairs of both.
+    """
+    a, b = [], []
+    n, size = len(words), np.diff(ends)
+    label, both = np.arange(n), own.min() != own.max()
+    for i in range(n - 1):
+        ok = (label[i + 1 :] != label[i]) & (np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]))
+        if both:
+            ok &= own[i + 1 :] != own[i]
+        j = i + 1 + np.flatnonzero(ok)
+        j = j[_apart(words[j], words[i]) <= distance]
+        if not len(j):
+            continue
+        mine, steps = flat[ends[i] : ends[i + 1]], np.concatenate(([0], np.cumsum(size[j])))
+        theirs = np.concatenate([flat[ends[k] : ends[k + 1]] for k in j])
+        met = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.diff(np.concatenate(([0], np.cumsum(met)))[steps])
+        for k in j[common * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-9]:
+            if label[k] != label[i]:
+                a.append(i)
+                b.append(k)
+                label[label == label[k]] = label[i]
+    return a, b
+
+
+def verified(
+    docs: DataFrame, distinct: DataFrame, candidates: DataFrame, *, shingle: int, seed: int, distance: int, similarity: float, part: int = 1024, most: int = 1 << 20
+) -> DataFrame:
+    """a, b: links between nodes (node, uid, fp) whose sets of shingle hashes have a Jaccard similarity of at least `similarity`.
+
+    They join what all such pairs do that differ in at most `distance` bits of 256 and that
+    `candidates` joins. A component of candidates with over `part` nodes or `most`
+    shingles is cut into parts, and each two of them are one cell that emits a forest.
+    docs: doc_id, text.
+    """
+    reached = components(candidates)
+    words = [f"w{i}" for i in range(4)]
+    asked = distinct.join(reached, "node").select("uid", "node", "component", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)])
+    asked = written(asked, "candidates")
+    names = ["node", "component", *words, "shingles"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in sliced(batches):
+            found = [np.unique(_hashes(x, shingle, seed).view(np.int64)) for x in binaries(batch.column("text"))]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield {x: batch.column(x) for x in names[:-1]} | {"shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))}
+
+    kinds = ", ".join(f"{x} long" for x in names[:-1]) + ", shingles array<long>"
+    rows = docs.withColumn("uid", row_id()).select("uid", "text").join(asked, "uid")
+    held = written(rows.select(*names[:-1], "text").mapInArrow(in_order(names, sets), kinds).dropDuplicates(["node"]), "shingle-sets")
+    parts = held.groupBy("component").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / part), F.ceil(F.sum(F.size("shingles")) / most), F.lit(1)).cast("long").alias("parts")
+    )
+    cells = (
+        held.join(parts, "component")
+        .withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select(*names, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+    key = ["component", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for table, starts in runs(batches, key):
+            table = table.combine_chunks()
+            node, own = numbers(table.column("node").chunk(0)), numbers(table.column("own").chunk(0))
+            x = np.stack([numbers(table.column(w).chunk(0)).view(np.uint64) for w in words], axis=1)
+            shingles = table.column("shingles").chunk(0)
+            flat = numbers(shingles.flatten())
+            ends = np.concatenate(([0], np.cumsum(numbers(shingles.value_lengths()))))
+            a, b = [], []
+            for s, e in zip(starts, np.append(starts[1:], len(node)), strict=True):
+                p, q = _alike(x[s:e], own[s:e], flat, ends[s : e + 1], distance, similarity)
+                a += node[s:e][p].tolist() if p else []
+                b += node[s:e][q].tolist() if q else []
+            yield {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
+
+    found = cells.repartition(*key).sortWithinPartitions(*key)
+    return found.mapInArrow(in_order(["a", "b"], compare), "a long, b long")
 
 
 def similar(
@@ -246,20 +342,27 @@ def similar(
     similarity: float = 0.8,
     recall: float = 0.95,
 ) -> DataFrame:
-    """doc_id, component_id of every row, linked if the word shingles have a Jaccard similarity of about `similarity`.
+    """doc_id, uid (row_id()), component, component_id of every row, linked if the sets of word shingles have a Jaccard similarity of at least `similarity`.
 
     Texts that alike differ in too many of 64 bits for whole blocks to agree for certain, so
-    fingerprints are wider: pairs of just that similarity share one of their blocks with
-    probability `recall` (more similar ones nearly always), and are verified by the Hamming
-    distance of 256 bits. Nulls, repeats and ties are as in near_duplicates().
+    fingerprints are wider, and of distinct shingles: pairs of just that similarity share one of their blocks with
+    probability `recall` (more similar ones nearly always) and all but one in 30,000 of these
+    are candidates by the Hamming distance of 256 bits; candidates are verified by their
+    sets of shingle hashes, so no other pairs link. `component` tells groups apart that share a
+    component_id because unlike texts share a doc_id. Nulls, repeats and ties are as in near_duplicates().
     """
     n = docs.count()
     width, blocks, distance = similar_blocks(n, similarity, recall)
     each = BITS // width
     n_words = max(4, -(-blocks // each))
-    fps = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, n_words=n_words)
+    fps = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, n_words=n_words, distinct=True)
     keys = [
         F.shiftrightunsigned(F.col("fp")[k // each], width * (k % each)).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)
     ]
-    found = _grouped(written(fps, "fingerprints"), lambda distinct: links(distinct, keys, distance=distance, n_words=4))
-    return found.select("doc_id", "component_id")
+    rows = narrowed(docs, doc_id=id_col, text=text_col)
+
+    def found(distinct: DataFrame) -> DataFrame:
+        candidates = links(distinct, keys, distance=distance, n_words=4)
+        return verified(rows, distinct, candidates, shingle=shingle, seed=seed, distance=distance, similarity=similarity)
+
+    return _grouped(written(fps, "fingerprints"), found).select("doc_id", "uid", "component", "component_id")

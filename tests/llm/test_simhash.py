@@ -106,6 +106,56 @@ def test_similar_texts_are_linked(spark):
     assert all(found[2 * i] == found[2 * i + 1] == 2 * i for i in range(40))
 
 
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _jaccard(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_recall_and_false_links_about_the_threshold(spark):
+    r, rows, want = random.Random(9), [], {}
+    words = [f"w{i}" for i in range(5000)]
+    for i in range(240):
+        common = [r.choice(words) for _ in range(300)]
+        alone = round(300 * (1 / (0.70 + 0.15 * i / 239) - 1) / 2)  # similarities from about 0.70 to 0.85
+        pair = [" ".join(common + [r.choice(words) for _ in range(alone)]) for _ in range(2)]
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        want[i] = _jaccard(*pair) >= 0.8
+    found = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {i: found[2 * i] == found[2 * i + 1] for i in want}
+    assert not any(got[i] for i in want if not want[i])
+    assert 60 < sum(want.values()) < 120 and sum(got[i] for i in want if want[i]) >= 0.92 * sum(want.values())
+
+
+def test_repeated_lines_and_parts_of_dense_groups(spark):
+    r = random.Random(10)
+    words = [r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(300)]
+    line = " ".join(words[40:60])
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:60], *[line] * 300, *words[60:]]))]
+    found = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1}
+    base, sets = [r.getrandbits(62) for _ in range(400)], []
+    for _ in range(60):
+        sets.append(np.unique(r.sample(base, r.randint(330, 370)) + [r.getrandbits(62) for _ in range(8)]))
+    hit = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    a, b = simhash._alike(np.zeros((60, 4), np.uint64), np.zeros(60), np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 62, 0.8)
+    assert (roots(60, np.array(a, int), np.array(b, int)) == roots(60, *np.nonzero(hit))).all() and len(a) < 60
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    a, b, c = (" ".join(str(r.randrange(10**6)) for _ in range(80)) for _ in range(3))
+    rows = [(7, a), (7, b), (7, b), (3, c), (7, c + " more"), (8, a), (None, a)]
+    found = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted(((x.doc_id, x.text) for x in found), key=str) == sorted([(7, a), (7, b), (3, c), (None, a)], key=str)
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (1001, 1000), (7, 7)]
     random.Random(1).shuffle(chain)
