@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import binaries, in_order, narrowed, new_path, numbers, removed, runs, sliced, written
+from lumora.llm.shared import binaries, dropped, in_order, narrowed, new_path, numbers, removed, runs, sliced, written
 
 #: Bytes of a suffix's own prefix, by whose fingerprint a suffix array is ordered.
 PREFIX = 40
@@ -23,8 +23,8 @@ _STEP = 0x2545F4914F6CDD1D
 _SIGNS = np.random.Generator(np.random.PCG64(200)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-#: A string on its way to its slot: its fingerprint, how often it was met (2: at least), its owner or -1.
-STRING = np.dtype([("key", "<i8"), ("uid", "<i8"), ("at", "<i4"), ("n", "<i4")])
+#: A string on its way to its slot: its fingerprint, its row, its place there (-1: not to be settled), how often it was met (2: at least).
+STRING = np.dtype([("key", "<i8"), ("uid", "<i8"), ("also", "<i4"), ("at", "<i4"), ("n", "<i4")])
 
 
 class _Powers:
@@ -131,37 +131,38 @@ def _joined(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (null: empty), uid: a hash of both, so that only equal rows share it; rest: the other columns by place."""
+    """doc_id, text (null: empty), uid and also: 96 bits of hashes of both, which only equal rows share; rest: the other columns by place."""
     others = [docs[x].alias(f"c{i}") for i, x in enumerate(docs.columns) if x not in (id_col, text_col)]
     rest = F.struct(F.lit(True).alias("row"), *others)
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), rest.alias("rest"))
-    return rows.withColumn("uid", F.xxhash64(F.col("doc_id").cast("string"), F.lit("\0"), "text"))
+    both = [F.col("doc_id").cast("string"), F.lit("\0"), F.col("text")]
+    return rows.withColumns({"uid": F.xxhash64(*both), "also": F.hash(*both)})
 
 
 def suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """uid, at, strings, prefix, covered: the sampled suffixes of the rows of identified().
+    """uid, also, at, strings, prefix, covered: the sampled suffixes of the rows of identified().
 
     `at` is the first string of `length` bytes that a suffix stands for, `strings` their number.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in sliced(batches):
-            uid, texts = numbers(batch.column("uid")), binaries(batch.column("text"))
+            uid, also, texts = numbers(batch.column("uid")), numbers(batch.column("also"), "int32"), binaries(batch.column("text"))
             for block in _cut(texts, length):
                 text, offset, pieces = zip(*block, strict=True)
                 data, bounds = _joined(pieces)
                 prefix, covered, first, count = sampled(data, bounds, length)
                 own = np.searchsorted(bounds, first, side="right") - 1
                 # empty texts share a bound with the next; the last of equals is the text that holds it
-                at = first - bounds[own] + np.array(offset)[own]
+                at, row = first - bounds[own] + np.array(offset)[own], np.array(text)[own]
                 yield {
-                    "uid": pa.array(uid[np.array(text)[own]]), "at": pa.array(at.astype(np.int32)), "strings": pa.array(count.astype(np.int32)),
+                    "uid": pa.array(uid[row]), "also": pa.array(also[row]), "at": pa.array(at.astype(np.int32)), "strings": pa.array(count.astype(np.int32)),
                     "prefix": pa.array(prefix.view(np.int64)), "covered": pa.array(covered.view(np.int64)),
                 }
 
-    names = ["uid", "at", "strings", "prefix", "covered"]
-    return rows.select("uid", "text").where(F.octet_length("text") >= length).mapInArrow(
-        in_order(names, body), "uid long, at int, strings int, prefix long, covered long"
+    names = ["uid", "also", "at", "strings", "prefix", "covered"]
+    return rows.select("uid", "also", "text").where(F.octet_length("text") >= length).mapInArrow(
+        in_order(names, body), "uid long, also int, at int, strings int, prefix long, covered long"
     )
 
 
@@ -211,8 +212,15 @@ class SuffixIndex:
             found = found.unionByName(level)
         found = found.join(hits.distinct(), "prefix", "left_semi")
         found = written(found.groupBy("prefix", "covered").agg(F.sum("n").alias("n")), "repeated")
+        self.found = found
         return found.join(found.groupBy("prefix").agg((F.min("n") == 1).alias("mixed")), "prefix")
 
+    def close(self) -> None:
+        """Delete the index, once nothing reads it any more."""
+        for _, path, _ in self.levels:
+            removed(self.spark, path)
+        dropped(*self.hits, self.found)
+
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For contexts with their prefixes: a fingerprint of each string, its row and its place there."""
@@ -228,14 +236,15 @@ def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batches: int = 4, part: int = 1000, slot: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """The rows of identified(), and uid, a, b: byte ranges covered by strings of `length` that start anywhere else too.
+    """The rows of identified(), and uid, also, a, b: byte ranges covered by strings of `length` that start anywhere else too.
 
     The documents enter a SuffixIndex in `batches` batches. Suffixes with equal covered
     bytes settle at once; where a prefix occurs again among other bytes, the strings
     of each distinct context are compared one by one. A prefix of up to `part` contexts is
     compared in one place. The strings of more common ones are first compared within each
     batch, and then each distinct one goes once, whatever its prefix, to the slot of its
-    fingerprint; slots hold about `slot` strings. Ranges of a document overlap.
+    fingerprint; slots hold about `slot` strings. Ranges of a document overlap; those of
+    equal rows come once or more.
     """
     rows = identified(docs, id_col, text_col)
     placed = written(suffixes(rows, length), "suffixes")
@@ -244,35 +253,38 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         index.insert(placed.where(F.pmod("uid", F.lit(batches)) == k))
     again = placed.join(index.repeated(), ["prefix", "covered"])
     again = written(again, "repeated-suffixes")
-    settled = again.where("n > 1").select("uid", F.col("at").alias("a"), (F.col("at") + F.col("strings") - 1 + length).alias("b"))
+    index.close()
+    dropped(placed)
+    settled = again.where("n > 1").select("uid", "also", F.col("at").alias("a"), (F.col("at") + F.col("strings") - 1 + length).alias("b"))
     # one place for each distinct context of a prefix that has unsettled ones
-    contexts = again.where("mixed").groupBy("prefix", "covered").agg(F.min(F.struct("uid", "at", "strings", "n")).alias("s"))
+    contexts = again.where("mixed").groupBy("prefix", "covered").agg(F.min(F.struct("uid", "also", "at", "strings", "n")).alias("s"))
     crowds = contexts.groupBy("prefix").agg((F.count(F.lit(1)) > part).alias("crowd"))
     asked = contexts.join(crowds, "prefix").select("prefix", "crowd", "s.*")
-    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("prefix", "crowd", "at", "strings", "n")).alias("asked"))
+    asked = asked.groupBy("uid", "also").agg(F.collect_list(F.struct("prefix", "crowd", "at", "strings", "n")).alias("asked"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in sliced(batches):
             found: list[tuple] = []
-            uids = batch.column("uid").to_pylist()
-            for uid, text, wanted in zip(uids, binaries(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+            uids, alsos = batch.column("uid").to_pylist(), batch.column("also").to_pylist()
+            for uid, also, text, wanted in zip(uids, alsos, binaries(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
                 for x in wanted:
                     at = x["at"]
-                    found.append((x["prefix"], x["crowd"], uid, at, x["n"] == 1, text[at : at + x["strings"] - 1 + length]))
+                    found.append((x["prefix"], x["crowd"], uid, also, at, x["n"] == 1, text[at : at + x["strings"] - 1 + length]))
             if found:
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield dict(zip(names, map(pa.array, zip(*found, strict=True), kinds), strict=True))
 
-    names = ["prefix", "crowd", "uid", "at", "open", "context"]
-    # equal rows share a uid, and one of them shows the bytes
-    known = rows.join(asked, "uid").dropDuplicates(["uid"]).select("uid", "text", "asked")
-    contexts = written(known.mapInArrow(in_order(names, fetch), "prefix long, crowd boolean, uid long, at int, open boolean, context binary"), "contexts")
+    names = ["prefix", "crowd", "uid", "also", "at", "open", "context"]
+    # one of equal rows shows the bytes, the first of each task and then of these
+    known = rows.select("uid", "also", "text").join(asked, ["uid", "also"]).dropDuplicates(["uid", "also"]).select("uid", "also", "text", "asked")
+    contexts = written(known.mapInArrow(in_order(names, fetch), "prefix long, crowd boolean, uid long, also int, at int, open boolean, context binary"), "contexts")
 
-    def ranges(uid: np.ndarray, start: np.ndarray) -> dict:
-        """Runs of strings that follow one another, sorted by uid and start."""
-        new = np.flatnonzero(np.concatenate(([True], (uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + 1)))) if len(uid) else np.zeros(0, int)
+    def ranges(uid: np.ndarray, also: np.ndarray, start: np.ndarray) -> dict:
+        """Runs of strings that follow one another, sorted by row and start."""
+        other = (uid[1:] != uid[:-1]) | (also[1:] != also[:-1])
+        new = np.flatnonzero(np.concatenate(([True], other | (start[1:] != start[:-1] + 1)))) if len(uid) else np.zeros(0, int)
         last = np.append(new[1:], len(uid))[: len(new)] - 1
-        return {"uid": pa.array(uid[new]), "a": pa.array(start[new].astype(np.int32)), "b": pa.array((start[last] + length).astype(np.int32))}
+        return {"uid": pa.array(uid[new]), "also": pa.array(also[new].astype(np.int32)), "a": pa.array(start[new].astype(np.int32)), "b": pa.array((start[last] + length).astype(np.int32))}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table, _ in runs(batches, ["prefix"]):
@@ -281,30 +293,31 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
             _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
             hit = (count[inverse] > 1) & batch.column("open").to_numpy(zero_copy_only=False)[row]
             row, place = row[hit], place[hit]
-            yield ranges(numbers(batch.column("uid"))[row], numbers(batch.column("at"))[row] + place)
+            yield ranges(numbers(batch.column("uid"))[row], numbers(batch.column("also"))[row], numbers(batch.column("at"))[row] + place)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         none = np.zeros(0, np.int64)
         for batch in batches:
             key, row, place = _windows(batch, length)
-            uid, at = numbers(batch.column("uid"))[row], numbers(batch.column("at"))[row] + place
+            uid, also, at = (numbers(batch.column(x))[row] for x in ("uid", "also", "at"))
+            at = at + place
             own = batch.column("open").to_numpy(zero_copy_only=False)[row]
             _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             hit = (count[inverse] > 1) & own
-            met = ranges(uid[hit], at[hit])
+            met = ranges(uid[hit], also[hit], at[hit])
             n = len(met["uid"])
             yield met | {"slot": pa.array([None] * n, pa.int64()), "strings": pa.array([None] * n, pa.binary())}
             # each distinct string with its owner, if only one place of the batch is open to be settled
             sent = np.zeros(len(first), dtype=STRING)
             alone = (count == 1) & own[first]
             sent["key"], sent["n"] = key[first], np.minimum(count, 2)
-            sent["uid"], sent["at"] = uid[first], np.where(alone, at[first], -1)
+            sent["uid"], sent["also"], sent["at"] = uid[first], also[first], np.where(alone, at[first], -1)
             to = (((sent["key"].view(np.uint64) >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.flatnonzero(np.diff(to[order], prepend=-1))
             parts = [sent[i].tobytes() for i in np.split(order, cut[1:])] if len(order) else []
             yield {
-                "uid": pa.nulls(len(parts), pa.int64()), "a": pa.nulls(len(parts), pa.int32()), "b": pa.nulls(len(parts), pa.int32()),
+                "uid": pa.nulls(len(parts), pa.int64()), "also": pa.nulls(len(parts), pa.int32()), "a": pa.nulls(len(parts), pa.int32()), "b": pa.nulls(len(parts), pa.int32()),
                 "slot": pa.array(to[order][cut] if len(order) else none), "strings": pa.array(parts, pa.binary()),
             }
 
@@ -312,17 +325,17 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
         sent = np.frombuffer(b"".join(table.column("strings").to_pylist()), dtype=STRING)
         _, inverse = np.unique(sent["key"], return_inverse=True)
         hit = sent[(np.bincount(inverse, sent["n"])[inverse] > 1) & (sent["at"] >= 0)]
-        hit = hit[np.lexsort((hit["at"], hit["uid"]))]
-        return pa.table(ranges(hit["uid"].astype(np.int64), hit["at"].astype(np.int64)))
+        hit = hit[np.lexsort((hit["at"], hit["also"], hit["uid"]))]
+        return pa.table(ranges(*(hit[x].astype(np.int64) for x in ("uid", "also", "at"))))
 
-    few = contexts.where("not crowd").repartition("prefix").sortWithinPartitions("prefix").select("prefix", "uid", "at", "open", "context")
-    few = few.mapInArrow(in_order(["uid", "a", "b"], compare), "uid long, a int, b int")
+    few = contexts.where("not crowd").repartition("prefix").sortWithinPartitions("prefix").select("prefix", "uid", "also", "at", "open", "context")
+    few = few.mapInArrow(in_order(["uid", "also", "a", "b"], compare), "uid long, also int, a int, b int")
     many = contexts.where("crowd")
     slots = -(-(many.agg(F.sum(F.octet_length("context") - length + 1)).first()[0] or 0) // slot) or 1
-    met = many.mapInArrow(in_order(["uid", "a", "b", "slot", "strings"], meet), "uid long, a int, b int, slot long, strings binary")
+    met = many.mapInArrow(in_order(["uid", "also", "a", "b", "slot", "strings"], meet), "uid long, also int, a int, b int, slot long, strings binary")
     met = written(met, "met-strings")
-    many = met.where("slot is null").select("uid", "a", "b").unionByName(
-        met.where("slot is not null").select("slot", "strings").groupBy("slot").applyInArrow(settle, "uid long, a int, b int")
+    many = met.where("slot is null").select("uid", "also", "a", "b").unionByName(
+        met.where("slot is not null").select("slot", "strings").groupBy("slot").applyInArrow(settle, "uid long, also int, a int, b int")
     )
     return rows, settled.unionByName(few).unionByName(many)
 
@@ -336,7 +349,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     An empty table gives none. `options` are those of spans().
     """
     rows, found = spans(docs, **options)
-    found = found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    # a set, as equal rows share their ranges: each task keeps one of each before the shuffle
+    found = found.groupBy("uid", "also").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in sliced(batches):
@@ -355,7 +369,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
             yield {"doc_id": batch.column("doc_id"), "rest": batch.column("rest"), "left": pa.array(left, pa.binary()), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "spans": pa.array(cuts, span)}
 
     kinds = {x: rows.schema[x].dataType.simpleString() for x in ("doc_id", "rest")}
-    return rows.join(found, "uid", "left").mapInArrow(
+    return rows.join(found, ["uid", "also"], "left").mapInArrow(
         in_order(["doc_id", "rest", "left", "n_bytes", "spans"], body),
         f"doc_id {kinds['doc_id']}, rest {kinds['rest']}, left binary, n_bytes long, spans array<struct<start: long, end: long>>",
     )

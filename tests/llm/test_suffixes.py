@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumora.llm import suffixes
 from tests.llm.conftest import prose
@@ -88,3 +89,16 @@ def test_query(spark):
     want = {i: (len(t), n, k, hashlib.sha256(kept).hexdigest()) for (i, t), (kept, n, k) in zip(rows, brute([t for _, t in rows], 200), strict=True)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op2_suffixes(spark, DATA).collect()}
     assert got == want
+
+
+def test_many_equal_rows(spark):
+    text = random.Random(70).randbytes(1500).hex()
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(8)
+    found = suffixes.deduplicated(rows).groupBy("n_bytes", "spans", F.length("left").alias("left")).count().collect()
+    assert [(r.n_bytes, [(x.start, x.end) for x in r.spans], r.left, r["count"]) for r in found] == [(3000, [(0, 3000)], 0, 5000)]
+
+
+def test_rows_are_told_apart_by_96_bits(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None)], "doc_id long, text string")
+    rows = suffixes.identified(df, "doc_id", "text").select("uid", "also").collect()
+    assert len({r.uid for r in rows}) == len({r.also for r in rows}) == 5
