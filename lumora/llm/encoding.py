@@ -29,20 +29,27 @@ ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 class Encoder:
     """encode(text): the ids as bytes, little-endian unsigned 32-bit.
 
-    Special tokens' strings in a text are ordinary text. A byte-level vocabulary splits a
-    text into pieces that are merged one by one, so equal pieces are encoded once; the ids
-    are those of encoding the whole text. Other vocabularies encode each whole text.
+    The ids are those of the library's encode(text, add_special_tokens=False): an added
+    token's string in a text has that token's id, unless `literal`, which makes special
+    tokens' strings ordinary text. A byte-level vocabulary splits a text into pieces that
+    are merged one by one, so equal pieces are encoded once. Other vocabularies encode
+    each whole text.
     """
 
-    def __init__(self, path: str, kept: int | None = None):
+    def __init__(self, path: str, kept: int | None = None, literal: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        added = [x for x in spec.get("added_tokens") or [] if not (literal and x["special"])]
         self.by_piece = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+            and not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added)
         )
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest)})")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in plain]
         signs = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
@@ -81,6 +88,13 @@ class Encoder:
         if not self.by_piece:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
+        if any(x in text for x in self.added):
+            parts = self.cut.split(text)  # every other one is an added token
+            return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         plain = text and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and not ODD.search(text)
         if plain and not (text[0] in " \n" or text[-1] in " \n"):
             first, *words = text.replace("\n", " \n").split(" ")
@@ -97,13 +111,13 @@ _THRESHOLD = gc.get_threshold()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, kept: int | None = None) -> Encoder:
+def encoder(path: str, kept: int | None = None, literal: bool = False) -> Encoder:
     """The worker's own encoder, which lives as long as no other operator needs the worker.
 
     It makes very many strings and no cycles, so the worker looks for cycles less often.
     """
     gc.set_threshold(200_000, 20, 20)
-    return Encoder(path, kept)
+    return Encoder(path, kept, literal)
 
 
 def _forget() -> None:

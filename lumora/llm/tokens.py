@@ -39,7 +39,8 @@ def write(
     The texts are dealt by id range and sorted, then encoded, so ids are never shuffled.
     `before` counts the ids of the documents before it in its file, `part` numbers the files;
     only these small columns are read to find a document's place among all. Null texts count
-    as empty; rows with equal ids stay neighbours; null ids come first.
+    as empty; rows with equal ids stay neighbours, in the order of a hash of their texts, by
+    which the rows of one id (null among them, which come first) are dealt to several ranges.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -63,7 +64,7 @@ def write(
                 before += int(ends[-1])
 
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.withColumn("turn", F.xxhash64("text")).repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn").select("doc_id", "text")
     names = ["doc_id", "part", "before", "n_tokens", "tokens"]
     rows.mapInArrow(in_order(names, body, "encoder"), SCHEMA).write.options(**FORMAT).parquet(path)
 

@@ -13,15 +13,32 @@ SIGNS = [
 ]
 
 
-@pytest.mark.parametrize("name, n", [("byte_bpe_50k.json", 3000), ("word_bpe_49k.json", 200)])
-def test_same_ids_as_the_library(name, n, monkeypatch):
+@pytest.mark.parametrize("name, n, literal", [("byte_bpe_50k.json", 3000, False), ("byte_bpe_50k.json", 1000, True), ("word_bpe_49k.json", 200, False)])
+def test_same_ids_as_the_library(name, n, literal, monkeypatch):
     monkeypatch.setattr(encoding, "KEPT", 50)
     monkeypatch.setattr(encoding, "PIECES_KEPT", 20)  # memos are emptied again and again
     path = public_tokenizers.path(name)
-    own, whole = encoding.Encoder(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    own, whole = encoding.Encoder(path, literal=literal), Tokenizer.from_file(path)
+    whole.encode_special_tokens = literal  # False is the library's default
     r = random.Random(3)
     for _ in range(n):
         text = "".join(r.choices(SIGNS, k=r.randint(0, 9)))
         want = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert own.encode(text) == want, text
+
+
+def test_added_tokens_have_their_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = lambda text, **more: np.frombuffer(encoding.Encoder(path, **more).encode(text), dtype="<u4").tolist()
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275] and ids("<|endoftext|>") == [50256]
+    assert 50256 not in ids("a <|endoftext|> b", literal=True) and 50256 not in ids("<|endoftext|")
+
+
+def test_every_code_point():
+    """Each sign between letters, after a blank and doubled, so that a new version of the library cannot drift unseen."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, whole = encoding.Encoder(path), Tokenizer.from_file(path)
+    signs = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    texts = ["".join(f"a{c}b {c}{c}\n" for c in signs[i : i + 64]) for i in range(0, len(signs), 64)]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == want.ids, hex(ord(text[1]))

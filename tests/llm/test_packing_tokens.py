@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids_of(texts):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     return [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for t in texts]
 
 
@@ -98,6 +97,36 @@ def test_tokens_format(spark):
         assert all(c.has_offset_index and c.has_column_index for c in columns.values())
 
 
+def test_selective_reads(spark):
+    """Metadata without ids, and one document without the others: the plan reads these columns and pushes the bound down."""
+    from pyspark.sql import functions as F
+
+    path = new_path(spark, "tokens-selective")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    tokens.write(docs.repartition(7), path, tokenizer=PATH)
+    places = tokens.read(spark, path).select("doc_id", "start", "n_tokens")
+    plan = places._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in plan and places.count() == 6000
+    one = tokens.read(spark, path).where("doc_id = 4321")
+    assert "GreaterThan" in (text := one._jdf.queryExecution().executedPlan().toString()) or "EqualTo(doc_id,4321)" in text
+    assert one.first().tokens == ids_of(["text number 4321"])[0].tolist()
+
+
+def test_hot_and_special_ids(spark):
+    """Many rows of one id stay together in order of the files; a special token's string has its id."""
+    rows = [(7, f"row {i} <|endoftext|>") for i in range(300)] + [(None, "x"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = new_path(spark, "tokens-hot")
+    tokens.write(df, path, tokenizer=PATH)
+    found = tokens.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None, *[7] * 300, 8]
+    assert sorted(tuple(r.tokens) for r in found) == sorted(tuple(x.tolist()) for x in ids_of([t for _, t in rows]))
+    assert sum(50256 in r.tokens for r in found) == 300
+    packed = packing.pack(df, tokenizer=PATH).collect()
+    check_sequences(packed, 1024)
+    assert sum(r.length for r in packed) == sum(len(r.tokens) for r in found)
+
+
 def test_token_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     at, want = 0, {}
