@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lumora.llm.shared import binaries, components, in_order, narrowed, numbers, roots, runs, sliced, written
+from lumora.llm.shared import binaries, components, dropped, in_order, narrowed, numbers, roots, runs, sliced, written
 from lumora.llm.suffixes import mixed
 
 BITS = 64
 #: Fingerprints of one bucket that are compared in one cell; larger buckets become cells of two parts.
 PART = 2048
+#: Buckets of two or more fingerprints whose keys are broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def similar_blocks(n: int, similarity: float, recall: float) -> tuple[int, int,
     bits are those that all but one in 30,000 of such pairs stay within, four standard deviations over the mean.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    width = next(w for w in (16, 32) if w == 32 or n < 1 << (w + 10))
+    width = next(w for w in (16, 20, 24) if w == 24 or n < 1 << (w + 10))
     return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width)), round(256 * p + 4 * math.sqrt(256 * p * (1 - p)))
 
 
@@ -163,25 +165,25 @@ def _links(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, keys: list[Column], *, distance: int, n_words: int = 1, part: int = PART) -> DataFrame:
     """a, b: links between fingerprints (node, fp) that join all that share a key and differ in at most `distance` bits.
 
-    The distance is that of the first n_words numbers of fp. Each fingerprint goes to one
-    bucket for each key. Buckets of one are dropped by a join with the counts; a bucket over
-    `part` is cut into parts, and each two of them are one cell, so no task holds a bucket
-    whole. Within a cell only a forest is emitted, never all pairs of a group.
+    The distance is that of the first n_words numbers of fp. Each fingerprint belongs to one
+    bucket for each key. Buckets are counted first, by a hash of their key alone, and those of
+    one are dropped: while the others are few, their keys are broadcast and the fingerprints
+    of no other bucket are shuffled. A bucket over `part` is cut into parts, and each two of
+    them are one cell, so no task holds a bucket whole. Within a cell only a forest is
+    emitted, never all pairs of a group.
     """
     words = [f"w{i}" for i in range(n_words)]
-    keyed = fps.select(
-        "node", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)],
-        F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("block"), k.alias("bits")) for i, k in enumerate(keys)])).alias("key"),
-    ).select("key.block", "key.bits", "node", *words)
-    counts = keyed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.explode(F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(keys)])).alias("key")
+    counts = written(fps.select(own).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    keyed = fps.select("node", *[F.col("fp")[i].alias(w) for i, w in enumerate(words)], own)
     parts = F.ceil(F.col("n") / part)
     cells = (
-        keyed.join(counts, ["block", "bits"])
+        keyed.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "key")
         .withColumn("own", F.pmod(F.xxhash64("node"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("block", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *words)
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *words)
     )
-    key = ["block", "bits", "i", "j"]
+    key = ["key", "i", "j"]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for table, starts in runs(batches, key):
@@ -213,12 +215,14 @@ def _grouped(fps: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFra
     own = [F.min("uid").alias("uid")] if "uid" in fps.columns else []
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *own).withColumn("node", F.monotonically_increasing_id())
     least = written(least, "distinct-fingerprints")
-    reached = components(found(least.drop("least")))
-    joined = written(
-        least.join(reached, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component")), "components"
-    )
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(ids, "component").select("fp", "component", "component_id")
+    linked = least.join(components(found(least.drop("least"))), "node").select("node", "least", "component")
+    # of linked fingerprints alone; a component of very many is split by the adaptive skew join
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(ids, "component").select("node", "component", "component_id")
+    of = written(least.join(linked, "node", "left").select(
+        "fp", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    ), "components")
+    dropped(least)
     return fps.join(of, "fp")
 
 

@@ -54,6 +54,21 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     fps = {i: slow_fingerprint(t, 4) for i, t in texts.items()}
     assert all(r.fingerprint == f"{fps[r.doc_id]:016x}" for r in found) and len(found) == len(texts)
+    ids = sorted(fps)
+    x = np.array([fps[i] for i in ids], dtype=np.uint64)
+    want = roots(len(x), *np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4))  # all pairs
+    assert {r.doc_id: r.component_id for r in found} == {i: ids[k] for i, k in zip(ids, want, strict=True)}
+
+
+def test_clashing_columns_and_few_broadcast_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(5)] + [(9, "else"), (None, "else"), (None, None)], "doc_id long, text string")
+    docs = docs.withColumns({x: F.lit("x") for x in ("component", "node", "uid", "key", "least", "fp", "component_id")})
+    for most in (0, 100):  # joined by shuffle, and broadcast
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        found = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+        assert found == sorted([*((i, 0) for i in range(5)), (9, 9), (None, 9), (None, None)], key=str)
 
 
 @pytest.mark.parametrize("distance, blocks", [(4, 5), (4, 6), (4, 8), (2, 3), (0, 1)])
