@@ -97,8 +97,8 @@ def ftrl(rows: list[tuple[bytes, int]], *, alpha: float = 0.5, beta: float = 1.0
 
 
 def held_out(doc_id) -> F.Column:
-    """True for the quarter of the ids that no model learns from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """True for the quarter of the ids that no model learns from; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(
@@ -108,14 +108,14 @@ def fit(
 
     At most `sample` labelled documents are taken, by the order of their ids' hash; that
     bound lets one task fit the model, and the labels' ids be broadcast. A document with
-    several labels counts with their rounded mean, one with null labels not at all. Without
-    any row all scores are 0.5.
+    several labels counts with their rounded mean, one with null labels not at all; of
+    several texts of one id the least counts. Without any row all scores are 0.5.
     """
     known = narrowed(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = narrowed(docs, doc_id=id_col, text=text_col).join(F.broadcast(known), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "label")
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         data = []
