@@ -50,10 +50,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean stupid-backoff log score of each document's words by bigrams of the whole corpus."""
-    found = language_model.score(_table(spark, sf_dir, "documents"), order=2, alpha=0.4, min_count=2)
+    """The mean stupid-backoff log score of each document's words by all bigrams of all other documents."""
+    found = language_model.score(_table(spark, sf_dir, "documents"), order=2, alpha=0.4)
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
-    return found.select("doc_id", "n_words", "n_backoff", mean.alias("mean_log_score"))
+    return found.select("doc_id", "n_words", "n_backoff", "n_unseen", mean.alias("mean_log_score"))
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, equal payloads once, read back from the archives."""
     path = new_path(spark, "warc")
     warc.write(warc.resolve(_table(spark, sf_dir, "pages"), least_bytes=0), path)
-    return warc.restored(warc.read(spark, path))
+    return warc.restored(warc.read(spark, path)).drop("record_id")
 
 
 #: Bytes of text in a shard of op10_sharding.
@@ -119,15 +119,21 @@ ORACLE_SQL: dict[str, str] = {
                                                      '[^\x20\x09-\x0D]+') AS ws FROM documents),
         w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
         p AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM w),
-        u AS (SELECT w, count(*) AS n FROM w GROUP BY w),
-        b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
-        t AS (SELECT count(*) AS n FROM w),
-        s AS (SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(uw.n) - ln(t.n) WHEN b.n >= 2 THEN ln(b.n) - ln(uv.n)
-                                    ELSE ln(uw.n) - ln(t.n) + ln(0.4) END AS s,
-                     CASE WHEN p.v IS NOT NULL AND b.n < 2 THEN 1 ELSE 0 END AS k
-              FROM p CROSS JOIN t JOIN u AS uw ON p.w = uw.w LEFT JOIN u AS uv ON p.v = uv.w LEFT JOIN b ON p.v = b.v AND p.w = b.w)
+        du AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY doc_id, w),
+        db AS (SELECT doc_id, v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, w),
+        dt AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+        u AS (SELECT w, sum(n) AS n FROM du GROUP BY w),
+        b AS (SELECT v, w, sum(n) AS n FROM db GROUP BY v, w),
+        t AS (SELECT sum(n) AS n FROM dt),
+        c AS (SELECT p.doc_id, p.v, uw.n - ow.n AS w1, uv.n - ov.n AS v1, b.n - ob.n AS w2, greatest(t.n - dt.n, 1) AS t
+              FROM p CROSS JOIN t JOIN dt ON p.doc_id = dt.doc_id JOIN u AS uw ON p.w = uw.w JOIN du AS ow ON p.doc_id = ow.doc_id AND p.w = ow.w
+              LEFT JOIN u AS uv ON p.v = uv.w LEFT JOIN du AS ov ON p.doc_id = ov.doc_id AND p.v = ov.w
+              LEFT JOIN b ON p.v = b.v AND p.w = b.w LEFT JOIN db AS ob ON p.doc_id = ob.doc_id AND p.v = ob.v AND p.w = ob.w),
+        s AS (SELECT doc_id, w1, CASE WHEN v IS NOT NULL AND w2 >= 1 THEN ln(w2) - ln(v1)
+                                      ELSE ln(greatest(w1, 1)) - ln(t) + ln(0.4) * (CASE WHEN v IS NULL THEN 0 ELSE 1 END + CASE WHEN w1 < 1 THEN 1 ELSE 0 END) END AS s,
+                     CASE WHEN v IS NULL AND w1 >= 1 OR v IS NOT NULL AND w2 >= 1 THEN 0 ELSE 1 END AS k FROM c)
         SELECT d.doc_id, CAST(count(s.s) AS BIGINT) AS n_words, CAST(coalesce(sum(s.k), 0) AS BIGINT) AS n_backoff,
-               round(sum(s.s) / count(s.s), 6) AS mean_log_score
+               CAST(count(s.s) FILTER (s.w1 < 1) AS BIGINT) AS n_unseen, round(sum(s.s) / count(s.s), 6) AS mean_log_score
         FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op6_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
