@@ -5,17 +5,19 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.shared import RELEASE, binaries, in_order, narrowed, release, sliced
+from lumora.llm.shared import RELEASE, binaries, in_order, narrowed, release, sliced, written
 
-#: Bytes of items for which one automaton is built and broadcast (about 60 times as much memory);
-#: more items are dealt into groups, scanned one after the other.
+#: Bytes of items whose windows one automaton takes: about 85 times as much memory in a worker (measured), and a broadcast of
+#: less than the items. Of more items only the windows that occur in the texts are kept first.
 GROUP_BYTES = 4 << 20
 
 #: A-Z in lower case; all but letters, digits and bytes of other signs become spaces.
@@ -28,41 +30,132 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def patterns(items: list[tuple[int, bytes]], window: int) -> list[tuple[str, int, list[int]]]:
-    """Each distinct window of an item's words (spaces around), its number of words, its items."""
-    found: dict[bytes, set] = defaultdict(set)
-    for item, text in items:
-        own = words(text)
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            found[b" " + b" ".join(own[i : i + window]) + b" "].add(item)
-    return [(p.decode("latin-1"), p.count(b" ") - 1, sorted(ids)) for p, ids in found.items()]
+class Windows:
+    """The windows of items, a sign for each distinct word: an automaton over signs has a state for each word, not for each letter.
+
+    lines: (item, its words as signs). A whole line is a window if it is shorter than `window`.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], window: int):
+        self.window, self.lines = window, []
+        signs: dict[bytes, str] = {}
+        for item, text in items:
+            self.lines.append((item, "".join([signs.setdefault(x, _sign(len(signs))) for x in words(text)])))
+        self.vocabulary = b" ".join(signs)
+        if len(signs) > 0x10F7FF:
+            raise ValueError("more words than signs: choose a smaller group_bytes")
+
+    def signs(self) -> dict[bytes, str]:
+        return {x: _sign(i) for i, x in enumerate(self.vocabulary.split())}
+
+    def each(self) -> Iterator[tuple[str, int]]:
+        """Each window as signs, with its item."""
+        for item, line in self.lines:
+            for i in range(max(1, len(line) - self.window + 1) if line else 0):
+                yield line[i : i + self.window], item
+
+
+#: A word that no item has.
+OTHER = "\0"
+
+
+def _sign(number: int) -> str:
+    """A code point for each word: all but zero and the surrogates, of which there are 1,112,063."""
+    return chr(1 + number if number < 0xD7FF else 0x801 + number)
+
+
+class Scanner:
+    """The automaton of some Windows, built once in a worker."""
+
+    def __init__(self, windows: Windows):
+        self.signs = windows.signs()
+        found: dict[str, int] = {}
+        self.items: list[int | set] = []
+        self.made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for window, item in windows.each():
+            at = found.setdefault(window, len(found))
+            if at == len(self.items):
+                self.items.append(item)
+                self.made.add_word(window, at * (windows.window + 1) + len(window))
+            elif self.items[at] != item:  # few windows are of several items
+                self.items[at] = {item} | (self.items[at] if isinstance(self.items[at], set) else {self.items[at]})
+        self.width = windows.window + 1
+        if found:
+            self.made.make_automaton()
+
+    def __call__(self, own: list[bytes]) -> Iterator[tuple[int, int, tuple]]:
+        """Of a text's words: the last word, number of words and items of each occurrence of a window."""
+        if not self.items:
+            return
+        get, width = self.signs.get, self.width
+        for last, key in self.made.iter("".join([get(x, OTHER) for x in own])):
+            items = self.items[key // width]
+            yield last, key % width, tuple(items) if isinstance(items, set) else (items,)
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Scanner] = {}
 RELEASE["decontamination"] = _built.clear
 
 
-def _automaton(key: str, windows: list[tuple[str, int, list[int]]]) -> ahocorasick.Automaton:
+def _scanner(key: str, windows: Windows) -> Scanner:
     if key not in _built:
         if len(_built) >= 8:
             _built.clear()
-        made = ahocorasick.Automaton()
-        for pattern, n, items in windows:
-            made.add_word(pattern, (n, items))
-        made.make_automaton()
-        _built[key] = made
+        _built[key] = Scanner(windows)
     return _built[key]
 
 
-def _grouped(items: DataFrame, item_id_col: str, item_text_col: str, window: int, group_bytes: int) -> Iterator[list[tuple]]:
-    """The windows of groups of items, each group of about group_bytes bytes at most."""
-    bench = narrowed(items, item_id=item_id_col, text=item_text_col).where("item_id is not null and text is not null")
-    bench = bench.select(F.col("item_id").cast("long"), F.encode("text", "utf-8").alias("text"))
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+def _groups(items: DataFrame, group_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items (item_id, text) in groups of about group_bytes bytes at most; the driver holds one group at a time."""
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = -(-size // group_bytes) or 1
     for group in range(groups):
-        own = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == group)
-        yield patterns([(r[0], bytes(r[1])) for r in own.toLocalIterator()], window)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+        yield [(r[0], bytes(r[1])) for r in own.toLocalIterator()]
+
+
+def _grouped(
+    docs: DataFrame, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, window: int, group_bytes: int
+) -> Iterator[tuple[Broadcast, str]]:
+    """Broadcast Windows, each with a name: one, unless more than group_bytes of items' windows occur in the texts."""
+    context = docs.sparkSession.sparkContext
+    bench = narrowed(items, item_id=item_id_col, text=item_text_col).where("item_id is not null and text is not null")
+    bench = bench.select(F.col("item_id").cast("long"), F.encode("text", "utf-8").alias("text")).distinct()
+    if (bench.agg(F.sum(F.length("text"))).first()[0] or 0) > group_bytes:
+        bench = _occurring(narrowed(docs, text=text_col), bench, window, group_bytes)
+    for group in _groups(bench, group_bytes):
+        yield context.broadcast(Windows(group, window)), uuid.uuid4().hex
+
+
+def _occurring(texts: DataFrame, items: DataFrame, window: int, group_bytes: int) -> DataFrame:
+    """item_id, text: each window of the items, as a text, that occurs in the texts.
+
+    One job for each group of items, which holds that group's automaton alone, and gives
+    distinct windows. For a benchmark over one automaton's bound this costs a scan for each
+    group; what is left is small unless the texts hold most of the benchmark.
+    """
+    parts = []
+    for group in _groups(items, group_bytes):
+        held, key = texts.sparkSession.sparkContext.broadcast(Windows(group, window)), uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[dict]:
+            made, seen = _scanner(key, held.value), set()
+            for batch in sliced(batches):
+                found = []
+                for text in binaries(batch.column("text")):
+                    own = words(text)
+                    for last, n, items in made(own):
+                        line = b" ".join(own[last - n + 1 : last + 1])
+                        if line not in seen:
+                            seen.add(line)
+                            found += [(item, line) for item in items]
+                if found:
+                    yield dict(zip(("item_id", "text"), map(pa.array, zip(*found, strict=True), (pa.int64(), pa.binary())), strict=True))
+
+        rows = texts.select(F.encode("text", "utf-8").alias("text")).mapInArrow(in_order(["item_id", "text"], scan, "decontamination"), "item_id long, text binary")
+        parts.append(written(rows.distinct(), "occurring-windows"))
+        held.destroy()
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def find(
@@ -80,8 +173,10 @@ def find(
 
     A word is hit if it lies in an occurrence of `window` consecutive words of an item; an
     item of fewer words, but not none, is one window. Each text is normalised and scanned
-    once by the automaton of a group of items; word ends in the normalised text lead back to the
-    original bytes. Null or empty texts have no words; items with null id or no words
+    once by one automaton; words found in the normalised text lead back to the
+    original bytes. An automaton takes group_bytes of items; of more, first only the windows
+    that occur in the texts are kept (see _occurring), and if even these are more, texts pass
+    through several automata in one job. Null or empty texts have no words; items with null id or no words
     have no windows; repeated items count once; repeated documents get a row each.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(
@@ -89,21 +184,17 @@ def find(
         F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("items"),
     )
     names = ["doc_id", "text", "hits", "items"]
-    for group in _grouped(items, item_id_col, item_text_col, window, group_bytes):
-        windows = docs.sparkSession.sparkContext.broadcast(group)
+    for windows, key in _grouped(docs, text_col, items, item_id_col, item_text_col, window, group_bytes):
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[dict]:
-            made = _automaton(key, windows.value) if windows.value else None
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=key) -> Iterator[dict]:
+            made = _scanner(key, windows.value)
             for batch in sliced(batches):
                 hits, found = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for i, text in enumerate(binaries(batch.column("text")) if made else ()):
-                    own = words(text)
-                    got = list(made.iter((b" " + b" ".join(own) + b" ").decode("latin-1"))) if own else []
+                for i, text in enumerate(binaries(batch.column("text"))):
+                    got = list(made(words(text)))
                     if got:
-                        ends = np.cumsum([len(x) + 1 for x in own])
-                        last = np.searchsorted(ends, [x for x, _ in got]).tolist()
-                        hits[i] = hits[i] + [v for k, (_, (n, _)) in zip(last, got, strict=True) for v in (k - n + 1, k + 1)]
-                        found[i] = sorted({*found[i], *(x for _, (_, of) in got for x in of)})
+                        hits[i] = hits[i] + [v for last, n, _ in got for v in (last - n + 1, last + 1)]
+                        found[i] = sorted({*found[i], *(x for _, _, of in got for x in of)})
                 yield {
                     "doc_id": batch.column("doc_id"), "text": batch.column("text"),
                     "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.int64())),
@@ -157,17 +248,14 @@ def kept(
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of an item occurs."""
-    for group in _grouped(items, item_id_col, item_text_col, window, group_bytes):
-        windows = docs.sparkSession.sparkContext.broadcast(group)
+    for windows, key in _grouped(docs, text_col, items, item_id_col, item_text_col, window, group_bytes):
 
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], windows=windows, key=key) -> Iterator[pa.RecordBatch]:
             release("decontamination")
-            made = _automaton(key, windows.value) if windows.value else None
+            made = _scanner(key, windows.value)
             for batch in sliced(batches):
-                if made:
-                    lines = ((b" " + b" ".join(words(x)) + b" ").decode("latin-1") for x in binaries(batch.column(text_col)))
-                    batch = batch.filter(pa.array([next(made.iter(x), None) is None for x in lines], pa.bool_()))
-                yield batch
+                clean = [next(made(words(x)), None) is None for x in binaries(batch.column(text_col))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)
     return docs
