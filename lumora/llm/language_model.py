@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from lumora.llm.shared import RELEASE, Memo, binaries, narrowed, numbers, release, written
+from lumora.llm.shared import RELEASE, Memo, binaries, narrowed, numbers, release, trim, written
 from lumora.llm.suffixes import mixed
 
 #: Bytes of text whose distinct n-grams are looked up together.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 
 _hashes = Memo(lambda word: xxh64_digest(word, 5), 200_000)
 RELEASE["language model"] = _hashes.forget
@@ -26,6 +26,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
     Also the words' document numbers, as the last of the second list.
     """
     release("language model")
+    trim()
     words, count = [], []
     for text in texts:
         own = text.lower().split()
@@ -127,17 +128,17 @@ def score(
         grams, (*ends, doc) = _grams(binaries(left.column("text").combine_chunks()), order) if n_docs else ([], [np.zeros(0, np.int64)])
         right = right.sort_by("part")
         totals = [np.frombuffer(x.as_py(), dtype="<u4" if len(x.as_py()) == 4 * n.as_py() else "<f8").astype(np.float64) for x, n in zip(right.column("totals"), right.column("n"), strict=True)]
-        flat = np.concatenate([np.zeros(0, np.uint64), *grams])
-        _, inverse = np.unique(flat, return_inverse=True)
-        del flat
+        cuts = np.cumsum([0, *map(len, grams)])
+        inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)[1].astype(np.uint32)
+        grams = [None] * len(grams)
         count = np.concatenate([np.zeros(0), *totals])[inverse]
-        if leave_one_out and len(count):
-            inverse *= n_docs
-            inverse += np.concatenate([doc[e] for e in ends])
-            _, inverse, times = np.unique(inverse, return_inverse=True, return_counts=True)
-            count -= times[inverse]
+        del totals
+        for n, end in enumerate(ends if leave_one_out else ()):  # one length at a time, to take less memory
+            own = inverse[cuts[n] : cuts[n + 1]].astype(np.int64) * n_docs + doc[end]
+            _, own, times = np.unique(own, return_inverse=True, return_counts=True)
+            count[cuts[n] : cuts[n + 1]] -= times[own]
+            del own, times
         del inverse
-        cuts = np.cumsum([0, *map(len, grams)])
         n_words = np.bincount(doc, minlength=n_docs)
         single = count[: cuts[1]] if grams else np.zeros(0)
         # steps below the longest n-gram there could be, and the logarithm without that of all words' number

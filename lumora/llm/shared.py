@@ -226,6 +226,11 @@ def release(user: str = "") -> None:
     for name, forget in RELEASE.items():
         if name != user:
             forget()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
