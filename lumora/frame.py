@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from lumora.operators import relational, semantic, topk
+from lumora.operators.index import TextIndex
 from lumora.plans.judges import Field, Judge
 
 
@@ -40,6 +41,10 @@ class SemFrame:
     def sem_topk(self, query: list[float], k: int, **options) -> SemFrame:
         return self._next(topk.sem_topk(self.df, query, k, **options))
 
+    def sem_search(self, index: TextIndex, query: str, k: int, **options) -> SemFrame:
+        """The rows of an index over texts that are nearest to a query's text."""
+        return self._next(index.search(query, k, **options))
+
     def limit(self, n: int) -> SemFrame:
         return self._next(self.df.limit(n))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.operators.relational import running
+
 
 def _ratio(a: F.Column, b: F.Column) -> F.Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -30,10 +32,10 @@ def id_sets(found: DataFrame, truth: DataFrame, key: str, limit: int | None = No
 
 
 def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
-    """The mean F1 over the classes of either column."""
+    """The mean F1 over the classes of either column; null is a class."""
     cells = df.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).count()
     sides = cells.select(F.explode(F.array(
-        F.struct(F.col("t").alias("c"), F.when(F.col("t") == F.col("g"), F.col("count")).otherwise(0).alias("tp"), F.col("count").alias("n")),
+        F.struct(F.col("t").alias("c"), F.when(F.col("t").eqNullSafe(F.col("g")), F.col("count")).otherwise(0).alias("tp"), F.col("count").alias("n")),
         F.struct(F.col("g").alias("c"), F.lit(0).cast("long").alias("tp"), F.col("count").alias("n")),
     )).alias("s")).select("s.*")
     by_class = sides.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
@@ -62,10 +64,9 @@ def omega(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _average_rank(df: DataFrame, x: str) -> DataFrame:
-    """Each distinct value of x with its average rank; the running count is over distinct values."""
-    counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(x)) - F.col("n")
-    return counts.select(x, (before + (F.col("n") + 1) / 2.0).alias(f"{x}_rank"))
+    """Each distinct value of x with its average rank; no task counts through all values."""
+    counts = running(df.groupBy(x).agg(F.count(F.lit(1)).alias("n")), x, "n")
+    return counts.select(x, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"{x}_rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -85,3 +86,38 @@ def errors(df: DataFrame, guess: str, truth: str) -> DataFrame:
 def tuples(df: DataFrame, columns: list[str], key: str = "key") -> DataFrame:
     """Rows as unordered tuples of their values, to be compared by id_sets()."""
     return df.select(F.to_json(F.array_sort(F.array(*[F.col(c).cast("string") for c in columns]))).alias(key))
+
+
+def mape(df: DataFrame, guess: str, truth: str) -> DataFrame:
+    """mae, mape: the mean absolute and the mean relative error in per cent; infinite if a truth of 0 was missed. Rows with a null are left out."""
+    rows = errors(df.where(F.col(guess).isNotNull() & F.col(truth).isNotNull()), guess, truth)
+    return rows.agg(F.avg("absolute_error").alias("mae"), (F.avg("relative_error") * 100).alias("mape"))
+
+
+def matched_rows(found: DataFrame, truth: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """precision, recall, f1 of rows that agree on the common columns (or those given), null equal to null; repeats count.
+
+    Of a row that one side holds n and the other m times the smaller number are hits.
+    """
+    columns = columns or [c for c in found.columns if c in truth.columns]
+    side = lambda df, f, t: df.select(*columns, F.lit(f).alias("_f"), F.lit(t).alias("_t"))
+    both = side(found, 1, 0).unionByName(side(truth, 0, 1)).groupBy(*columns).agg(F.sum("_f").alias("_f"), F.sum("_t").alias("_t"))
+    counts = both.agg(F.sum(F.least("_f", "_t")).alias("hit"), F.sum("_f").alias("f"), F.sum("_t").alias("t")).na.fill(0)
+    p, r = _ratio(F.col("hit"), F.col("f")), _ratio(F.col("hit"), F.col("t"))
+    nothing = F.when(F.col("f") == 0, 1.0).otherwise(0.0)
+    scores = counts.select(F.when(F.col("t") == 0, nothing).otherwise(p).alias("precision"), F.when(F.col("t") == 0, nothing).otherwise(r).alias("recall"))
+    return scores.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+#: The metrics by name: each takes what its function takes.
+BY_NAME = {
+    "f1": id_sets, "macro_f1": macro_f1, "adjusted_rand_index": adjusted_rand, "omega_index": omega, "spearman": spearman, "mape": mape,
+    "errors": errors, "rows": matched_rows,
+}
+
+
+def metric(name: str, *args, **options) -> DataFrame:
+    """The metric of that name; an unknown one is an error that names those there are."""
+    if name not in BY_NAME:
+        raise ValueError(f"no metric {name!r}: one of {', '.join(sorted(BY_NAME))}")
+    return BY_NAME[name](*args, **options)

@@ -6,64 +6,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.functions.text import count_tokens
-from lumora.plans.judges import Field, Judge, Unanswered, parse_boolean, parse_json
+from lumora.plans.judges import Field, Judge, Unanswered, fresh, parse_boolean, parse_json
 
 
-def sem_filter(df: DataFrame, condition: str, judge: Judge, *, columns: list[str] | None = None) -> DataFrame:
-    """Rows for which the condition holds, unchanged; null and unparseable answers drop the row."""
+def sem_filter(
+    df: DataFrame, condition: str, judge: Judge, *, columns: list[str] | None = None, errors: str | None = None
+) -> DataFrame:
+    """Rows for which the condition holds, unchanged; a null of a rule drops the row.
+
+    So does a record that the model gives no answer to, unless `errors` names a column: then
+    such rows stay, with what went wrong (null for the others).
+    """
     native = judge.rule(condition, df)
     if native is not None:
-        return df.where(F.coalesce(native, F.lit(False)))
-    asked = judge.ask(df, f"Is this true of the record? {condition}", columns or df.columns, parse_boolean)
-    return asked.where(F.col("_reply") == "true").select(df.columns)
+        found = df.where(F.coalesce(native, F.lit(False)))
+        return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
+    asked, reply, error = judge.ask(df, f"Is this true of the record? {condition}", columns or df.columns, parse_boolean)
+    if not errors:
+        return asked.where(F.col(reply) == "true").select(df.columns)
+    return asked.where((F.col(reply) == "true") | F.col(error).isNotNull()).select(*df.columns, F.col(error).alias(errors))
 
 
 def _nested(kind: str) -> bool:
     return kind.lower().startswith(("array", "map", "struct"))
 
 
-def _given(fields: list[Field]) -> dict[str, Column]:
-    """The fields of a reply: plain types are cast from whatever JSON holds, null where that fails."""
-    reply = F.from_json("_reply", ", ".join(f"`{f.name}` {f.type if _nested(f.type) else 'string'}" for f in fields))
-    return {f.name: reply.getField(f.name) if _nested(f.type) else reply.getField(f.name).try_cast(f.type) for f in fields}
+def _schema(fields: list[Field]) -> str:
+    return ", ".join(f"`{f.name}`: {f.type if _nested(f.type) else 'string'}" for f in fields)
+
+
+def _cast(record: Column, fields: list[Field]) -> dict[str, Column]:
+    """The fields of a reply's record: plain types are cast from whatever JSON holds, null where that fails."""
+    return {f.name: record.getField(f.name) if _nested(f.type) else record.getField(f.name).try_cast(f.type) for f in fields}
+
+
+def _given(reply: str, fields: list[Field]) -> dict[str, Column]:
+    return _cast(F.from_json(F.col(reply), f"struct<{_schema(fields)}>"), fields)
 
 
 def _task(task: str, fields: list[Field]) -> str:
     return f"{task} Fields: " + "; ".join(f"{f.name} ({f.type}): {f.description}" for f in fields)
 
 
-def sem_map(df: DataFrame, fields: list[Field], judge: Judge, *, columns: list[str] | None = None) -> DataFrame:
+def sem_map(df: DataFrame, fields: list[Field], judge: Judge, *, columns: list[str] | None = None, errors: str | None = None) -> DataFrame:
     """df with each field computed from its row; a field of the same name is replaced, a missing one null.
 
-    Fields whose description is a rule are native columns; the rest come from one call a row.
+    Fields whose description is a rule are native columns; the rest come from one call a
+    distinct record. `errors` names a column for what went wrong.
     """
     native = {f.name: judge.rule(f.description, df) for f in fields}
     open_ = [f for f in fields if native[f.name] is None]
     known = {f.name: native[f.name].try_cast(f.type) for f in fields if native[f.name] is not None}
+    failed = F.lit(None).cast("string")
     if open_:
-        asked = judge.ask(df, _task("Compute the fields of the record as a JSON object.", open_), columns or df.columns, parse_json)
-        df = asked.withColumns(_given(open_)).select(
-            *[c for c in df.columns if c not in {f.name for f in open_}], *[f.name for f in open_]
+        asked, reply, error = judge.ask(df, _task("Compute the fields of the record as a JSON object.", open_), columns or df.columns, parse_json)
+        given, new = _given(reply, open_), {f.name for f in open_}
+        df = asked.select(
+            *[F.col(f"`{c}`") for c in df.columns if c not in new], *[given[f.name].alias(f.name) for f in open_], *([F.col(error).alias(errors)] if errors else [])
         )
-    return df.withColumns(known) if known else df
+    df = df.withColumns(known) if known else df
+    return df.withColumn(errors, failed) if errors and not open_ else df
 
 
-def sem_flat_map(df: DataFrame, fields: list[Field], judge: Judge, task: str, *, columns: list[str] | None = None) -> DataFrame:
+def sem_flat_map(
+    df: DataFrame, fields: list[Field], judge: Judge, task: str, *, columns: list[str] | None = None, errors: str | None = None
+) -> DataFrame:
     """A row for each record that the task finds in a row, with the row's other columns; none drops the row.
 
-    A rule gives an array of structs; its fields win over columns of the same name.
+    A rule gives an array of structs; its fields win over columns of the same name. With
+    `errors`, a row without an answer stays once, its fields null, with what went wrong.
     """
-    found = judge.rule(task, df)
+    found, error = judge.rule(task, df), None
     if found is None:
-        df_ = judge.ask(df, _task(f"{task} Answer with a JSON array of objects.", fields), columns or df.columns, parse_json)
-        found = F.from_json("_reply", f"array<struct<{', '.join(f'`{f.name}`: {f.type}' for f in fields)}>>")
+        df_, reply, error = judge.ask(df, _task(f"{task} Answer with a JSON array of objects.", fields), columns or df.columns, parse_json)
+        records = F.from_json(F.col(reply), f"array<struct<{_schema(fields)}>>")
+        found = F.transform(records, lambda r: F.struct(*[c.alias(name) for name, c in _cast(r, fields).items()]))
     else:
         df_ = df
-    rest = [c for c in df.columns if c not in {f.name for f in fields}]
-    return df_.select(*rest, F.inline(found)).select(*rest, *[f.name for f in fields])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in {f.name for f in fields}]
+    if errors:
+        nothing = F.struct(*[F.lit(None).cast(f.type).alias(f.name) for f in fields])
+        failed = F.col(error) if error else F.lit(None).cast("string")
+        found, rest = F.when(failed.isNotNull(), F.array(nothing)).otherwise(found), [*rest, failed.alias(errors)]
+    of = [c for c in df.columns if c not in {f.name for f in fields}] + ([errors] if errors else [])
+    return df_.select(*rest, F.inline(found)).select(*[F.col(f"`{c}`") for c in of], *[f.name for f in fields])
 
 
-def sem_join(left: DataFrame, right: DataFrame, condition: str, judge: Judge, *, on: list[tuple[str, str]] | None = None) -> DataFrame:
+def sem_join(
+    left: DataFrame, right: DataFrame, condition: str, judge: Judge, *, on: list[tuple[str, str]] | None = None, errors: str | None = None
+) -> DataFrame:
     """Pairs for which the condition holds; columns of both sides become left_x and right_x, others keep their name.
 
     A rule names the columns that must be equal and a residual. A model judges only pairs that
@@ -81,8 +112,9 @@ def sem_join(left: DataFrame, right: DataFrame, condition: str, judge: Judge, *,
     if rule:
         residual = rule().residual
         extra = [residual(lambda c: F.col(of_left(c)), lambda c: F.col(of_right(c)))] if residual else []
-        return a.join(b, [*keys, *extra])
-    return sem_filter(a.join(b, keys), condition, judge)
+        found = a.join(b, [*keys, *extra])
+        return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
+    return sem_filter(a.join(b, keys), condition, judge, errors=errors)
 
 
 #: The built-in aggregates; sums and means are of doubles, a sum of nothing is 0, count counts rows.
@@ -95,56 +127,65 @@ AGGREGATES = {
 }
 
 
-def _reduced(df: DataFrame, keys: list[str], task: str, fields: list[Field], judge: Judge, budget: int) -> DataFrame:
+def _reduced(df: DataFrame, keys: list[str], task: str, fields: list[Field], judge: Judge, budget: int) -> tuple[DataFrame, list[str]]:
     """One answer for each key, by packs of records of about `budget` tokens whose answers are packed again.
 
-    Equal records are dealt evenly over a key's packs. A pack that stays unanswered makes all
-    fields of its key null, as the rest would be an answer about a part of the rows.
+    The result has the keys as k0, k1 and so on (the list), the fields as v0, v1 and so on, and
+    `error`. Equal records are dealt evenly over a key's packs. A pack that stays unanswered
+    makes all fields of its key null, as the rest would be an answer about a part of the
+    rows. Without keys there is one answer, even of no rows.
     """
-    record = F.to_json(F.struct(*[c for c in df.columns if c not in keys])) if len(df.columns) > len(keys) else F.lit("{}")
-    rows = df.select(*keys, record.alias("record"), F.lit(False).alias("_lost"))
+    own = [f"k{i}" for i in range(len(keys))]
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])) if len(df.columns) > len(keys) else F.lit("{}")
+    rows = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], record.alias("record"), F.lit(None).cast("string").alias("lost"))
     while True:
-        own = {k: f"_{i}" for i, k in enumerate(keys)}
-        sized = rows.groupBy(*[F.col(k).alias(v) for k, v in own.items()]).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("_packs"))
-        most = sized.agg(F.max("_packs")).first()[0] or 1
-        packed = rows.join(sized, [F.col(k).eqNullSafe(F.col(v)) for k, v in own.items()]) if keys else rows.join(F.broadcast(sized))
-        packed = packed.withColumn("_packs", F.coalesce("_packs", F.lit(1)))
-        packed = packed.groupBy(*keys, "record", "_packs").agg(F.count(F.lit(1)).alias("_n"), F.max("_lost").alias("_lost"))
+        sized = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in own]).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("packs"))
+        most = sized.agg(F.max("packs")).first()[0] or 1
+        packed = rows.join(sized, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in own]) if own else rows.join(F.broadcast(sized))
+        packed = packed.withColumn("packs", F.coalesce("packs", F.lit(1)))
+        packed = packed.groupBy(*own, "record", "packs").agg(F.count(F.lit(1)).alias("n"), F.max("lost").alias("lost"))
         # by content alone, so that a pack is the same however often it is computed
-        turn, several = F.col("_turn"), F.col("_n") % F.col("_packs")
-        packed = packed.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("_n", "_packs") - 1)))
-        copies = F.floor(F.col("_n") / F.col("_packs")) + (turn < several).cast("long")
+        turn, several = F.col("turn"), F.col("n") % F.col("packs")
+        packed = packed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "packs") - 1)))
+        copies = F.floor(F.col("n") / F.col("packs")) + (turn < several).cast("long")
         packed = packed.select(
-            *keys, F.pmod(F.xxhash64("record") + turn, "_packs").alias("_pack"), "_lost",
-            F.when(F.col("record").isNotNull(), F.array_repeat("record", copies.cast("int"))).alias("_records"),
+            *own, F.pmod(F.xxhash64("record") + turn, "packs").alias("pack"), "lost",
+            F.when(F.col("record").isNotNull(), F.array_repeat("record", copies.cast("int"))).alias("some"),
         )
-        packs = packed.groupBy(*keys, "_pack").agg(
-            F.to_json(F.array_sort(F.flatten(F.collect_list("_records")))).alias("records"), F.max("_lost").alias("_lost")
-        )
-        asked = judge.ask(packs, _task(task, fields), ["records"], parse_json)
+        packs = packed.groupBy(*own, "pack").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("some"), F.max("lost").alias("lost"))
+        if not own:
+            packs = df.sparkSession.range(1).select().join(packs, how="left")
+        packs = packs.withColumn("records", F.to_json(F.coalesce("some", F.array().cast("array<string>")))).drop("some")
+        asked, reply, error = judge.ask(packs, _task(task, fields), ["records"], parse_json)
+        lost = F.coalesce("lost", F.col(error))
         if most <= 1:
-            given = {name: F.when(~F.col("_lost"), value) for name, value in _given(fields).items()}
-            return asked.withColumns(given).select(*keys, *[f.name for f in fields])
-        lost = F.col("_lost") | F.col("_reply").isNull()
-        rows, budget = asked.select(*keys, F.col("_reply").alias("record"), lost.alias("_lost")), 2 * budget  # so the rounds end
+            given = [F.when(lost.isNull(), value).alias(f"v{i}") for i, value in enumerate(_given(reply, fields).values())]
+            return asked.select(*own, *given, lost.alias("error")), own
+        rows, budget = asked.select(*own, F.col(reply).alias("record"), lost.alias("lost")), 2 * budget  # so the rounds end
+
 
+def sem_aggregate(df: DataFrame, task: str, fields: list[Field], judge: Judge, *, budget: int = 8000, errors: str | None = None) -> DataFrame:
+    """One row with the fields: a rule gives the aggregates; else a model reads the records in packs, and the packs' answers.
 
-def sem_aggregate(df: DataFrame, task: str, fields: list[Field], judge: Judge, *, budget: int = 8000) -> DataFrame:
-    """One row with the fields: a rule gives the aggregates; else a model reads the records in packs, and the packs' answers."""
+    There is one row of an empty table too. If any pack stays unanswered all fields are null,
+    and the column that `errors` names says why.
+    """
     native = judge.rule(task, df)
     if native is not None:
-        return df.agg(*[native[f.name].alias(f.name) for f in fields])
-    return _reduced(df, [], task, fields, judge, budget)
+        found = df.agg(*[native[f.name].alias(f.name) for f in fields])
+        return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
+    found, _ = _reduced(df, [], task, fields, judge, budget)
+    return found.select(*[F.col(f"v{i}").alias(f.name) for i, f in enumerate(fields)], *([F.col("error").alias(errors)] if errors else []))
 
 
 def sem_groupby(
-    df: DataFrame, keys: list[Field], aggregates: list[tuple[str, str, str]] | list[tuple[str, str]], judge: Judge, *, budget: int = 8000
+    df: DataFrame, keys: list[Field], aggregates: list[tuple[str, str, str]] | list[tuple[str, str]], judge: Judge, *, budget: int = 8000, errors: str | None = None
 ) -> DataFrame:
     """One row for each key. Keys that are no columns are computed as by sem_map; null is a key.
 
     aggregates are (column, function, alias), alias being the column by default; of two
     with one alias the later wins. Functions that are not built in are tasks for the model,
-    one pack of a group at a time.
+    one pack of a group at a time; `errors` names a column for what went wrong with these.
     """
     made = [k for k in keys if k.name not in df.columns]
     df = sem_map(df, made, judge) if made else df
@@ -152,9 +193,14 @@ def sem_groupby(
     wanted = {x[2] if len(x) > 2 else x[0]: x for x in aggregates}
     native: dict[str, Column] = {alias: AGGREGATES[x[1]](x[0]) for alias, x in wanted.items() if x[1] in AGGREGATES}
     found = df.groupBy(*names).agg(*[c.alias(alias) for alias, c in native.items()]) if native else df.select(*names).distinct()
-    for alias, x in wanted.items():
+    failed = []
+    for i, (alias, x) in enumerate(wanted.items()):
         if alias not in native:
             rows = df.select(*names, *[c for c in [x[0]] if c in df.columns and c not in names])
-            more = _reduced(rows, names, x[1], [Field(alias)], judge, budget).withColumnsRenamed({k: f"_{k}" for k in names})
-            found = found.join(more, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]).drop(*[f"_{k}" for k in names])
-    return found.select(*names, *wanted)
+            more, own = _reduced(rows, names, x[1], [Field(alias)], judge, budget)
+            marks = fresh(found, *[f"_{k}" for k in own], "_error")
+            more = more.select(*[F.col(k).alias(m) for k, m in zip(own, marks, strict=False)], F.col("v0").alias(alias), F.col("error").alias(f"_error{i}_"))
+            found = found.join(more, [F.col(f"`{k}`").eqNullSafe(F.col(m)) for k, m in zip(names, marks, strict=False)]).drop(*marks)
+            failed.append(F.col(f"_error{i}_"))
+    wrong = F.coalesce(*failed) if failed else F.lit(None).cast("string")
+    return found.select(*names, *wanted, *([wrong.alias(errors)] if errors else []))

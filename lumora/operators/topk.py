@@ -17,11 +17,17 @@ def sem_topk(df: DataFrame, query: list[float], k: int, *, vector_col: str, id_c
 
 
 def centroids(df: DataFrame, vector_col: str, cluster_col: str) -> DataFrame:
-    """cluster, centroid: the mean vector of each cluster, summed by position before the shuffle."""
-    parts = df.select(F.col(cluster_col).alias("cluster"), F.posexplode(F.col(vector_col).cast("array<double>")).alias("at", "x"))
-    means = parts.groupBy("cluster", "at").agg(F.avg("x").alias("x"))
-    return means.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid")
+    """cluster, centroid, n: the mean vector and the rows of each cluster, summed as vectors before the shuffle.
+
+    Store it beside the rows, partitioned by cluster, so that a query reads neither again: see TextIndex.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vector = array_to_vector(F.col(vector_col).cast("array<double>"))
+    rows = df.where(F.col(vector_col).isNotNull())
+    return rows.groupBy(F.col(cluster_col).alias("cluster")).agg(
+        vector_to_array(Summarizer.mean(vector)).alias("centroid"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -36,26 +42,38 @@ def clustered(df: DataFrame, vector_col: str, k: int, seed: int = 7) -> DataFram
 
 
 def routed_topk(
-    df: DataFrame, query: list[float], k: int, *, vector_col: str, id_col: str, cluster_col: str, probes: int, metric: str = "l2", score: str = "score"
+    df: DataFrame, query: list[float], k: int, *, vector_col: str, id_col: str, cluster_col: str, probes: int, metric: str = "l2",
+    score: str = "score", centers: DataFrame | None = None,
 ) -> DataFrame:
     """The k nearest rows within the `probes` clusters whose centroids are nearest to the query.
 
-    The probes' clusters are few, so the rows are filtered by a broadcast of them.
+    `centers` are stored centroids(); without them they are computed from all rows. The
+    probes' clusters are few, so the rows are filtered by a list of them: of a table that is
+    partitioned by cluster only those partitions are read.
     """
-    near = centroids(df, vector_col, cluster_col).withColumn("_d", squared_l2(F.col("centroid"), literal(query)))
-    near = near.orderBy("_d", "cluster").limit(probes).select(F.col("cluster").alias("_c"))
-    rows = df.join(F.broadcast(near), F.col(cluster_col) == F.col("_c"), "left_semi")
-    return sem_topk(rows, query, k, vector_col=vector_col, id_col=id_col, metric=metric, score=score)
+    near = (centers if centers is not None else centroids(df, vector_col, cluster_col)).withColumn("_d", squared_l2(F.col("centroid"), literal(query)))
+    found = [r[0] for r in near.orderBy("_d", "cluster").select("cluster").limit(probes).collect()]
+    return sem_topk(df.where(F.col(cluster_col).isin(found)), query, k, vector_col=vector_col, id_col=id_col, metric=metric, score=score)
 
 
-def best_first(df: DataFrame, query: list[float], k: int, *, vector_col: str, id_col: str, cluster_col: str) -> DataFrame:
+def best_first(
+    df: DataFrame, query: list[float], k: int, *, vector_col: str, id_col: str, cluster_col: str, centers: DataFrame | None = None
+) -> DataFrame:
     """k rows in the order of their cluster's distance, then of their id: clusters are opened best first.
 
-    Only as many clusters are opened as k rows need.
+    Only the nearest clusters that hold k rows together are read and sorted.
     """
-    near = centroids(df, vector_col, cluster_col).select(F.col("cluster").alias("_c"), squared_l2(F.col("centroid"), literal(query)).alias("_d"))
-    rows = df.join(near, F.col(cluster_col) == F.col("_c")).drop("_c")
-    return rows.orderBy("_d", cluster_col, id_col).limit(k).drop("_d")
+    near = (centers if centers is not None else centroids(df, vector_col, cluster_col)).withColumn("_d", squared_l2(F.col("centroid"), literal(query)))
+    opened, rows = [], 0
+    for r in near.orderBy("_d", "cluster").select("cluster", "_d", "n").limit(k).collect():  # k clusters hold k rows
+        opened.append((r[0], r[1]))
+        rows += r[2]
+        if rows >= k:
+            break
+    if not opened:
+        return df.limit(0)
+    distance = F.coalesce(*[F.when(F.col(cluster_col) == F.lit(c), F.lit(d)) for c, d in opened])
+    return df.where(F.col(cluster_col).isin([c for c, _ in opened]) & F.col(vector_col).isNotNull()).orderBy(distance, cluster_col, id_col).limit(k)
 
 
 def reranked_topk(

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.tables import written
+
 
 class Unanswered(ValueError):
     """Neither a rule nor a model can answer an instruction."""
@@ -36,7 +39,8 @@ class Pairs:
 class Judge:
     """rules: native meanings by instruction (a function of the DataFrame). model: prompts to replies, batch by batch.
 
-    A rule stands in for a judgement; it is no evidence of a model's quality.
+    A rule stands in for a judgement; it is no evidence of a model's quality. Replies are
+    written once and kept for this judge, by a hash of their prompt, until forget().
     """
 
     rules: dict[str, Callable] = field(default_factory=dict)
@@ -44,27 +48,35 @@ class Judge:
     attempts: int = 3
     fail_fast: bool = False
     batch: int = 64
+    _known: dict[str, list[DataFrame]] = field(default_factory=dict, repr=False, compare=False)
+
+    def forget(self) -> None:
+        """Ask anew from now on."""
+        self._known.clear()
 
     def rule(self, instruction: str, *args):
         made = self.rules.get(instruction)
         return made(*args) if made else None
 
-    def ask(self, df: DataFrame, task: str, columns: list[str], parse: Callable[[str], str | None]) -> DataFrame:
-        """df with `_reply` (what parse() gives) and `_error`, null where there is none.
+    def ask(self, df: DataFrame, task: str, columns: list[str], parse: Callable[[str], str | None]) -> tuple[DataFrame, str, str]:
+        """df with two more columns, and their names: what parse() gives of the reply, and an error; null where there is none.
 
-        Equal prompts are asked once: distinct prompts go to the model and are joined back.
-        What cannot be parsed is asked again, `attempts` times in all; then the reply is
-        null and the error says so, or the job fails if fail_fast.
+        Asks when it is called, and only what this judge has not been asked before: distinct
+        prompts, told apart by 128 bits of hashes, go to the model once; their replies are
+        written, so that no later step or retry of one asks again. What cannot be parsed is
+        asked again, `attempts` times in all; then the reply is null and the error says so,
+        or the job fails if fail_fast. A null record (all columns null) is asked like any other.
         """
         if self.model is None:
             raise Unanswered(f"no rule and no model for: {task}")
-        prompt = F.concat(F.lit(task + "\n"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-        asked = df.withColumn("_prompt", prompt)
+        one, two, reply, error = fresh(df, "_one", "_two", "_reply", "_error")
+        prompt = F.concat(F.lit(f"{task}\n"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
+        marks = {one: F.xxhash64(F.lit(parse.__name__), prompt), two: F.xxhash64(prompt, F.lit(parse.__name__))}
         model, attempts, fail_fast, size = self.model, self.attempts, self.fail_fast, self.batch
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                prompts = batch.column(0).to_pylist()
+                prompts = batch.column(2).to_pylist()
                 replies: list[str | None] = [None] * len(prompts)
                 for at in range(0, len(prompts), size):
                     open_ = list(range(at, min(at + size, len(prompts))))
@@ -76,13 +88,33 @@ class Judge:
                             break
                     if open_ and fail_fast:
                         raise ValueError(f"no reply to be parsed after {attempts} attempts: {prompts[open_[0]][:200]}")
-                errors = [None if x is not None else "unparseable" for x in replies]
+                errors = [None if x is not None else f"no reply to be parsed after {attempts} attempts" for x in replies]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["_prompt", "_reply", "_error"]
+                    [batch.column(0), batch.column(1), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["one", "two", "reply", "error"]
                 )
 
-        answers = asked.select("_prompt").distinct().mapInArrow(answer, "_prompt string, _reply string, _error string")
-        return asked.join(answers, "_prompt").drop("_prompt")
+        known = self._known.setdefault(df.sparkSession.sparkContext.applicationId, [])
+        prompts = df.select(marks[one].alias("one"), marks[two].alias("two"), prompt.alias("prompt")).groupBy("one", "two").agg(F.min("prompt").alias("prompt"))
+        for earlier in known:
+            prompts = prompts.join(earlier, ["one", "two"], "left_anti")
+        known.append(written(prompts.mapInArrow(answer, "one long, two long, reply string, error string"), "replies"))
+        if len(known) > 8:
+            known[:] = [written(reduce(DataFrame.unionByName, known), "replies")]
+        answers = reduce(DataFrame.unionByName, known).select(
+            F.col("one").alias(one), F.col("two").alias(two), F.col("reply").alias(reply), F.col("error").alias(error)
+        )
+        return df.withColumns(marks).join(answers, [one, two]).drop(one, two), reply, error
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with more underscores in front of those that are columns of df."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
 
 
 def parse_boolean(text: str) -> str | None:

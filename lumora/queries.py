@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from lumora.frame import SemFrame
 from lumora.functions import metrics, text, vectors
-from lumora.operators import embedding, relational, topk
+from lumora.operators import embedding, index, joins, relational, topk
 from lumora.plans.judges import Field, Judge, Pairs
+from lumora.sources.catalog import Catalog
 from lumora.streaming import windows
+from lumora.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -248,9 +251,21 @@ def token_counts(spark, sf_dir):
           f AS (SELECT *, used <= 300 OR k = 1 AS fits FROM u)
           SELECT doc_id, CASE WHEN bool_and(fits) THEN string_agg(c, '' ORDER BY i) ELSE string_agg(c, '...' ORDER BY i) FILTER (fits) END AS text FROM f GROUP BY doc_id""")
 def truncate_budget(spark, sf_dir):
-    pieces = text.chunked(Tables(spark, sf_dir).documents.select("doc_id", "text"), "text", 400)
-    scored = pieces.withColumn("similarity", F.length("chunk") - F.length(F.replace("chunk", F.lit("the"), F.lit(""))))
-    return text.fitted(text.ranked(scored, "doc_id", "similarity"), "doc_id", 300)
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    return text.fit_text(docs, "text", 300, chars=400, score=lambda c: F.length(c) - F.length(F.replace(c, F.lit("the"), F.lit(""))))
+
+
+@query("""WITH d AS (SELECT page_id, url, html, coalesce(length(url) // 4 + 1, 0) + coalesce(length(html) // 4 + 1, 0) AS tokens FROM pages),
+          c AS (SELECT page_id, 0 AS f, i, substring(url, i * 40 + 1, 40) AS c FROM (SELECT page_id, url, unnest(range(0, (length(url) - 1) // 40 + 1)) AS i FROM d WHERE length(url) > 0)
+                UNION ALL SELECT page_id, 1, i, substring(html, i * 40 + 1, 40) FROM (SELECT page_id, html, unnest(range(0, (length(html) - 1) // 40 + 1)) AS i FROM d WHERE length(html) > 0)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY page_id, f ORDER BY length(c) - length(replace(c, '<', '')) DESC, i) AS k FROM c),
+          u AS (SELECT *, sum(length(c) // 4 + 1) OVER (PARTITION BY page_id ORDER BY k, f ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY page_id ORDER BY k, f) AS turn FROM r),
+          t AS (SELECT page_id, string_agg(c, '...' ORDER BY i) FILTER (f = 0) AS url, string_agg(c, '...' ORDER BY i) FILTER (f = 1) AS html FROM u WHERE used <= 100 OR turn = 1 GROUP BY 1)
+          SELECT page_id, CASE WHEN d.url IS NULL OR tokens <= 100 THEN d.url ELSE coalesce(t.url, '') END AS url,
+                 CASE WHEN d.html IS NULL OR tokens <= 100 THEN d.html ELSE coalesce(t.html, '') END AS html FROM d LEFT JOIN t USING (page_id)""")
+def truncate_record(spark, sf_dir):
+    pages = Tables(spark, sf_dir).pages.select("page_id", "url", "html")
+    return text.fit_record(pages, ["url", "html"], 100, chars=40, score=lambda c: F.length(c) - F.length(F.replace(c, F.lit("<"), F.lit(""))))
 
 
 @query("""WITH t AS (SELECT doc_id, length(text) // 4 + 1 AS tokens FROM documents)
@@ -465,12 +480,14 @@ def stand_in(prompts: list[str]) -> list[str]:
     for prompt in prompts:
         task, _, record = prompt.partition("\n")
         r = json.loads(record)
-        if "written in a Germanic language" in task:
-            replies.append(f"```text\n{'TRUE' if r['lang'] in ('en', 'de') else 'FALSE'}\n```")
+        if "mentions a license" in task:
+            replies.append(f"```text\n{'TRUE' if 'license' in r['text'].lower() else 'FALSE'}\n```")
         elif "both of even or both of odd length" in task:
             replies.append(str(len(r["n_name"]) % 2 == len(r["r_name"]) % 2))
-        elif "family" in task:
-            replies.append("Here it is: " + json.dumps({"family": {"en": "germanic", "de": "germanic"}.get(r["lang"], "romance"), "length": str(len(r["lang"]))}))
+        elif "long words" in task:
+            replies.append(json.dumps([{"word": w, "letters": str(len(w))} for w in re.findall("[a-z]{9,}", r["text"])]))
+        elif "kind" in task:
+            replies.append("Here it is: " + json.dumps({"kind": "question" if "?" in r["text"] else "statement", "lines": str(r["text"].count("\n") + 1)}))
         else:
             rows = [json.loads(x) for x in json.loads(r["records"])]
             replies.append(json.dumps({"total": sum(x.get("s_suppkey") or x.get("total") or 0 for x in rows)}))
@@ -480,16 +497,25 @@ def stand_in(prompts: list[str]) -> list[str]:
 MODEL = Judge(model=stand_in)
 
 
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+@query("SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%license%'")
 def judged_filter(spark, sf_dir):
     docs = SemFrame(Tables(spark, sf_dir).documents, MODEL)
-    return docs.sem_filter("It is written in a Germanic language.", columns=["lang"]).df.select("doc_id", "lang")
+    return docs.sem_filter("It mentions a license.", columns=["text"]).df.select("doc_id", "lang")
+
 
+KIND = [Field("kind", "string", "question or statement"), Field("lines", "bigint", "how many lines there are")]
 
-@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS family, CAST(length(lang) AS BIGINT) AS length FROM documents")
+
+@query("""SELECT doc_id, CASE WHEN text LIKE '%?%' THEN 'question' ELSE 'statement' END AS kind,
+          CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents""")
 def judged_map(spark, sf_dir):
-    fields = [Field("family", "string", "the language's family"), Field("length", "bigint", "letters of its code")]
-    return SemFrame(Tables(spark, sf_dir).documents, MODEL).sem_map(fields, columns=["lang"]).df.select("doc_id", "family", "length")
+    return SemFrame(Tables(spark, sf_dir).documents, MODEL).sem_map(KIND, columns=["text"]).df.select("doc_id", "kind", "lines")
+
+
+@query("SELECT item_id, word, CAST(length(word) AS BIGINT) AS letters FROM (SELECT item_id, unnest(regexp_extract_all(text, '[a-z]{9,}')) AS word FROM benchmark)")
+def judged_flat_map(spark, sf_dir):
+    items = SemFrame(Tables(spark, sf_dir).benchmark, MODEL)
+    return items.sem_flat_map([Field("word"), Field("letters", "bigint")], "The long words of the text.", columns=["text"]).df.select("item_id", "word", "letters")
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE length(n_name) % 2 = length(r_name) % 2")
@@ -499,10 +525,10 @@ def judged_join(spark, sf_dir):
     return found.df.select("n_name", "r_name")
 
 
-@query("SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS family, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN text LIKE '%?%' THEN 'question' ELSE 'statement' END AS kind, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY 1")
 def judged_groupby(spark, sf_dir):
-    docs = SemFrame(Tables(spark, sf_dir).documents.select("lang", "n_chars"), MODEL).sem_map([Field("family", "string", "the language's family")], columns=["lang"])
-    found = docs.sem_groupby([Field("family")], [("n_chars", "count", "n"), ("n_chars", "mean", "mean_chars")]).df
+    docs = SemFrame(Tables(spark, sf_dir).documents, MODEL).sem_map(KIND, columns=["text"])
+    found = docs.sem_groupby([Field("kind")], [("n_chars", "count", "n"), ("n_chars", "mean", "mean_chars")]).df
     return found.withColumn("mean_chars", F.round("mean_chars", 4))
 
 
@@ -510,3 +536,154 @@ def judged_groupby(spark, sf_dir):
 def judged_aggregate(spark, sf_dir):
     rows = SemFrame(Tables(spark, sf_dir).supplier.select("s_suppkey"), MODEL)
     return rows.sem_aggregate("Add the numbers.", [Field("total", "bigint")], budget=200).df
+
+
+LETTERS = "etaoinsr"
+SOUGHT = "the rain in spain stays mainly in the plain"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: how often a text has each of some letters, in either case."""
+    return [[float(t.count(x) + t.count(x.upper())) for x in LETTERS] for t in texts]
+
+
+_COUNTS = ", ".join(
+    f"(2 * length(text) - length(replace(text, '{x}', '')) - length(replace(text, '{x.upper()}', '')))::DOUBLE / greatest(1, (length(text) - 1) // 32000 + 1)" for x in LETTERS
+)
+_SOUGHT = f"{letter_counts([SOUGHT])[0]}::DOUBLE[]"
+SQL_LETTERS = f"v AS (SELECT doc_id, source, [{_COUNTS}] AS e FROM documents WHERE length(text) > 0)"
+
+
+@query(f"""WITH {SQL_LETTERS}, c AS (SELECT source, list_distance([{", ".join(f"avg(e[{i + 1}])" for i in range(len(LETTERS)))}], {_SOUGHT}) AS d FROM v GROUP BY 1)
+           SELECT doc_id, source, round(s, 6) AS score FROM (SELECT doc_id, source, coalesce(nullif(list_cosine_similarity(e, {_SOUGHT}), 'nan'::DOUBLE), 0) AS s FROM v
+           WHERE source IN (SELECT source FROM c ORDER BY d, source LIMIT 2)) ORDER BY s DESC, doc_id LIMIT 10""")
+def topk_text_index(spark, sf_dir):
+    docs, catalog = Tables(spark, sf_dir).documents, Catalog(spark, new_path(spark, "catalog"))
+    options = {"id_col": "doc_id", "text_col": "text", "model": letter_counts, "cluster_col": "source"}
+    index.TextIndex.build(catalog, "documents", "letters", docs, **options)
+    found = index.TextIndex.get(catalog, "documents", "letters", docs, **options)  # read from the catalog
+    return SemFrame(docs).sem_search(found, SOUGHT, 10, probes=2).df.select("doc_id", F.col("cluster").alias("source"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SQL_LETTERS} SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, coalesce(nullif(list_cosine_similarity(e, {_SOUGHT}), 'nan'::DOUBLE), 0) AS s FROM v) ORDER BY s DESC, doc_id LIMIT 10""")
+def topk_stale_rebuild(spark, sf_dir):
+    docs, catalog = Tables(spark, sf_dir).documents, Catalog(spark, new_path(spark, "catalog"))
+    options = {"id_col": "doc_id", "text_col": "text", "model": letter_counts, "clusters": 4}
+    index.TextIndex.build(catalog, "documents", "letters", docs.where("lang = 'en'"), **options)
+    found = index.TextIndex.get(catalog, "documents", "letters", docs, **options)  # of other rows, so it is built anew
+    return found.search(SOUGHT, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+          FROM embeddings a JOIN embeddings b ON a.label < 5 AND b.label >= 5 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
+def embedding_join(spark, sf_dir):
+    rows = Tables(spark, sf_dir).embeddings
+    left = rows.where("label < 5").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("left_vector"))
+    right = rows.where("label >= 5").select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("right_vector"))
+    return joins.embedding_join(left, right, "left_vector", "right_vector", 0.3).select("left_id", "right_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS kind, p_size AS size FROM part WHERE split_part(p_type, ' ', 1) = 'STANDARD' OR p_size > 45")
+def nested_access(spark, sf_dir):
+    parts = Tables(spark, sf_dir).part.select(
+        F.col("p_partkey").alias("id"), F.struct(F.struct(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("value")).alias("kind"), F.col("p_size").alias("size")).alias("about")
+    )
+    return parts.where((F.col("about.kind.value") == "STANDARD") | (F.col("about.size") > 45)).select("id", F.col("about.kind.value").alias("kind"), F.col("about.size").alias("size"))
+
+
+@query("""SELECT a.s_suppkey || '-' || b.s_suppkey AS pair FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey
+          AND floor(a.s_acctbal / 5000) = floor(b.s_acctbal / 5000) AND a.s_suppkey < b.s_suppkey""")
+def self_join_pairs_concat(spark, sf_dir):
+    rows = Tables(spark, sf_dir).supplier.withColumn("band", F.floor(F.col("s_acctbal") / 5000))
+    a, b = rows.alias("a"), rows.alias("b")
+    on = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))
+    return a.join(b, on).select(F.concat_ws("-", "a.s_suppkey", "b.s_suppkey").alias("pair"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) BETWEEN 8 AND 12 AND p_size NOT IN (1, 2, 3)")
+def string_length(spark, sf_dir):
+    return Tables(spark, sf_dir).part.where(F.length("p_name").between(8, 12) & ~F.col("p_size").isin(1, 2, 3)).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderpriority, round(2026 - avg(year(o_orderdate)), 6) AS mean_age FROM orders GROUP BY 1")
+def mean_arithmetic(spark, sf_dir):
+    return Tables(spark, sf_dir).orders.groupBy("o_orderpriority").agg(F.round(F.lit(2026) - F.avg(F.year("o_orderdate")), 6).alias("mean_age"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, bool_or(o_totalprice > 300000) AS large FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal < 0 AS debt FROM customer WHERE c_nationkey < 12)
+          SELECT k AS custkey FROM a FULL JOIN b USING (k) WHERE (coalesce(large, false) OR coalesce(debt, false)) AND (NOT coalesce(large, true) OR NOT coalesce(debt, true))""")
+def exclusive_sides(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    a = t.orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.bool_or(F.col("o_totalprice") > 300000).alias("large"))
+    b = t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("custkey"), (F.col("c_acctbal") < 0).alias("debt"))
+    some = F.coalesce("large", F.lit(False)) | F.coalesce("debt", F.lit(False))
+    other = ~F.coalesce("large", F.lit(True)) | ~F.coalesce("debt", F.lit(True))
+    return a.join(b, "custkey", "outer").where(some & other).select("custkey")
+
+
+SQL_VALUES = "SELECT CASE WHEN s_acctbal < {0} THEN NULL ELSE s_nationkey END AS v FROM supplier WHERE s_acctbal < 3000"
+
+
+@query(f"""SELECT c_custkey, CAST(1 AS INT) AS list FROM customer WHERE c_nationkey NOT IN ({SQL_VALUES.format(-99999)})
+           UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_nationkey NOT IN ({SQL_VALUES.format(0)})
+           UNION ALL SELECT c_custkey, 3 FROM customer WHERE nullif(c_nationkey, 5) NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 1e9)""")
+def not_in_nulls(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    some = t.supplier.where("s_acctbal < 3000")
+    lists = [(1, some.select(F.col("s_nationkey").alias("v"))), (2, some.select(F.expr("CASE WHEN s_acctbal < 0 THEN NULL ELSE s_nationkey END").alias("v"))), (3, t.supplier.where("s_acctbal > 1e9").select(F.col("s_nationkey").alias("v")))]
+    customers = t.customer.select("c_custkey", F.expr("nullif(c_nationkey, 5)").alias("gaps"), "c_nationkey")
+    found = [relational.not_in(customers, "gaps" if n == 3 else "c_nationkey", values, "v").select("c_custkey", F.lit(n).alias("list")) for n, values in lists]
+    return relational.union_ragged(found)
+
+
+@query("""SELECT r AS band, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN (SELECT unnest(range(0, 50)) AS r)
+          ON o_totalprice >= r * 10000 AND o_totalprice < r * 10000 + 15000 GROUP BY 1""")
+def range_join(spark, sf_dir):
+    bands = spark.range(50).select(F.col("id").alias("band"), (F.col("id") * 10000).alias("a"), (F.col("id") * 10000 + 15000).alias("b"))
+    met = relational.range_join(Tables(spark, sf_dir).orders.select("o_totalprice"), bands, "o_totalprice", "a", "b", 10000)
+    return met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS a FROM orders)
+          SELECT x.k AS custkey, x.id AS one, y.id AS other FROM o x JOIN o y ON x.k = y.k AND x.id < y.id AND x.a < y.a + 30 AND y.a < x.a + 30""")
+def interval_join(spark, sf_dir):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    rows = Tables(spark, sf_dir).orders.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("one"), day.alias("a"), (day + 30).alias("b"))
+    other = rows.select("custkey", F.col("one").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
+    return relational.interval_join(rows, other, ("a", "b"), ("c", "d"), 30, on=["custkey"]).where("one < other").select("custkey", "one", "other")
+
+
+@query("""SELECT a.event_id, arg_max(b.event_id, (b.ts, b.event_id)) AS before FROM (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)) a
+          LEFT JOIN (SELECT * FROM events WHERE event_type = (SELECT max(event_type) FROM events)) b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1""")
+def asof_join(spark, sf_dir):
+    events = Tables(spark, sf_dir).events
+    ends = events.agg(F.min("event_type").alias("a"), F.max("event_type").alias("z"))  # one row
+    side = lambda x: events.join(F.broadcast(ends), F.col("event_type") == F.col(x)).select("user_id", "ts", "event_id")
+    return relational.asof_join(side("a"), side("z"), ["user_id"], "ts", "event_id", "before").select("event_id", "before")
+
+
+@query("SELECT l_returnflag, true AS distinct_near, true AS median_near FROM lineitem GROUP BY 1")
+def approx_aggregates(spark, sf_dir):
+    """Whether the approximate aggregates lie within their error of the exact ones."""
+    items = Tables(spark, sf_dir).lineitem
+    near = relational.approximate(items, ["l_returnflag"], "l_partkey", error=0.02, shares=(0.5,))
+    exact = items.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n"), F.count(F.lit(1)).alias("rows"))
+    rank = items.join(near, "l_returnflag").groupBy("l_returnflag").agg(F.count_if(F.col("l_partkey") <= F.col("percentiles")[0]).alias("below"))
+    return near.join(exact, "l_returnflag").join(rank, "l_returnflag").select(
+        "l_returnflag", (F.abs(F.col("distinct_values") / F.col("n") - 1) < 0.08).alias("distinct_near"), (F.abs(F.col("below") / F.col("rows") - 0.5) < 0.05).alias("median_near"),
+    )
+
+
+@query(f"""WITH {SQL_GUESSES}, a AS (SELECT lang, guess AS q, count(*) AS n FROM g GROUP BY ALL), b AS (SELECT lang, quality AS q, count(*) AS n FROM g GROUP BY ALL),
+           h AS (SELECT sum(least(a.n, b.n)) AS h FROM a JOIN b USING (lang, q)), s AS (SELECT count(*) AS n FROM g)
+           SELECT round(h / n, 6) AS precision, round(h / n, 6) AS recall, round(h / n, 6) AS f1 FROM h, s""")
+def metric_rows(spark, sf_dir):
+    rows = _guesses(spark, sf_dir)
+    found = metrics.metric("rows", rows.select("lang", F.col("guess").alias("q")), rows.select("lang", F.col("quality").alias("q")))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""SELECT round(avg(abs(l_extendedprice - l_quantity * 1000)), 4) AS mae, round(100 * avg(abs(l_extendedprice - l_quantity * 1000) / abs(l_extendedprice)), 6) AS mape FROM lineitem""")
+def metric_mape(spark, sf_dir):
+    rows = Tables(spark, sf_dir).lineitem.withColumn("guess", F.col("l_quantity") * 1000)
+    return metrics.metric("mape", rows, "guess", "l_extendedprice").select(F.round("mae", 4).alias("mae"), F.round("mape", 6).alias("mape"))

@@ -38,8 +38,9 @@ class Catalog:
         return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1 and not removed").drop("_n", "removed")
 
     def save(self, df: DataFrame, kind: str, dataset: str, name: str, uri: str, **options) -> None:
-        """Write df at uri and register it with its fingerprint."""
-        df.write.mode("overwrite").parquet(uri)
+        """Write df at uri, in a folder for each value of the option `partition`, and register it with its fingerprint."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(options["partition"]) if "partition" in options else writer).parquet(uri)
         mark, n = fingerprint(self.spark.read.parquet(uri))
         self._append(kind=kind, dataset=dataset, name=name, uri=uri, options=json.dumps(options), fingerprint=mark, n_rows=n)
 

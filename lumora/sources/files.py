@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Suffixes that are read as tables, and those whose parts are XML in a zip archive (fixed values).
 TABLES = {"csv", "parquet", "orc", "json", "jsonl"}
-OFFICE = {"docx": "word/document.xml", "pptx": "ppt/slides/", "xlsx": "xl/sharedStrings.xml"}
+OFFICE = {"docx": "word/document.xml", "pptx": "ppt/slides/"}
 
 
 def _office(content: bytes, part: str) -> str:
@@ -27,6 +28,30 @@ def _office(content: bytes, part: str) -> str:
     return "\n".join(lines)
 
 
+def _sheets(content: bytes) -> str:
+    """The cells of a workbook: sheets by their number, a line for each row, tabs between its cells (empty ones between others too)."""
+    tag = lambda node: node.tag.rpartition("}")[2]
+    text = lambda node: "".join(x.text or "" for x in node.iter() if tag(x) == "t")
+    lines = []
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = archive.namelist()
+        shared = [text(x) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if tag(x) == "si"] if "xl/sharedStrings.xml" in names else []
+        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/[^/]*\.xml", n)]
+        for name in sorted(sheets, key=lambda n: (int("".join(re.findall(r"\d", n)) or 0), n)):
+            for row in (x for x in ElementTree.fromstring(archive.read(name)).iter() if tag(x) == "row"):
+                cells: list[str] = []
+                for cell in (x for x in row if tag(x) == "c"):
+                    at = 0
+                    for letter in re.match(r"[A-Z]*", cell.get("r", ""))[0]:
+                        at = 26 * at + ord(letter) - 64
+                    cells += [""] * (at - 1 - len(cells))
+                    value = next((x.text or "" for x in cell if tag(x) == "v"), "")
+                    kind = cell.get("t")
+                    cells.append(shared[int(value)] if kind == "s" and value else text(cell) if kind == "inlineStr" else {"1": "TRUE", "0": "FALSE"}.get(value, value) if kind == "b" else value)
+                lines.append("\t".join(cells))
+    return "\n".join(lines)
+
+
 def _pdf(content: bytes) -> str:
     try:
         from pypdf import PdfReader
@@ -40,6 +65,8 @@ def parse(uri: str, content: bytes) -> str:
     suffix = uri.rpartition(".")[2].lower()
     if suffix in OFFICE:
         return _office(content, OFFICE[suffix])
+    if suffix == "xlsx":
+        return _sheets(content)
     if suffix == "pdf":
         return _pdf(content)
     return content.decode("utf-8", "replace")

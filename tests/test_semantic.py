@@ -130,8 +130,8 @@ def test_an_unanswered_pack_leaves_no_partial_answer(spark):
     fine = semantic.sem_aggregate(df, "Add.", fields, Judge(model=_adder()), budget=80).collect()
     assert [r.total for r in fine] == [sum(w for _, w in rows)]
     assert [r.total for r in semantic.sem_aggregate(df, "Add.", fields, Judge(model=_adder(7)), budget=80).collect()] == [None]
-    found = {r.k: r.total for r in semantic._reduced(df, ["k"], "Add.", fields, Judge(model=_adder(7)), 80).collect()}
-    assert found == {"a": sum(w for k, w in rows if k == "a"), "b": None}
+    found = {r.k0: (r.v0, r.error is None) for r in semantic._reduced(df, ["k"], "Add.", fields, Judge(model=_adder(7)), 80)[0].collect()}
+    assert found == {"a": (sum(w for k, w in rows if k == "a"), True), "b": (None, False)}
 
 
 def test_equal_records_spread_over_packs(spark):
@@ -170,6 +170,87 @@ def test_groupby_derived_key_and_model_aggregate(spark, animals):
     assert rows == {"mammal": (7200.0, "2"), "reptile": (50.0, "1"), "fish": (5.0, "1"), "bird": (4.0, "1")}
 
 
+def test_a_prompt_is_asked_once_over_a_whole_query(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return [json.dumps({"n": str(len(json.loads(r["records"])))} if "records" in (r := _record(p)) else {"kind": r["x"] % 3}) for p in prompts]
+
+    df = spark.createDataFrame([(i, i) for i in range(60)], "x long, y long")
+    judge = Judge(model=model)
+    found = semantic.sem_groupby(df, [Field("kind", "bigint")], [("y", "sum", "total"), ("y", "how many", "n")], judge)
+    assert sorted((r.kind, r.n) for r in found.collect()) == [(k, "20") for k in range(3)]
+    assert found.count() == 3 and asked.value == 63  # n for the keys and one a group
+    semantic.sem_map(df, [Field("kind", "bigint")], judge).count()
+    assert asked.value == 63  # the same prompts as for the keys
+    judge.forget()
+    semantic.sem_map(df, [Field("kind", "bigint")], judge).count()
+    assert asked.value == 123
+
+
+def test_rounds_of_packs_are_asked_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return _adder()(prompts)
+
+    df = spark.createDataFrame([(100_000 + i,) for i in range(200)], "weight long")
+    assert semantic.sem_aggregate(df, "Add.", [Field("total", "bigint")], Judge(model=model), budget=200).first().total == sum(range(100_000, 100_200))
+    first = -(-200 * 6 // 200)
+    assert first <= asked.value <= 2 * first + 2
+
+
+def test_errors_are_kept(spark, animals):
+    def model(prompts):
+        return ["?" if _record(p).get("animal") == "eagle" else '{"kind": "x"}' if "object" in p else "true" for p in prompts]
+
+    judge = Judge(model=model)
+    kept = {r.animal: r.why for r in semantic.sem_filter(animals, "c", judge, errors="why").collect()}
+    assert len(kept) == 5 and "no reply" in kept["eagle"] and kept["snake"] is None
+    mapped = {r.animal: (r.kind, r.why is None) for r in semantic.sem_map(animals, [Field("kind")], judge, errors="why").collect()}
+    assert mapped["eagle"] == (None, False) and mapped["snake"] == ("x", True)
+    flat = semantic.sem_flat_map(animals, [Field("kind")], judge, "t. A JSON object", errors="why")
+    assert flat.columns == ["animal", "weight", "why", "kind"] and {r.animal: (r.kind, r.why is None) for r in flat.collect()}["eagle"] == (None, False)
+    silent = semantic.sem_aggregate(animals, "t", [Field("error")], Judge(model=lambda p: ["?"] * len(p)), errors="why").collect()
+    assert [(r.error, "no reply" in r.why) for r in silent] == [(None, True)]
+    native = Judge(rules={"c": lambda d: F.lit(True)})
+    assert {r.why for r in semantic.sem_filter(animals, "c", native, errors="why").collect()} == {None}
+
+
+def test_aggregate_of_nothing_is_one_row(spark, animals):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return [json.dumps({"total": len(json.loads(_record(p)["records"]))}) for p in prompts]
+
+    assert [r.total for r in semantic.sem_aggregate(animals.limit(0), "t", [Field("total", "bigint")], Judge(model=model)).collect()] == [0]
+    assert asked.value == 1
+
+
+def test_flat_map_casts_each_field(spark):
+    df = spark.createDataFrame([("a",)], "x string")
+    model = lambda prompts: [json.dumps([{"f": "12"}, {"f": "x"}, {"f": 3, "g": [1]}, {}])] * len(prompts)
+    found = semantic.sem_flat_map(df, [Field("f", "bigint"), Field("g", "array<int>")], Judge(model=model), "t").collect()
+    assert [(r.f, r.g) for r in found] == [(12, None), (None, None), (3, [1]), (None, None)]
+
+
+def test_clashing_names(spark):
+    names = ["_reply", "_error", "_prompt", "_pack", "_packs", "_lost", "record", "records", "k0", "v0", "error", "lost", "one", "two"]
+    df = spark.createDataFrame([tuple("abcdefghijklmn"), tuple("ABCDEFGHIJKLMN")], ", ".join(f"{n} string" for n in names))
+
+    def model(prompts):
+        return ['{"v0": "1", "error": "2"}' if "object" in p or "records" in p and "Fields" in p else "true" for p in prompts]
+
+    judge = Judge(model=model)
+    assert semantic.sem_filter(df, "c", judge).columns == names and semantic.sem_filter(df, "c", judge).count() == 2
+    assert {(r.v0, r.error, r._reply) for r in semantic.sem_map(df, [Field("v0"), Field("error")], judge).collect()} == {("1", "2", "a"), ("1", "2", "A")}
+    found = semantic.sem_groupby(df, [Field("record"), Field("k0")], [("_lost", "sum it up", "error"), ("v0", "count", "lost")], judge)
+    assert sorted((r.record, r.k0, r.error, r.lost) for r in found.collect()) == [("G", "I", "2", 1), ("g", "i", "2", 1)]
+
+
 def test_frame_steps(spark, animals):
     frame = SemFrame(animals, Judge(rules={"heavy": lambda d: F.col("weight") > 100}))
     heavy = frame.sem_filter("heavy")
