@@ -5,67 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.tables import dropped, new_path, removed, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none and runs on this machine alone a temporary folder is
-    set; on a cluster no executor would see another's files, so that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lumora-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that does not exist yet; what lies there goes when the application ends."""
-    path = f"{shared_dir(spark)}/lumora-{what}-{uuid.uuid4().hex}"
-    store, target = _store(spark, path)
-    store.deleteOnExit(target)
-    return path
-
-
-def _store(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of df with a Parquet table in the shared folder."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    made = df.sparkSession.read.schema(df.schema).parquet(path)
-    made.lumora_path = path
-    return made
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more."""
-    for table in tables:
-        removed(table.sparkSession, table.lumora_path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a table that is no longer read, on whichever store it lies."""
-    store, target = _store(spark, path)
-    store.delete(target, True)
+__all__ = ["dropped", "new_path", "removed", "shared_dir", "written"]
 
 
 def narrowed(df: DataFrame, **columns: str) -> DataFrame:
