@@ -95,9 +95,13 @@ def write(
         rounds = directory(keys, limit, 2 * HALF)
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    # about four groups of shards a file; the rows of one id, which share all bits of its hash, have groups of eight shards
-    first = F.col("shard").substr(F.lit(1), F.when(F.col("depth") > HALF, F.col("depth") - 2).otherwise(files.bit_length() + 2))
-    found = assign(rows, rounds).select("doc_id", "text", "depth", "shard").repartition(files, first).sortWithinPartitions("shard")
+    # a file has a range of shards, by the number that their first bits make; the rows of one id, which share all
+    # bits of its hash, are dealt by groups of eight shards
+    wide = files.bit_length() + 4
+    number = F.conv(F.rpad(F.col("shard").substr(F.lit(2), F.lit(wide)), wide, "0"), 2, 10).cast("long")
+    group = F.pmod(F.xxhash64(F.col("shard").substr(F.lit(1), F.col("depth") - 2)), F.lit(files))
+    file = F.when(F.col("depth") > HALF, group).otherwise(F.shiftright(number * files, wide)).cast("int")
+    found = assign(rows, rounds).select("doc_id", "text", "depth", "shard").repartitionById(files, file).sortWithinPartitions("shard")
     found.write.option("compression", "zstd").option("parquet.page.row.count.limit", "500").parquet(path)
     return assign(keys, rounds).groupBy("shard", "depth").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
 
