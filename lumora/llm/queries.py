@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, embeddings, language_model, packing, quality, sharding, simhash, suffixes, tokens, warc
+from lumora.llm import decontamination, embeddings, language_model, packing, quality, sharding, simhash, spelling, suffixes, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -100,6 +100,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sizes, "shard").select("doc_id", "shard", "depth", "n_bytes", "shard_docs", "shard_bytes")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 7 letters, each with the ten times as frequent word one letter away that it is a variant of."""
+    words = spelling.words(_table(spark, sf_dir, "documents"), length=7, least=2, noise=31)
+    return spelling.variants(words, ratio=10)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -177,4 +184,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, 's' || CASE WHEN l.k = 0 THEN '' ELSE lpad(bin(s.p), l.k, '0') END AS shard, l.k AS depth, l.n_bytes,
                s.n AS shard_docs, s.b AS shard_bytes
         FROM l JOIN v USING (doc_id, k) JOIN s USING (k, p)""",
+    "op11_spelling": r"""
+        WITH RECURSIVE t AS (SELECT list(list_reduce([i] || range(8), lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+                             FROM range(256) AS r(i)),
+        o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+              FROM documents),
+        g AS (SELECT doc_id, w, count(*) AS n, string_split(concat(doc_id, ':', w), '') AS s FROM o WHERE length(w) >= 7 GROUP BY doc_id, w),
+        b AS (SELECT w, n, flatten(list_transform(s, lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x) - 64] END)) AS b FROM g),
+        h AS (SELECT w, n, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+        v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+        w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        p AS (SELECT x.word, y.word AS other, y.n FROM d AS x JOIN d AS y ON x.i = y.i AND x.d = y.d AND x.word <> y.word
+              UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.d = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.d = w.word),
+        k AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM p),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN k.n >= 10 * w.n THEN other END AS form, CASE WHEN k.n >= 10 * w.n THEN k.n END AS form_n
+              FROM w LEFT JOIN k ON w.word = k.word AND k = 1),
+        r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.up = f.word)
+        SELECT f.word, f.n, f.form, r.root, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.up IS NULL""",
 }
