@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontamination, embeddings, language_model, packing, quality, sharding, simhash, spelling, suffixes, tokens, warc
+from lumora.llm import counting, decontamination, embeddings, language_model, packing, quality, sharding, simhash, spelling, suffixes, tokens, warc
 from lumora.llm.shared import new_path
 
 
@@ -106,6 +106,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, ratio=10)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by a vocabulary of lower-case words, and whether there are over 2,048."""
+    import public_tokenizers
+
+    found = counting.count(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
@@ -118,6 +126,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
     "op11_spelling": op11_spelling,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
