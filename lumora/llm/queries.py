@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import counting, decontamination, embeddings, language_model, packing, quality, sharding, simhash, spelling, suffixes, tokens, warc
+from lumora.llm import counting, decontamination, embeddings, language_model, packing, quality, sharding, simhash, spelling, suffixes, tokens, trie, warc
 from lumora.llm.shared import new_path
 
 
@@ -106,6 +106,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, ratio=10)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of conversations, each rebuilt with the first turns of the twentieth before it."""
+    turns, convs = trie.with_heads(trie.ordered(_table(spark, sf_dir, "conversations")), every=20, most=4)
+    return trie.nodes(turns, convs)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text by a vocabulary of lower-case words, and whether there are over 2,048."""
     import public_tokenizers
@@ -126,6 +132,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
     "op11_spelling": op11_spelling,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -211,4 +218,24 @@ ORACLE_SQL: dict[str, str] = {
               FROM w LEFT JOIN k ON w.word = k.word AND k = 1),
         r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.up = f.word)
         SELECT f.word, f.n, f.form, r.root, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.up IS NULL""",
+    "op12_conversation_trie": r"""
+        WITH RECURSIVE crc AS (SELECT list(list_reduce([i] || range(8), lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+                               FROM range(256) AS r(i)),
+        o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+                     {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+        s AS (SELECT DISTINCT conv_id, [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT) AS b FROM o),
+        h AS (SELECT conv_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 4 AS h FROM s, crc),
+        b AS (SELECT conv_id, p, x FROM o JOIN h USING (conv_id) WHERE p > h
+              UNION ALL SELECT h.conv_id, p, x FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND p <= h),
+        m AS (SELECT conv_id, row_number() OVER w AS depth, x, sha256(CAST(to_json(list(x) OVER w) AS VARCHAR)) AS k FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+        a AS (SELECT conv_id, depth, len(regexp_extract_all(x.t, '[^\x20\x09-\x0D]+')) AS words, k, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY depth), '') AS up FROM m
+              UNION ALL SELECT conv_id, 0, 0, '', NULL FROM h),
+        n AS MATERIALIZED (SELECT k, min(up) AS up, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM a GROUP BY k),
+        c AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM n AS q WHERE q.up = n.k) AS n_children FROM n),
+        r AS (SELECT k AS top, k, saved, n_children FROM c UNION ALL SELECT r.top, c.k, c.saved, c.n_children FROM r JOIN c ON c.up = r.k),
+        t AS (SELECT top AS k, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM r GROUP BY top),
+        e AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM a
+              WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.conv_id = a.conv_id AND m.depth > a.depth) GROUP BY k)
+        SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+        FROM c JOIN t ON c.k = t.k LEFT JOIN e ON c.k = e.k LEFT JOIN n AS p ON c.up = p.k""",
 }
