@@ -8,29 +8,33 @@ distinct ones, and the counts return to the block, where they are multiplied and
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lumora.llm.encoding import byte_signs
 from lumora.llm.shared import RELEASE, Memo, in_order, narrowed, sliced, written
 
 #: Bytes of text in a block. A longer text is a block of its own.
 BLOCK = 16 << 20
-#: Remembered runs of letters between blanks, of two generations each.
-KEPT = 300_000
 #: Before a run that is counted whole, as it holds an added token's string; no pre-token has this sign.
 WHOLE = "\0"
+#: Runs of printable signs of ASCII and of Latin letters before the combining ones: normal forms leave them as they are.
+PLAIN = re.compile("[!-~\u00a1-\u024f]+")
 
 
 class PreTokens:
-    """pre_tokens[run]: the pre-tokens of what stands between two blanks; pieces(x): how many pieces one has.
+    """split(run): the pre-tokens of what stands between two blanks; pieces(x): how many pieces one has.
 
     For vocabularies of the tokenizers library whose pre-tokens end at blanks and do not hold
     them: white space is dropped, and nothing before that looks beyond it. Others are refused.
@@ -54,13 +58,25 @@ class PreTokens:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
 
-        def made(run: str) -> tuple[str, ...]:
-            normalized = self.tokenizer.normalizer.normalize_str(run) if self.tokenizer.normalizer else run
-            if any(x in run or x in normalized for x in added):
-                return (WHOLE + run,)
-            return tuple(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normalized))
+        #: the split as a pattern, where the steps are known: what it finds, byte by byte
+        plain = all(x["type"] != "Replace" or x["pattern"] == {"Regex": r"\s+"} for x in normal) and len(split) == 2 and "Regex" in split[0]["pattern"]
+        plain = plain and split[1]["type"] == "ByteLevel" and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
+        pattern = regex.compile(split[0]["pattern"]["Regex"]) if plain else None
+        lower, signs = any(x["type"] == "Lowercase" for x in normal), byte_signs()
 
-        self.runs = Memo(made, KEPT)
+        special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+
+        def split(run: str) -> list[str]:
+            plain = pattern and PLAIN.fullmatch(run)
+            normalized = (run.lower() if lower else run) if plain else self.tokenizer.normalizer.normalize_str(run) if self.tokenizer.normalizer else run
+            if special(run) or special(normalized):
+                return [WHOLE + run]
+            if plain:
+                found = pattern.findall(normalized)
+                return found if normalized.isascii() else [x.encode().decode("latin-1").translate(signs) for x in found]
+            return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normalized)]
+
+        self.split = split
 
     def pieces(self, pre_token: str) -> int:
         if pre_token.startswith(WHOLE):
@@ -84,55 +100,77 @@ def _blocks(rows: DataFrame, tokenizer: str, size: int) -> DataFrame:
     """A row for each document: numbers of the pre-tokens that it has once and more often, and how often; and one of the block's pre-tokens."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own, block = pre_tokens(tokenizer), TaskContext.get().partitionId() << 32
-        numbers: dict[str, int] = {}
-        filled = 0
+        own, part, done = pre_tokens(tokenizer), TaskContext.get().partitionId() << 32, 0
+        block, filled = Block(own), 0
 
-        def block_words() -> dict:
-            one = {"block": pa.array([block]), "words": pa.array([list(numbers)], pa.list_(pa.string()))}
+        def closed() -> dict:
+            one = {"block": pa.array([part + done]), "words": pa.array([list(block.numbers)], pa.list_(pa.string()))}
             return one | {k: pa.nulls(1, pa.int64()) for k in ("id", "n_bytes")} | {k: pa.nulls(1, pa.binary()) for k in ("once", "more", "times")}
 
         for batch in sliced(batches, 200):
-            found, at = {k: [] for k in ("block", "once", "more", "times")}, 0
-            sizes = batch.column("n_bytes").to_pylist()
+            sizes, at, found = batch.column("n_bytes").to_pylist(), 0, []
             for i, text in enumerate(batch.column("text")):
                 if filled and filled + sizes[i] > size:
-                    if i > at:
-                        yield documents(batch.slice(at, i - at), found)
-                    found, at = {k: [] for k in found}, i
-                    yield block_words()
-                    numbers, filled, block = {}, 0, block + 1
+                    yield from documents(batch.slice(at, i - at), found, part + done)
+                    yield closed()
+                    block, filled, done, at, found = Block(own), 0, done + 1, i, []
                 filled += sizes[i]
-                counts: dict[int, int] = {}
-                for run, n in Counter((text.as_py() or "").replace("\n", " ").split(" ")).items():
-                    for x in own.runs[run] if run else ():
-                        k = numbers.setdefault(x, len(numbers))
-                        counts[k] = counts.get(k, 0) + n
-                kind = np.dtype("<u2" if len(numbers) <= 1 << 16 else "<u4")
-                k, n = np.fromiter(counts.keys(), kind, len(counts)), np.fromiter(counts.values(), "<i8", len(counts))
-                k, n = k[order := np.argsort(k)], n[order]
-                found["block"].append(block)
-                found["once"].append(kind.char.encode() + k[n == 1].tobytes())
-                found["more"].append(k[n > 1].astype("<u4").tobytes())
-                n = n[n > 1]
-                kind = np.dtype("u1" if n.max(initial=0) < 256 else "<i8")
-                found["times"].append(kind.char.encode() + n.astype(kind).tobytes())
-                own.runs.trim()
-            if batch.num_rows > at:
-                yield documents(batch.slice(at), found)
-        if filled or numbers:
-            yield block_words()
-
-    def documents(batch: pa.RecordBatch, found: dict) -> dict:
-        made = {k: pa.array(found[k], pa.binary()) for k in ("once", "more", "times")}
-        return {"block": pa.array(found["block"], pa.int64()), "id": batch.column("id"), "n_bytes": batch.column("n_bytes"),
-                "words": pa.nulls(batch.num_rows, pa.list_(pa.string()))} | made
+                found.append(block.counts(text.as_py() or ""))
+            yield from documents(batch.slice(at), found, part + done)
+        yield closed()
+
+    def documents(batch: pa.RecordBatch, found: list, block: int) -> Iterator[dict]:
+        if found:
+            made = {k: pa.array(x, pa.binary()) for k, x in zip(("once", "more", "times"), zip(*found, strict=True), strict=True)}
+            yield made | {"block": pa.array([block] * len(found), pa.int64()), "id": batch.column("id"), "n_bytes": batch.column("n_bytes"),
+                          "words": pa.nulls(len(found), pa.list_(pa.string()))}
 
     return rows.mapInArrow(in_order(_COLUMNS, body, "pre-tokens"), _BLOCKS)
 
 
-def _typed(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.dtype(x[:1].decode()).newbyteorder("<"), offset=1)
+class Block:
+    """The pre-tokens of a block of texts, numbered as they come, and a text's counts of them."""
+
+    def __init__(self, own: PreTokens):
+        self.numbers: dict[str, int] = {}
+        self.of = array("q")  # the pre-tokens of each run of letters, one after the other
+        self.ends = array("q", [0])
+
+        def number(run: str) -> int:
+            for x in own.split(run):
+                self.of.append(self.numbers.setdefault(x, len(self.numbers)))
+            self.ends.append(len(self.of))
+            return len(self.ends) - 2
+
+        self.runs = Memo(number, 0)
+
+    def counts(self, text: str) -> tuple[bytes, bytes, bytes]:
+        runs = Counter(text.replace("\n", " ").split(" "))
+        runs.pop("", None)
+        at = np.fromiter(map(self.runs.__getitem__, runs), np.int64, len(runs))
+        of, ends = np.frombuffer(self.of, np.int64) if self.of else np.zeros(0, np.int64), np.frombuffer(self.ends, np.int64)
+        sizes = ends[at + 1] - ends[at]
+        n = np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), sizes)
+        place = np.repeat(ends[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(n))
+        k, back = np.unique(of[place], return_inverse=True)
+        n = np.bincount(back, n, len(k)).astype(np.int64)
+        more = n > 1
+        return packed(np.diff(k[~more], prepend=0)), packed(np.diff(k[more], prepend=0)), packed(n[more])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**35 in as many bytes of 7 bits as each needs, the last of them under 128."""
+    parts = (x[:, None] >> np.arange(0, 35, 7)) & 127
+    size = 1 + sum((x >= 1 << b).astype(np.int64) for b in range(7, 35, 7))
+    parts[np.arange(5) < size[:, None] - 1] |= 128
+    return parts.astype(np.uint8)[np.arange(5) < size[:, None]].tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    a = np.frombuffer(x, np.uint8).astype(np.int64)
+    start = np.flatnonzero(np.append(True, a[:-1] < 128)) if len(a) else np.zeros(0, np.int64)
+    place = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return np.add.reduceat((a & 127) << 7 * place, start) if len(a) else a
 
 
 def _summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
@@ -140,7 +178,7 @@ def _summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
     pieces = np.zeros(counts.num_rows, dtype=np.int64)
     pieces[counts.column("k").to_numpy()] = counts.column("pieces").to_numpy()
     n = [
-        int(pieces[_typed(once)].sum() + pieces[np.frombuffer(more, "<u4")] @ _typed(times).astype(np.int64))
+        int(pieces[np.cumsum(unpacked(once))].sum() + pieces[np.cumsum(unpacked(more))] @ unpacked(times))
         for once, more, times in zip(*(documents.column(x).to_pylist() for x in ("once", "more", "times")), strict=True)
     ]
     return pa.table({"doc_id": documents.column("id"), "n_bytes": documents.column("n_bytes"), "n_tokens": pa.array(n, pa.int64())})
@@ -154,7 +192,7 @@ def count(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col:
     others, no rows give none.
 
     A block's table of pre-tokens bounds the memory, besides one text. What is shuffled
-    is the distinct pre-tokens of each block, twice, and two or three bytes for each distinct
+    is the distinct pre-tokens of each block, there and (as numbers) back, and one or two bytes for each distinct
     pre-token of a document; a pre-token that all texts have is one row a block.
     """
     rows = narrowed(docs, id=id_col, text=text_col)
@@ -162,13 +200,17 @@ def count(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col:
     table = written(_blocks(rows, tokenizer, block), "blocks")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own = pre_tokens(tokenizer)
+        """The rows of each pre-token follow one another, so its pieces are counted once and joined to all of them."""
+        own, last, n = pre_tokens(tokenizer), None, 0
         for batch in batches:
-            words = batch.column("word")
-            yield {"word": words, "pieces": pa.array([own.pieces(x) for x in words.to_pylist()], pa.int32())}
+            pieces = []
+            for word in batch.column("word").to_pylist():
+                if word != last:
+                    last, n = word, own.pieces(word)
+                pieces.append(n)
+            yield {"of": batch.column("block"), "k": batch.column("k"), "pieces": pa.array(pieces, pa.int32())}
 
     own = table.where("words is not null").select("block", F.posexplode("words").alias("k", "word"))
-    pieces = own.select("word").distinct().mapInArrow(in_order(["word", "pieces"], counted, "pre-tokens"), "word string, pieces int")
-    back = own.join(pieces, "word").select(F.col("block").alias("of"), "k", "pieces")
+    back = own.repartition("word").sortWithinPartitions("word").mapInArrow(in_order(["of", "k", "pieces"], counted, "pre-tokens"), "of long, k int, pieces int")
     documents = table.where("words is null").select("block", "id", "n_bytes", "once", "more", "times")
     return documents.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")

@@ -26,6 +26,13 @@ RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
 class Encoder:
     """encode(text): the ids as bytes, little-endian unsigned 32-bit.
 
@@ -50,9 +57,7 @@ class Encoder:
         self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
         longest = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(longest)})")
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [x for x in range(256) if x not in plain]
-        signs = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+        signs = byte_signs()
         model = self.tokenizer.model
         model._resize_cache(0)  # the memos below serve for it
 

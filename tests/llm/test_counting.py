@@ -11,10 +11,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def slow(texts):
-    return [len(Tokenizer.from_file(PATH).encode(x or "", add_special_tokens=False).ids) for x in texts]
+    own = Tokenizer.from_file(PATH)
+    return [len(own.encode(x or "", add_special_tokens=False).ids) for x in texts]
 
 
-@pytest.mark.parametrize("block", [1, 500, 1 << 20])
+@pytest.mark.parametrize("block", [500, 1 << 20])
 def test_counts_awkward(spark, awkward, block):
     odd = [
         "a<|endoftext|>b <|startoftext|><|STARTOFTEXT|> <|endoftext|", "it's we'll THEY'RE 'S 's", "é ́e İİ ΑΣ Σ", "a\tb\r\nc\x85d\xa0e f\x1cg​h",
