@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.functions.text import chunks
+from lumora.plans.judges import fresh
+
+
+def content(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, 128 bits together, by which equal texts are known."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def embed(
@@ -16,23 +22,29 @@ def embed(
 ) -> DataFrame:
     """df with the vector of each text; null and empty texts have none.
 
-    Equal texts are embedded once. A text over max_chars is embedded in chunks whose
-    vectors are averaged by position.
+    Equal texts are embedded once and met again by 128 bits of hashes, so that only vectors and hashes are
+    shuffled back. A text over max_chars is embedded in chunks whose vectors are averaged, in the task that has it.
     """
-    texts = df.select(F.col(text_col).alias("_text")).where("_text <> ''").distinct()
-    pieces = texts.select("_text", F.explode(chunks(F.col("_text"), max_chars)).alias("_piece"))
+    one, two = fresh(df, "_one", "_two")
+    marks = dict(zip((one, two), content(F.col(f"`{text_col}`")), strict=True))
+    text = F.col(f"`{text_col}`").alias("text")
+    texts = df.where(F.length(f"`{text_col}`") > 0).select(*[c.alias(k) for k, c in marks.items()], text).groupBy(one, two).agg(F.min("text").alias("text"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            given = rows.column(1).to_pylist()
-            found = [v for at in range(0, len(given), batch) for v in model(given[at : at + batch])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(pa.float64()))], names=["_text", "_v"])
-
-    found = pieces.mapInArrow(answer, "_text string, _v array<double>").select("_text", F.posexplode("_v").alias("_at", "_x"))
-    means = found.groupBy("_text", "_at").agg(F.avg("_x").alias("_x")).groupBy("_text").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias(vector)
-    )
-    return df.join(means, df[text_col] == means["_text"], "left").drop("_text")
+            given = rows.column(2).to_pylist()
+            sizes = [-(-len(x) // max_chars) for x in given]
+            pieces = [x[at : at + max_chars] for x in given for at in range(0, len(x), max_chars)]
+            found = np.array([v for at in range(0, len(pieces), batch) for v in model(pieces[at : at + batch])], dtype=np.float64)
+            if len(found) > len(given):
+                starts = np.cumsum([0, *sizes[:-1]])
+                found = np.add.reduceat(found, starts, axis=0) / np.array(sizes)[:, None]
+            if len(given):
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(given) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), values], names=[one, two, vector])
+
+    found = texts.mapInArrow(answer, f"`{one}` long, `{two}` long, `{vector}` array<double>")
+    return df.withColumns(marks).join(found, [one, two], "left").select(*[F.col(f"`{c}`") for c in df.columns if c != vector], F.col(f"`{vector}`"))
 
 
 def hashed_words(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.functions.text import count_tokens
-from lumora.plans.judges import Field, Judge, Unanswered, fresh, parse_boolean, parse_json
+from lumora.operators.relational import running
+from lumora.plans.fitting import LEAST, Fitter, room
+from lumora.plans.judges import Field, Judge, Unanswered, fresh, parse_boolean, parse_json, retried
 
 
 def sem_filter(
-    df: DataFrame, condition: str, judge: Judge, *, columns: list[str] | None = None, errors: str | None = None
+    df: DataFrame, condition: str, judge: Judge, *, columns: list[str] | None = None, errors: str | None = None, sides: tuple[tuple[str, ...], ...] = ()
 ) -> DataFrame:
-    """Rows for which the condition holds, unchanged; a null of a rule drops the row.
+    """Rows for which the condition holds, unchanged; a null of a rule drops the row. `sides` are fields that share the context evenly.
 
     So does a record that the model gives no answer to, unless `errors` names a column: then
     such rows stay, with what went wrong (null for the others).
@@ -21,7 +25,7 @@ def sem_filter(
     if native is not None:
         found = df.where(F.coalesce(native, F.lit(False)))
         return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
-    asked, reply, error = judge.ask(df, f"Is this true of the record? {condition}", columns or df.columns, parse_boolean)
+    asked, reply, error = judge.ask(df, f"Is this true of the record? {condition}", columns or df.columns, parse_boolean, sides=sides)
     if not errors:
         return asked.where(F.col(reply) == "true").select(df.columns)
     return asked.where((F.col(reply) == "true") | F.col(error).isNotNull()).select(*df.columns, F.col(error).alias(errors))
@@ -98,7 +102,8 @@ def sem_join(
     """Pairs for which the condition holds; columns of both sides become left_x and right_x, others keep their name.
 
     A rule names the columns that must be equal and a residual. A model judges only pairs that
-    agree on the columns `on`; without them a join would compare all pairs, so it is refused.
+    agree on the columns `on`; without them a join would compare all pairs, so it is refused. In a
+    prompt over the judge's context each side has half of the room.
     """
     shared = set(left.columns) & set(right.columns)
     of_left = lambda c: f"left_{c}" if c in shared else c
@@ -114,7 +119,7 @@ def sem_join(
         extra = [residual(lambda c: F.col(of_left(c)), lambda c: F.col(of_right(c)))] if residual else []
         found = a.join(b, [*keys, *extra])
         return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
-    return sem_filter(a.join(b, keys), condition, judge, errors=errors)
+    return sem_filter(a.join(b, keys), condition, judge, errors=errors, sides=(tuple(a.columns), tuple(b.columns)))
 
 
 #: The built-in aggregates; sums and means are of doubles, a sum of nothing is 0, count counts rows.
@@ -127,41 +132,83 @@ AGGREGATES = {
 }
 
 
+#: A pack's text but for its records, and how often a record is escaped there.
+_EMPTY, _WRAPS = '\n{"records":"[]"}', 2
+#: Records of at most this share of a pack are dealt together, by size; larger ones have a pack each.
+_SIZES = (2, 4, 8)
+
+
+def _fitted(rows: DataFrame, prompt: str, judge: Judge, limit: int) -> DataFrame:
+    """The rows, with `cost`: the characters that their record takes in a pack, at most `limit`, to which longer records are cut."""
+    fitter = Fitter(prompt, judge.embed, wraps=_WRAPS, batch=judge.batch)
+    cost = F.length(F.to_json(F.struct(F.to_json(F.array("record")).alias("records")))) - len(_EMPTY) + 2  # a comma, and no line end
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("record")
+            short = pa.array([fitter.fit(x, limit - 5) for x in batch.column(at).to_pylist()], pa.string())  # 4 for its quotes, 1 for a comma
+            yield pa.RecordBatch.from_arrays([short if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    sized = rows.withColumn("cost", F.when(F.col("record").isNotNull(), cost).otherwise(0))
+    long = rows.where(cost > limit).mapInArrow(cut, rows.schema).withColumn("cost", cost)
+    return sized.where(F.col("cost") <= limit).unionByName(long)
+
+
 def _reduced(df: DataFrame, keys: list[str], task: str, fields: list[Field], judge: Judge, budget: int) -> tuple[DataFrame, list[str]]:
-    """One answer for each key, by packs of records of about `budget` tokens whose answers are packed again.
+    """One answer for each key, by packs of records whose prompts have at most `budget` tokens, and packs of the packs' answers.
 
     The result has the keys as k0, k1 and so on (the list), the fields as v0, v1 and so on, and
-    `error`. Equal records are dealt evenly over a key's packs. A pack that stays unanswered
+    `error`. What fits one prompt is one pack. Else records of a size are dealt by the running sum of their characters
+    in the order of their hashes: what begins within a stretch of 1 - 1/n of the room is a pack, as the last of them takes at most 1/n.
+    So a pack never exceeds the room, equal records are spread, and a pack is the same however often it is computed. A record
+    over the room is cut by likeness to the task, and so is a pack's answer over a quarter of it (of a very small room, over just
+    less than half), so that each round leaves a third of the packs or so. A pack that stays unanswered
     makes all fields of its key null, as the rest would be an answer about a part of the
     rows. Without keys there is one answer, even of no rows.
     """
     own = [f"k{i}" for i in range(len(keys))]
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])) if len(df.columns) > len(keys) else F.lit("{}")
     rows = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], record.alias("record"), F.lit(None).cast("string").alias("lost"))
+    prompt = _task(task, fields)
+    budget = min(budget, judge.context or budget)
+    free = room(budget, prompt, _EMPTY)
+    line = len(retried(prompt, parse_json)) - len(prompt)  # of a prompt that is asked again
+    free = limit = free - line if line < free // 8 else free
     while True:
-        sized = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in own]).agg(F.ceil(F.sum(count_tokens(F.col("record"))) / budget).alias("packs"))
-        most = sized.agg(F.max("packs")).first()[0] or 1
-        packed = rows.join(sized, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in own]) if own else rows.join(F.broadcast(sized))
-        packed = packed.withColumn("packs", F.coalesce("packs", F.lit(1)))
-        packed = packed.groupBy(*own, "record", "packs").agg(F.count(F.lit(1)).alias("n"), F.max("lost").alias("lost"))
-        # by content alone, so that a pack is the same however often it is computed
-        turn, several = F.col("turn"), F.col("n") % F.col("packs")
-        packed = packed.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "packs") - 1)))
-        copies = F.floor(F.col("n") / F.col("packs")) + (turn < several).cast("long")
-        packed = packed.select(
-            *own, F.pmod(F.xxhash64("record") + turn, "packs").alias("pack"), "lost",
-            F.when(F.col("record").isNotNull(), F.array_repeat("record", copies.cast("int"))).alias("some"),
+        counted = _fitted(rows, prompt, judge, limit).groupBy(*own, "record", "cost").agg(F.count(F.lit(1)).alias("n"), F.max("lost").alias("lost"))
+        share = F.coalesce(*[F.when(F.col("cost") * x > free, x // 2) for x in _SIZES], F.lit(_SIZES[-1]))  # the record takes at most 1 / share
+        counted = counted.withColumns({"share": share, "one": F.xxhash64("record"), "two": F.xxhash64(F.lit(1), "record")})
+        order = F.struct(*own, "share", "one", "two").alias("order")
+        dealt = running(counted.select("*", order, (F.col("n") * F.col("cost")).alias("all")), "order", "all")
+        kinds = dealt.groupBy(*[F.col(k).alias(f"_{k}") for k in own], F.col("share").alias("_share")).agg(F.min("before").alias("base"), F.sum("all").alias("all"))
+        whole = kinds.groupBy(*[F.col(f"_{k}").alias(f"__{k}") for k in own]).agg(F.sum("all").alias("whole"))
+        most = whole.agg(F.max("whole")).first()[0] or 0
+        same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in own]
+        kinds = kinds.join(whole, same("_", "__")) if own else kinds.join(F.broadcast(whole))  # one row
+        of = dealt.drop("all", "order").join(kinds.select(*[f"_{k}" for k in own], "_share", "base", "whole"), [*same("", "_"), F.col("share") == F.col("_share")])
+        # copies begin at before, before + cost, ...; stretches of `wide` characters
+        alone, cost, n = F.col("share") == 1, F.col("cost"), F.col("n")
+        wide = F.when(F.col("whole") <= free, F.lit(1 << 62)).when(alone, F.greatest(cost, F.lit(1))).otherwise(F.floor(F.lit(free) - F.lit(free) / F.col("share"))).cast("long")
+        begin = F.when(alone & (F.col("whole") > free), F.lit(0).cast("long")).otherwise(F.col("before") - F.col("base"))
+        packed = of.withColumns({"wide": wide, "begin": begin}).withColumn("last", F.col("begin") + cost * (n - 1))
+        packed = packed.withColumn("pack", F.explode(F.sequence(F.floor(F.col("begin") / F.col("wide")), F.floor(F.col("last") / F.col("wide")))))
+        before = lambda at: F.when(cost == 0, F.when(at > F.col("begin"), n).otherwise(0)).otherwise(
+            F.least(n, F.greatest(F.lit(0), F.ceil((at - F.col("begin")) / cost)))
         )
+        end = F.when(F.col("wide") == 1 << 62, n).otherwise(before((F.col("pack") + 1) * F.col("wide")))
+        copies = (end - F.when(F.col("wide") == 1 << 62, 0).otherwise(before(F.col("pack") * F.col("wide")))).cast("int")
+        named = F.when(F.col("whole") <= free, F.lit("")).when(alone, F.concat_ws(" ", "share", "pack", "one", "two")).otherwise(F.concat_ws(" ", "share", "pack"))
+        packed = packed.select(*own, named.alias("pack"), "lost", F.when(F.col("record").isNotNull(), F.array_repeat("record", copies)).alias("some"))
         packs = packed.groupBy(*own, "pack").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("some"), F.max("lost").alias("lost"))
         if not own:
             packs = df.sparkSession.range(1).select().join(packs, how="left")
         packs = packs.withColumn("records", F.to_json(F.coalesce("some", F.array().cast("array<string>")))).drop("some")
-        asked, reply, error = judge.ask(packs, _task(task, fields), ["records"], parse_json)
+        asked, reply, error = judge.ask(packs, prompt, ["records"], parse_json, context=budget)
         lost = F.coalesce("lost", F.col(error))
-        if most <= 1:
+        if most <= free:
             given = [F.when(lost.isNull(), value).alias(f"v{i}") for i, value in enumerate(_given(reply, fields).values())]
             return asked.select(*own, *given, lost.alias("error")), own
-        rows, budget = asked.select(*own, F.col(reply).alias("record"), lost.alias("lost")), 2 * budget  # so the rounds end
+        rows, limit = asked.select(*own, F.col(reply).alias("record"), lost.alias("lost")), max(free // 4, min(LEAST, free // 2 - 1))
 
 
 def sem_aggregate(df: DataFrame, task: str, fields: list[Field], judge: Judge, *, budget: int = 8000, errors: str | None = None) -> DataFrame:
@@ -183,8 +230,8 @@ def sem_groupby(
 ) -> DataFrame:
     """One row for each key. Keys that are no columns are computed as by sem_map; null is a key.
 
-    aggregates are (column, function, alias), alias being the column by default; of two
-    with one alias the later wins. Functions that are not built in are tasks for the model,
+    aggregates are (column, function, alias, type), alias being the column by default; of two
+    with one alias the later wins. The type is that of a model's answer, string by default. Functions that are not built in are tasks for the model,
     one pack of a group at a time; `errors` names a column for what went wrong with these.
     """
     made = [k for k in keys if k.name not in df.columns]
@@ -197,7 +244,7 @@ def sem_groupby(
     for i, (alias, x) in enumerate(wanted.items()):
         if alias not in native:
             rows = df.select(*names, *[c for c in [x[0]] if c in df.columns and c not in names])
-            more, own = _reduced(rows, names, x[1], [Field(alias)], judge, budget)
+            more, own = _reduced(rows, names, x[1], [Field(alias, x[3] if len(x) > 3 else "string")], judge, budget)
             marks = fresh(found, *[f"_{k}" for k in own], "_error")
             more = more.select(*[F.col(k).alias(m) for k, m in zip(own, marks, strict=False)], F.col("v0").alias(alias), F.col("error").alias(f"_error{i}_"))
             found = found.join(more, [F.col(f"`{k}`").eqNullSafe(F.col(m)) for k, m in zip(names, marks, strict=False)]).drop(*marks)

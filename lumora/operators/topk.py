@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.vectors import METRICS, literal, squared_l2
+from lumora.plans.judges import Judge
+from lumora.tables import written
 
 
 def sem_topk(df: DataFrame, query: list[float], k: int, *, vector_col: str, id_col: str, metric: str = "cosine", score: str = "score") -> DataFrame:
@@ -83,3 +87,56 @@ def reranked_topk(
     near = sem_topk(df, query, candidates, vector_col=vector_col, id_col=id_col, metric=metric)
     first = F.col("score").asc_nulls_last() if METRICS[metric][1] else F.col("score").desc_nulls_last()
     return near.orderBy(rerank.desc_nulls_last(), first, id_col).limit(k)
+
+
+def parse_ranking(text: str) -> str | None:
+    """The first list of numbers of a reply, without repeats: the places of the records that it ranks, the best first."""
+    text = text or ""
+    start = text.find("[")
+    try:
+        found = json.loads(text[start : text.index("]", start) + 1]) if start >= 0 else None
+    except ValueError:
+        return None
+    if not found or not all(isinstance(x, int) and not isinstance(x, bool) and x >= 0 for x in found):
+        return None
+    return json.dumps(list(dict.fromkeys(found)))
+
+
+def judged_topk(
+    candidates: DataFrame, task: str, k: int, judge: Judge, *, text_col: str, id_col: str, score: str = "score", size: int = 20, rank: str = "rank",
+    errors: str | None = None,
+) -> DataFrame:
+    """The k best of scored candidates by a model that ranks lists of at most `size` of their texts (summaries, say), with their rank.
+
+    A tournament: candidates are dealt to lists in the order of their score, so that the best ones meet last;
+    the k best of each list go on, until one list is left. So n candidates take about n / size * (1 + 2k / size) calls
+    at most. Records that a reply does not name follow in the order of their score, as do all of a list that the model gave no ranking
+    of; `errors` names a column for what went wrong with a row's lists (null if nothing did).
+    """
+    if size < 2 * k:
+        raise ValueError("a list must hold twice the rows that are asked for, so that each round leaves fewer")
+    task = f"{task} Rank the records: answer with a JSON list of their places (from 0), the best first."
+    names = ["_id", "_text", "_score", "_seed", "_wrong"]
+    order = Window.orderBy(F.col(score).desc_nulls_last(), id_col)  # of the candidates that the first stage retrieved
+    rows = candidates.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(score).alias("_score"), (F.row_number().over(order) - 1).alias("_seed"), F.lit(None).cast("string").alias("_wrong")
+    )
+    rows = written(rows, "candidates")
+    while True:
+        n = rows.count()
+        lists = max(1, -(-n // size))
+        place = Window.orderBy("_seed")
+        dealt = rows.withColumn("_list", (F.row_number().over(place) - 1) % lists)
+        packs = dealt.groupBy("_list").agg(F.array_sort(F.collect_list(F.struct("_seed", *[x for x in names if x != "_seed"]))).alias("rows"))  # `size` of them
+        packs = packs.withColumn("records", F.transform("rows", lambda x: F.coalesce(x["_text"], F.lit(""))))
+        asked, reply, error = judge.ask(packs, task, ["records"], parse_ranking)
+        ranking = F.from_json(reply, "array<int>")
+        found = asked.select("_list", ranking.alias("ranking"), F.col(error).alias("error"), F.posexplode("rows").alias("_at", "row"))
+        at = F.coalesce(F.array_position("ranking", F.col("_at")), F.lit(0))
+        by = Window.partitionBy("_list").orderBy((at == 0), at, "_at")
+        found = found.withColumn(rank, F.row_number().over(by)).where(F.col(rank) <= k)
+        rows = written(found.select("row.*", rank, "error").withColumn("_wrong", F.coalesce("_wrong", "error")).drop("error"), "candidates")
+        if lists == 1:
+            own = rows.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.col("_score").alias(score), F.col(rank), *([F.col("_wrong").alias(errors)] if errors else []))
+            return own.orderBy(rank)
+        rows = rows.drop(rank)

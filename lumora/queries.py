@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumora.frame import SemFrame
 from lumora.functions import metrics, text, vectors
-from lumora.operators import embedding, index, joins, relational, topk
+from lumora.operators import embedding, index, joins, relational, topk, tree
 from lumora.plans.judges import Field, Judge, Pairs
 from lumora.sources.catalog import Catalog
 from lumora.streaming import windows
@@ -490,7 +490,8 @@ def stand_in(prompts: list[str]) -> list[str]:
             replies.append("Here it is: " + json.dumps({"kind": "question" if "?" in r["text"] else "statement", "lines": str(r["text"].count("\n") + 1)}))
         else:
             rows = [json.loads(x) for x in json.loads(r["records"])]
-            replies.append(json.dumps({"total": sum(x.get("s_suppkey") or x.get("total") or 0 for x in rows)}))
+            rows = [x.get("doc", x) for x in rows]
+            replies.append(json.dumps({"total": sum(int(x.get("s_suppkey") or x.get("n_chars") or x.get("total") or 0) for x in rows)}))
     return replies
 
 
@@ -538,6 +539,46 @@ def judged_aggregate(spark, sf_dir):
     return rows.sem_aggregate("Add the numbers.", [Field("total", "bigint")], budget=200).df
 
 
+#: Tokens of the stand-in models' context: longer prompts are an error of the library.
+CONTEXT = 300
+
+
+def in_context(prompts: list[str]) -> list[str]:
+    """stand_in() by a model that refuses prompts over its context."""
+    long = [p for p in prompts if len(p) // text.CHARS + 1 > CONTEXT]
+    if long:
+        raise ValueError(f"a prompt of {len(long[0])} characters")
+    return stand_in(prompts)
+
+
+def licenses(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: how often a text names licenses, beside a constant."""
+    return [[float(t.lower().count("license")), 1.0] for t in texts]
+
+
+SHORT = Judge(model=in_context, context=CONTEXT, embed=licenses)
+_LONG_TASK = "Is this true of the record? It mentions a license."
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, text, length(CAST(to_json(text) AS VARCHAR)) + {len('{"text":}')} AS n FROM documents),
+          r AS (SELECT *, {4 * CONTEXT - 2 - len(_LONG_TASK)} AS room FROM d),
+          c AS (SELECT *, CAST(4 * greatest(1, least((n // 4 + 1) // 32, (room // 4 + 1) // 10)) AS BIGINT) AS size FROM r)
+          SELECT doc_id, lang FROM c WHERE CASE WHEN n <= room THEN lower(text) LIKE '%license%'
+            ELSE list_bool_or(list_transform(range(0, (length(text) - 1) // size + 1), lambda i: lower(substring(text, i * size + 1, size)) LIKE '%license%')) END""")
+def judged_long_filter(spark, sf_dir):
+    """By a model with a short context: of a longer text it sees the chunks that are most like the condition."""
+    docs = SemFrame(Tables(spark, sf_dir).documents, SHORT)
+    return docs.sem_filter("It mentions a license.", columns=["text"]).df.select("doc_id", "lang")
+
+
+@query("SELECT lang, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY 1")
+def judged_long_aggregate(spark, sf_dir):
+    """Whole documents in packs, none over the context; texts of a pack's length or more are cut, numbers are not."""
+    docs = SemFrame(Tables(spark, sf_dir).documents.select("lang", "n_chars", "text"), SHORT)
+    docs = docs.code(lambda d: d.select("lang", F.struct("n_chars", "text").alias("doc")))
+    return docs.sem_groupby([Field("lang")], [("doc", "Add the numbers.", "total", "bigint")], budget=CONTEXT).df
+
+
 LETTERS = "etaoinsr"
 SOUGHT = "the rain in spain stays mainly in the plain"
 
@@ -574,6 +615,42 @@ def topk_stale_rebuild(spark, sf_dir):
     return found.search(SOUGHT, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE_SQL["topk_text_index"])
+def topk_index_delta(spark, sf_dir):
+    """An index of an earlier state of the documents, brought up to date: some were not there yet, some had other texts, some went."""
+    docs, catalog = Tables(spark, sf_dir).documents, Catalog(spark, new_path(spark, "catalog"))
+    options = {"id_col": "doc_id", "text_col": "text", "model": letter_counts, "cluster_col": "source"}
+    earlier = docs.where("doc_id % 10 <> 3").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" trees"))).otherwise(F.col("text")))
+    earlier = earlier.unionByName(docs.where("doc_id % 13 = 0").withColumn("doc_id", -1 - F.col("doc_id")))
+    index.TextIndex.build(catalog, "documents", "letters", earlier, **options)
+    found = index.TextIndex.get(catalog, "documents", "letters", docs, **options)
+    return found.search(SOUGHT, 10, probes=2).select("doc_id", F.col("cluster").alias("source"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["topk_cosine"])
+def topk_tree(spark, sf_dir):
+    """Exact, by a tree of clusters whose bounds leave most leaves unread where vectors lie in groups."""
+    rows = Tables(spark, sf_dir).embeddings
+    made = tree.VectorTree.build(rows.select("vec_id", "embedding"), vector_col="embedding", id_col="vec_id", leaf=64)
+    return made.search(VECTOR, 10, vector_col="embedding", id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def alphabetical(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that ranks: by the texts themselves, equal ones as they come."""
+    lists = [json.loads(p.partition("\n")[2])["records"] for p in prompts]
+    return [f"The ranking is {sorted(range(len(x)), key=lambda i: x[i].encode())}." for x in lists]
+
+
+@query(f"""WITH {SQL_LETTERS}, c AS (SELECT doc_id, coalesce(nullif(list_cosine_similarity(e, {_SOUGHT}), 'nan'::DOUBLE), 0) AS s FROM v ORDER BY s DESC, doc_id LIMIT 60)
+           SELECT doc_id, CAST(row_number() OVER (ORDER BY text, s DESC, doc_id) AS INT) AS rank FROM c JOIN documents USING (doc_id) ORDER BY rank LIMIT 5""")
+def topk_judged(spark, sf_dir):
+    """The nearest 60 texts, of which a model that ranks lists of 12 picks five."""
+    docs, catalog = Tables(spark, sf_dir).documents, Catalog(spark, new_path(spark, "catalog"))
+    made = index.TextIndex.build(catalog, "documents", "letters", docs, id_col="doc_id", text_col="text", model=letter_counts, cluster_col="source")
+    near = made.search(SOUGHT, 60)
+    return topk.judged_topk(near, "The first by the alphabet.", 5, Judge(model=alphabetical), text_col="text", id_col="doc_id", size=12).select("doc_id", "rank")
+
+
 @query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
           FROM embeddings a JOIN embeddings b ON a.label < 5 AND b.label >= 5 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
 def embedding_join(spark, sf_dir):

@@ -11,9 +11,14 @@ SCHEMA = "kind string, dataset string, name string, uri string, options string,
 
 
 def fingerprint(df: DataFrame) -> tuple[int, int]:
-    """A hash of the rows whatever their order, and their number: tells if an index is of these rows."""
-    row = df.agg(F.sum(F.xxhash64(*df.columns) % (1 << 40)), F.count(F.lit(1))).first()
-    return row[0] or 0, row[1]
+    """A hash of the rows whatever their order, and their number: tells if an index is of these rows.
+
+    The exclusive or of the rows' hashes, and two sums of 24 bits of each, which no number of rows up to 2**39 overflows.
+    """
+    own = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    part = lambda shift: F.sum(F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << 24) - 1)))
+    row = own.agg(F.bit_xor("h").alias("x"), part(0).alias("a"), part(24).alias("b"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("x", "a", "b"), "n").first()
+    return row[0], row[1]
 
 
 class Catalog:
@@ -44,9 +49,17 @@ class Catalog:
         mark, n = fingerprint(self.spark.read.parquet(uri))
         self._append(kind=kind, dataset=dataset, name=name, uri=uri, options=json.dumps(options), fingerprint=mark, n_rows=n)
 
+    def register(self, kind: str, dataset: str, name: str, uri: str, **options) -> None:
+        """An entry for what lies at uri already."""
+        self._append(kind=kind, dataset=dataset, name=name, uri=uri, options=json.dumps(options))
+
+    def entry(self, kind: str, dataset: str, name: str):
+        """The latest entry, or none."""
+        return self.entries().where((F.col("kind") == kind) & (F.col("dataset") == dataset) & (F.col("name") == name)).first()
+
     def find(self, kind: str, dataset: str, name: str, of: DataFrame | None = None) -> DataFrame | None:
         """The registered table; none if it is missing or stale, or was made of other rows than `of`."""
-        row = self.entries().where((F.col("kind") == kind) & (F.col("dataset") == dataset) & (F.col("name") == name)).first()
+        row = self.entry(kind, dataset, name)
         if row is None or row["stale"]:
             return None
         if of is not None and json.loads(row["options"]).get("source") != list(fingerprint(of)):
@@ -54,7 +67,7 @@ class Catalog:
         return self.spark.read.parquet(row["uri"])
 
     def _copy(self, kind: str, dataset: str, name: str, **changes) -> None:
-        row = self.entries().where((F.col("kind") == kind) & (F.col("dataset") == dataset) & (F.col("name") == name)).first()
+        row = self.entry(kind, dataset, name)
         if row is not None:
             self._append(**{k: v for k, v in row.asDict().items() if k != "at"} | changes)
 

@@ -1,10 +1,14 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumora.frame import SemFrame
 from lumora.operators import semantic
+from lumora.plans import fitting
+from lumora.plans.fitting import Fitter
 from lumora.plans.judges import Field, Judge, Pairs, Unanswered, parse_boolean, parse_json
 
 ANIMALS = [("giraffe", 1000), ("elephant", 6200), ("snake", 50), ("salmon", 5), ("eagle", 4)]
@@ -267,3 +271,93 @@ def test_parsers():
     assert parse_boolean("It is TRUE.") == "true" and parse_boolean("False") == "false"
     assert parse_boolean("true/false") is None and parse_boolean("") is None
     assert parse_json('x ```json\n{"a": [1]}\n``` y') == '{"a": [1]}' and parse_json("[1, 2]") == "[1, 2]" and parse_json("{oops") is None
+
+
+def _bounded(budget, model):
+    """A model that refuses prompts over its context."""
+
+    def checked(prompts):
+        assert max(len(p) // 4 + 1 for p in prompts) <= budget, max(map(len, prompts))
+        return model(prompts)
+
+    return checked
+
+
+@pytest.mark.parametrize("budget", [130, 700])
+def test_no_pack_exceeds_its_budget(spark, budget):
+    r = random.Random(budget)
+    rows = [(r.choice("abc"), i, 'x"\n\\é漢' * int(r.paretovariate(0.7) % 300)) for i in range(300)] + [("hot", 7, "same")] * 900 + [("one", 5, None), (None, 1, "n" * 9000)]
+    df = spark.createDataFrame(rows, "k string, weight long, text string").repartition(7)
+
+    def model(prompts):
+        found = []
+        for p in prompts:
+            records = [json.loads(x) for x in json.loads(_record(p)["records"])]
+            found.append(json.dumps({"total": sum(int(x.get("weight", x.get("total"))) for x in records)}))
+        return found
+
+    totals = Counter()
+    for k, n, _ in rows:
+        totals[k] += n
+    fields, judge = [Field("total", "bigint")], Judge(model=_bounded(budget, model))
+    found, _ = semantic._reduced(df, ["k"], "Add.", fields, judge, budget)
+    assert {x.k0: x.v0 for x in found.collect()} == totals
+    assert semantic.sem_aggregate(df.drop("k"), "Add.", fields, Judge(model=_bounded(budget, model), context=budget)).first().total == sum(totals.values())
+    with pytest.raises(ValueError, match="leave"):
+        semantic.sem_aggregate(df, "Add. " * 2000, fields, judge, budget=budget)
+
+
+def test_records_are_cut_by_likeness_to_the_task(spark):
+    text = "nothing here. " * 140_000
+    rows = [(1, text[:1_000_000] + " zebra " + text[1_000_000:]), (2, text), (3, "zebra"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    likeness = lambda texts: [[float("zebra" in t), 0.1] for t in texts]
+    seen = lambda prompts: [str("zebra" in (_record(p)["text"] or "")) for p in prompts]
+    found = semantic.sem_filter(df, "A zebra is named.", Judge(model=_bounded(400, seen), context=400, embed=likeness), columns=["text"])
+    assert {r.id: r.text for r in found.collect()} == {1: rows[0][1], 3: "zebra"}  # rows stay whole
+    blind = Judge(model=_bounded(400, seen), context=400)
+    assert {r.id for r in semantic.sem_filter(df, "A zebra is named.", blind, columns=["text"]).collect()} == {3}
+    both = lambda prompts: [str(all("zebra" in (_record(p)[k] or "") for k in ("left_text", "right_text"))) for p in prompts]
+    pairs = semantic.sem_join(df.withColumn("k", F.lit(1)), df.withColumn("k", F.lit(1)), "A zebra in both.", Judge(model=_bounded(400, both), context=400, embed=likeness), on=[("k", "k")])
+    assert {(r.left_id, r.right_id) for r in pairs.collect()} == {(1, 1), (1, 3), (3, 1), (3, 3)}
+
+
+def test_fitting_of_one_record():
+    long = {"a": "x" * 5000, "b": ["y" * 5000, 7, None], "c": {"d": '"\n' * 4000}, "n": 12}
+    for wraps in (0, 2):
+        for limit in (150, 1000, 9000):
+            found = Fitter("t", wraps=wraps).fit(json.dumps(long), limit)
+            assert len(fitting.escaped(found, wraps)) <= limit and json.loads(found)["n"] == 12
+    assert json.loads(Fitter("t").fit(json.dumps({"n": list(range(5000)), "a": "b"}), 200))["n"].startswith("[0,1,2")
+    assert Fitter("t").fit('{"a":"b"}', 9) == '{"a":"b"}'
+    with pytest.raises(ValueError):
+        Fitter("t").fit(json.dumps({"k" * 500: "v" * 500}), 100)
+
+
+def test_a_retry_names_the_reason(spark, animals):
+    prompts_seen = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        again = [p for p in prompts if "either true or false. It was: maybe so" in p.split("\n")[0]]
+        prompts_seen.add(len(again))
+        return ["true" if p in again else "maybe\nso" for p in prompts]
+
+    assert semantic.sem_filter(animals, "x", Judge(model=_bounded(100, model), context=100)).count() == 5
+    assert prompts_seen.value == 5
+
+
+def test_failures_are_asked_anew(spark, animals, tmp_path):
+    broken = tmp_path / "broken"
+    broken.touch()
+    place = str(broken)
+
+    def model(prompts):
+        import os
+
+        return ["?" if os.path.exists(place) and "eagle" in p else "true" for p in prompts]
+
+    judge = Judge(model=model)
+    assert semantic.sem_filter(animals, "x", judge).count() == 4
+    broken.unlink()
+    assert semantic.sem_filter(animals, "x", judge).count() == 5
+    assert semantic.sem_filter(animals, "x", judge).count() == 5
