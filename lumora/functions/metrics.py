@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.operators.relational import running
+from lumora.tables import dropped, written
+
+#: Distinct pairs of values whose inversions one task counts by itself.
+PART = 500_000
 
 
 def _ratio(a: F.Column, b: F.Column) -> F.Column:
@@ -63,6 +71,105 @@ def omega(df: DataFrame, a: str, b: str) -> DataFrame:
     return adjusted_rand(df, a, b).withColumnRenamed("ari", "omega")
 
 
+def omega_overlap(a: DataFrame, b: DataFrame, item: str, cluster: str) -> DataFrame:
+    """The omega index of two clusterings, rows of item and cluster, in which an item may be in several clusters or in none.
+
+    Two items agree if both clusterings put them together in the same number of clusters. Items of the same sets
+    of clusters in both are one profile with a count; profiles meet through the lists of their clusters, and those
+    that meet in neither clustering are what is left of all pairs. So no pair of items is ever made, and no pair of profiles that share nothing;
+    the work grows with the pairs of different profiles of a cluster. Items are those that have a row; a null cluster is none. The
+    index is 1 if both are alike in the sense that chance would do as well, null if there are fewer than two items.
+    """
+    one = lambda df, name: df.groupBy(item).agg(F.array_sort(F.collect_set(F.col(cluster).cast("string"))).alias(name))
+    sets = one(a, "_a").join(one(b, "_b"), item, "full_outer")
+    empty = F.array().cast("array<string>")
+    profiles = sets.groupBy(F.coalesce("_a", empty).alias("a"), F.coalesce("_b", empty).alias("b")).agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("n"))
+    profiles = written(profiles.withColumn("p", F.struct(F.xxhash64(F.size("a"), "a", "b").alias("x"), F.xxhash64("b", F.size("b"), "a").alias("y"))), "profiles")
+
+    def together(side: str) -> DataFrame:
+        own = profiles.select("p", "n", F.explode(side).alias("c"))
+        other = own.select(F.col("p").alias("q"), F.col("n").alias("m"), "c")
+        return own.join(other, "c").where("p < q").groupBy("p", "q").agg(F.count(F.lit(1)).alias(f"t{side}"), F.first(F.col("n") * F.col("m")).alias(f"w{side}"))
+
+    met = together("a").join(together("b"), ["p", "q"], "full_outer").select(
+        F.coalesce("ta", F.lit(0)).alias("i"), F.coalesce("tb", F.lit(0)).alias("j"), F.coalesce("wa", "wb").alias("w")
+    )
+    alike = profiles.select(F.size("a").cast("long").alias("i"), F.size("b").cast("long").alias("j"), (F.col("n") * (F.col("n") - 1) / 2).alias("w"))
+    table = met.unionByName(alike).groupBy("i", "j").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    items = profiles.agg(F.sum("n").cast("double").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    nothing = items.join(F.broadcast(table.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("met"))))  # one row each
+    table = written(table.unionByName(nothing.select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), (F.col("pairs") - F.col("met")).alias("w"))), "omega")
+    side = lambda x: table.groupBy(F.col(x).alias("k")).agg(F.sum("w").alias(f"w{x}"))
+    chance = side("i").join(side("j"), "k").agg(F.coalesce(F.sum(F.col("wi") * F.col("wj")), F.lit(0.0)).alias("chance"))
+    seen = table.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("w")).otherwise(0.0)).alias("same"), F.sum("w").alias("n"))
+    expected, observed = F.col("chance") / (F.col("n") * F.col("n")), F.col("same") / F.col("n")
+    return seen.join(F.broadcast(chance)).select(
+        F.when(F.col("n") > 0, F.when(expected == 1, 1.0).otherwise((observed - expected) / (1 - expected))).alias("omega")
+    )
+
+
+def _inversions(y: np.ndarray, n: np.ndarray) -> int:
+    """Pairs whose later one has the smaller y, each n times the other's; by merging ever longer stretches, all of one length at once."""
+    total, place, step = 0, np.arange(len(y)), 0
+    while len(y) > 1 << step:
+        group, right = place >> (step + 1), (place >> step) & 1
+        order = np.lexsort((-right, -y, group))  # greater y first, of equal ones the right ones
+        left = np.where(right[order] == 0, n[order], 0)
+        above = np.cumsum(left) - left
+        start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+        above -= np.repeat(above[start], np.diff(np.append(start, len(y))))
+        found = above * np.where(right[order] == 1, n[order], 0)
+        total += (int((found >> 32).sum()) << 32) + int((found & 0xFFFFFFFF).sum())
+        step += 1
+    return total
+
+
+def kendall(df: DataFrame, x: str, y: str, *, part: int = PART) -> DataFrame:
+    """Kendall's tau-b of two columns; rows with a null are left out, null if a column has one value only.
+
+    Rows that agree are counted first. The counts are sorted by x and y over ranges; each range counts its inversions,
+    then neighbouring ranges are merged, twice as many at a time: a right row stands against the left rows of a greater y,
+    which are a running sum over the pairs of ranges and y. So n log n rows are moved and no task sees more than a range.
+    """
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(cells, "cells")
+    ranks = running(cells.groupBy("y").agg(F.count(F.lit(1)).alias("one")), "y", "one", "rank").select("y", "rank")  # an order in numbers
+    cells_y = written(cells.join(ranks, "y").select("x", "rank", "n"), "cells")
+    parts = -(-cells_y.count() // part) or 1
+    rows = cells_y.repartitionByRange(parts, "x", "rank").sortWithinPartitions("x", "rank").withColumn("part", F.spark_partition_id())
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The range's rows, the first of them with its inversions."""
+        held = list(batches)
+        columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(3)] if held else []
+        if held and len(columns[0]):
+            found = _inversions(columns[1].to_numpy(), columns[2].to_numpy())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([str(found)] + [None] * (len(columns[0]) - 1), pa.string())], names=["part", "rank", "n", "d"])
+
+    ranged = written(rows.select("part", "rank", "n").mapInArrow(own, "part int, rank long, n long, d string"), "ranges")
+    inside = ranged.agg(F.sum(F.col("d").cast("decimal(38,0)")).alias("d")).first()[0] or 0
+    step = 0
+    while 1 << step < parts:
+        left = F.shiftright("part", step).bitwiseAND(F.lit(1)) == 0
+        pairs = ranged.groupBy(F.shiftright("part", step + 1).alias("g"), "rank").agg(
+            F.sum(F.when(left, F.col("n")).otherwise(0)).alias("left"), F.sum(F.when(left, 0).otherwise(F.col("n"))).alias("right")
+        )
+        summed = running(pairs.withColumn("at", F.struct("g", "rank")), "at", "left")
+        whole = ranged.groupBy(F.shiftright("part", step + 1).alias("g")).agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("all"))
+        starts = summed.groupBy("g").agg(F.min("before").alias("start")).join(whole, "g")  # a row for each pair of ranges
+        above = F.col("all") - (F.col("before") - F.col("start")) - F.col("left")
+        crossing = summed.join(starts, "g").agg(F.sum(F.col("right").cast("decimal(19,0)") * above.cast("decimal(19,0)")).alias("d"))
+        inside += crossing.first()[0] or 0
+        step += 1
+    pairs_of = lambda n: F.sum(F.col(n).cast("decimal(19,0)") * (F.col(n) - 1).cast("decimal(19,0)") / 2).cast("double")
+    tied = lambda *by: cells.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.coalesce(pairs_of("n"), F.lit(0.0)).alias("t"))
+    n0, n1, n2, n3 = (z.first()[0] for z in (cells.agg(F.sum("n").alias("n")).agg(F.coalesce(pairs_of("n"), F.lit(0.0))), tied("x"), tied("y"), tied("x", "y")))
+    dropped(cells, cells_y, ranged)
+    norm = (n0 - n1) ** 0.5 * (n0 - n2) ** 0.5
+    tau = (n0 - n1 - n2 + n3 - 2 * float(inside)) / norm if norm > 0 else None
+    return df.sparkSession.createDataFrame([(tau,)], "kendall double")
+
+
 def _average_rank(df: DataFrame, x: str) -> DataFrame:
     """Each distinct value of x with its average rank; no task counts through all values."""
     counts = running(df.groupBy(x).agg(F.count(F.lit(1)).alias("n")), x, "n")
@@ -111,7 +218,7 @@ def matched_rows(found: DataFrame, truth: DataFrame, columns: list[str] | None =
 
 #: The metrics by name: each takes what its function takes.
 BY_NAME = {
-    "f1": id_sets, "macro_f1": macro_f1, "adjusted_rand_index": adjusted_rand, "omega_index": omega, "spearman": spearman, "mape": mape,
+    "f1": id_sets, "macro_f1": macro_f1, "adjusted_rand_index": adjusted_rand, "omega_index": omega, "omega_overlap": omega_overlap, "kendall": kendall, "spearman": spearman, "mape": mape,
     "errors": errors, "rows": matched_rows,
 }
 

@@ -760,6 +760,32 @@ def metric_rows(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("""WITH r AS (SELECT c_custkey AS k, c_nationkey AS x, floor(c_acctbal / 100) AS y FROM customer),
+          p AS (SELECT sign(a.x - b.x) AS s, sign(a.y - b.y) AS t FROM r a JOIN r b ON a.k < b.k)
+          SELECT round(sum(s * t) / sqrt(sum(abs(s)) * sum(abs(t))), 9) AS kendall FROM p""")
+def metric_kendall(spark, sf_dir):
+    rows = Tables(spark, sf_dir).customer.select("c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("y"))
+    return metrics.metric("kendall", rows, "c_nationkey", "y").select(F.round("kendall", 9).alias("kendall"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS c FROM customer UNION SELECT c_custkey, 'n' || c_nationkey FROM customer WHERE c_acctbal > 2000),
+          b AS (SELECT c_custkey AS k, 'n' || c_nationkey AS c FROM customer WHERE c_acctbal > 1000 UNION SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 > 0),
+          m AS (SELECT c_custkey AS k FROM customer), p AS (SELECT x.k AS k, y.k AS l FROM m x JOIN m y ON x.k < y.k),
+          s AS (SELECT x.k, y.k AS l, count(*) AS n FROM a x JOIN a y USING (c) WHERE x.k < y.k GROUP BY 1, 2), t AS (SELECT x.k, y.k AS l, count(*) AS n FROM b x JOIN b y USING (c) WHERE x.k < y.k GROUP BY 1, 2),
+          c AS (SELECT coalesce(s.n, 0) AS i, coalesce(t.n, 0) AS j, count(*)::DOUBLE AS w FROM p LEFT JOIN s USING (k, l) LEFT JOIN t USING (k, l) GROUP BY 1, 2),
+          e AS (SELECT sum(x.w * y.w) AS e FROM (SELECT i, sum(w) AS w FROM c GROUP BY 1) x JOIN (SELECT j AS i, sum(w) AS w FROM c GROUP BY 1) y USING (i)),
+          o AS (SELECT sum(w) FILTER (i = j) AS o, sum(w) AS n FROM c) SELECT round((o / n - e / n / n) / (1 - e / n / n), 9) AS omega FROM o, e""")
+def metric_omega(spark, sf_dir):
+    """Customers in one or more clusters: of their segment, and of their nation if their balance is high."""
+    rows = Tables(spark, sf_dir).customer
+    segment, nation = rows.select("c_custkey", F.col("c_mktsegment").alias("c")), rows.select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("c"), "c_acctbal")
+    a = segment.unionByName(nation.where("c_acctbal > 2000").drop("c_acctbal"))
+    b = nation.where("c_acctbal > 1000").drop("c_acctbal").unionByName(segment.where("c_custkey % 3 > 0"))
+    # customers in no cluster are items too
+    b = b.unionByName(rows.select("c_custkey", F.lit(None).cast("string").alias("c")))
+    return metrics.metric("omega_overlap", a, b, "c_custkey", "c").select(F.round("omega", 9).alias("omega"))
+
+
 @query("""SELECT round(avg(abs(l_extendedprice - l_quantity * 1000)), 4) AS mae, round(100 * avg(abs(l_extendedprice - l_quantity * 1000) / abs(l_extendedprice)), 6) AS mape FROM lineitem""")
 def metric_mape(spark, sf_dir):
     rows = Tables(spark, sf_dir).lineitem.withColumn("guess", F.col("l_quantity") * 1000)

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,3 +76,33 @@ def test_embedding_averages_chunks_and_asks_once(spark):
     df = spark.createDataFrame([(1, "aabb"), (2, "aabb"), (3, "aaaabb"), (4, ""), (5, None)], "id int, t string")
     got = {r.id: r.vector for r in embedding.embed(df, "t", model, max_chars=4).collect()}
     assert got == {1: [4.0, 2.0], 2: [4.0, 2.0], 3: [3.0, 2.0], 4: None, 5: None} and asked.value == 3
+
+
+@pytest.mark.parametrize("part", [7, 40, 10**6])
+def test_kendall_over_many_ranges(spark, part):
+    r = random.Random(part)
+    rows = [(r.randint(0, 12), r.choice([None, 0.5, 1.5, r.random()])) for _ in range(300)] + [(3, 0.5)] * 60
+    pairs = [(x, y) for x, y in rows if y is not None]
+    s = lambda a, b: (a > b) - (a < b)
+    both = [(s(a, c), s(b, d)) for i, (a, b) in enumerate(pairs) for c, d in pairs[:i]]
+    want = sum(p * q for p, q in both) / (sum(p * p for p, _ in both) * sum(q * q for _, q in both)) ** 0.5
+    assert abs(metrics.kendall(spark.createDataFrame(rows, "x int, y double"), "x", "y", part=part).first().kendall - want) < 1e-12
+    assert metrics.kendall(spark.createDataFrame([(1, 2.0), (1, 3.0)], "x int, y double"), "x", "y").first().kendall is None
+    assert metrics.kendall(spark.createDataFrame([], "x int, y double"), "x", "y").first().kendall is None
+
+
+def test_omega_with_overlap(spark):
+    r = random.Random(5)
+    a, b = ([(i, c) for i in range(40) for c in r.sample("pqrs", r.randint(0, 3))] + [(i, None) for i in range(40)] for _ in "ab")
+    frame = lambda rows: spark.createDataFrame(rows, "i int, c string")
+    of = lambda rows, i: {c for j, c in rows if j == i and c}
+    both = [(len(of(a, i) & of(a, j)), len(of(b, i) & of(b, j))) for i in range(40) for j in range(i)]
+    n, levels = len(both), range(5)
+    seen = sum(x == y for x, y in both) / n
+    chance = sum(sum(x == k for x, _ in both) * sum(y == k for _, y in both) for k in levels) / n**2
+    assert abs(metrics.omega_overlap(frame(a), frame(b), "i", "c").first().omega - (seen - chance) / (1 - chance)) < 1e-12
+    assert abs(metrics.omega_overlap(frame(a), frame(a), "i", "c").first().omega - 1) < 1e-12
+    parts = [(i, r.choice("xyz"), r.choice("uv")) for i in range(60)]
+    apart = spark.createDataFrame(parts, "i int, x string, y string")
+    plain = metrics.omega(apart, "x", "y").first().omega
+    assert abs(metrics.omega_overlap(apart.selectExpr("i", "x as c"), apart.selectExpr("i", "y as c"), "i", "c").first().omega - plain) < 1e-9
