@@ -41,7 +41,7 @@ def clustered(df: DataFrame, vector_col: str, k: int, seed: int = 7) -> DataFram
     from pyspark.ml.functions import array_to_vector
 
     rows = df.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", maxIter=20).fit(rows)
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", maxIter=20, initSteps=5).fit(rows)
     return model.transform(rows).drop("_v")
 
 

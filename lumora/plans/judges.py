@@ -85,37 +85,11 @@ class Judge:
         prompt = F.concat(F.lit(f"{task}\n"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
         kind = F.lit(f"{parse.__name__} {context or self.context} {sides}")
         marks = {one: F.xxhash64(kind, prompt), two: F.xxhash64(prompt, kind)}
-        model, attempts, fail_fast, size, context = self.model, self.attempts, self.fail_fast, self.batch, context or self.context
-        expects = EXPECTS.get(parse.__name__, "what was asked for")
-        if context is not None:
-            room(context, task, " ")  # an error now rather than in a task
-        fitter = Fitter(task, self.embed, sides, batch=size)
-
-        def shown(prompt: str, reply: str | None = None) -> str:
-            """The prompt, within the context, after an unusable reply if there was one."""
-            head, record = task if reply is None else retried(task, parse, reply), prompt[len(task) + 1 :]
-            if context is not None and len(record) > room(context, head, " ") and len(record) <= room(context, task, " "):
-                head = task
-            return f"{head}\n{record if context is None else fitter.fit(record, room(context, head, ' '))}"
+        answers = self.answerer(task, parse, sides, context)
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                prompts = batch.column(2).to_pylist()
-                replies: list[str | None] = [None] * len(prompts)
-                for at in range(0, len(prompts), size):
-                    open_ = list(range(at, min(at + size, len(prompts))))
-                    sent = {i: shown(prompts[i]) for i in open_}
-                    for _ in range(attempts):
-                        for i, text in zip(open_, model([sent[i] for i in open_]), strict=True):
-                            replies[i] = parse(text)
-                            if replies[i] is None:
-                                sent[i] = shown(prompts[i], text or "")
-                        open_ = [i for i in open_ if replies[i] is None]
-                        if not open_:
-                            break
-                    if open_ and fail_fast:
-                        raise ValueError(f"no reply to be parsed as {expects} after {attempts} attempts: {prompts[open_[0]][:200]}")
-                errors = [None if x is not None else f"no reply to be parsed as {expects} after {attempts} attempts" for x in replies]
+                replies, errors = answers(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["one", "two", "reply", "error"]
                 )
@@ -133,6 +107,42 @@ class Judge:
             known[:] = [written(reduce(DataFrame.unionByName, known), "replies")]
         return df.withColumns(marks).join(answers, [one, two]).drop(one, two), reply, error
 
+    def answerer(
+        self, task: str, parse: Callable[[str], str | None], sides: tuple[tuple[str, ...], ...] = (), context: int | None = None
+    ) -> Callable[[list[str]], tuple[list[str | None], list[str | None]]]:
+        """A function of prompts (the task's line, then a record) that runs in tasks: what parse() gives of their replies, and errors."""
+        model, attempts, fail_fast, size, context = self.model, self.attempts, self.fail_fast, self.batch, context or self.context
+        expects = EXPECTS.get(parse.__name__, "what was asked for")
+        if context is not None:
+            room(context, task, " ")  # an error now rather than in a task
+        fitter = Fitter(task, self.embed, sides, batch=size)
+
+        def shown(prompt: str, reply: str | None = None) -> str:
+            """The prompt, within the context, after an unusable reply if there was one."""
+            head, record = task if reply is None else retried(task, parse, reply), prompt[len(task) + 1 :]
+            if context is not None and len(record) > room(context, head, " ") and len(record) <= room(context, task, " "):
+                head = task
+            return f"{head}\n{record if context is None else fitter.fit(record, room(context, head, ' '))}"
+
+        def answers(prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+            replies: list[str | None] = [None] * len(prompts)
+            for at in range(0, len(prompts), size):
+                open_ = list(range(at, min(at + size, len(prompts))))
+                sent = {i: shown(prompts[i]) for i in open_}
+                for _ in range(attempts):
+                    for i, text in zip(open_, model([sent[i] for i in open_]), strict=True):
+                        replies[i] = parse(text)
+                        if replies[i] is None:
+                            sent[i] = shown(prompts[i], text or "")
+                    open_ = [i for i in open_ if replies[i] is None]
+                    if not open_:
+                        break
+                if open_ and fail_fast:
+                    raise ValueError(f"no reply to be parsed as {expects} after {attempts} attempts: {prompts[open_[0]][:200]}")
+            return replies, [None if x is not None else f"no reply to be parsed as {expects} after {attempts} attempts" for x in replies]
+
+        return answers
+
 
 #: What a parser takes, as told to the model.
 EXPECTS = {"parse_boolean": "either true or false", "parse_json": "a JSON object or array", "parse_ranking": "a JSON list of places"}

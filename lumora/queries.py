@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.frame import SemFrame
-from lumora.functions import metrics, text, vectors
-from lumora.operators import embedding, index, joins, relational, topk, tree
+from lumora.functions import metrics, text, variants, vectors
+from lumora.operators import embedding, index, joins, relational, sketches, table_functions, topk, tree
 from lumora.plans.judges import Field, Judge, Pairs
+from lumora.sources import scan
 from lumora.sources.catalog import Catalog
 from lumora.streaming import windows
 from lumora.tables import new_path
@@ -760,6 +761,58 @@ def metric_rows(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("""SELECT lang, source, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(doc_id) AS BIGINT) AS ids
+          FROM documents WHERE lang <> 'en' GROUP BY 1, 2""")
+def scan_documents(spark, sf_dir):
+    """The documents as files of JSON lines, one folder a language, read back by ranges; only wanted files are opened."""
+    path = new_path(spark, "files")
+    Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source").repartition("lang").write.partitionBy("lang").json(path)
+    files = scan.scan(spark, path, rangeBytes=str(1 << 20)).where(F.col("suffix") == "json")
+    lines = files.select(F.regexp_extract("uri", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("contents", "\n")).alias("line")).where("line <> '' and lang <> 'en'")
+    rows = lines.select("lang", F.from_json("line", "doc_id long, text string, source string").alias("d")).select("lang", "d.*")
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("doc_id").alias("ids"))
+
+
+@query(ORACLE_SQL["chunk_text"])
+def sql_chunks_lateral(spark, sf_dir):
+    table_functions.register_chunks(spark)
+    return spark.sql("SELECT d.doc_id, c.position, c.chunk FROM {docs} AS d, LATERAL chunks(d.text, 500) AS c", docs=Tables(spark, sf_dir).documents)
+
+
+@query(ORACLE_SQL["judged_flat_map"])
+def sql_judged_flat_map(spark, sf_dir):
+    table_functions.register_flat_map(spark, "long_words", MODEL, [Field("word"), Field("letters")], "The long words of the text.")
+    found = "SELECT CAST(key AS BIGINT) AS item_id, word, CAST(letters AS BIGINT) AS letters FROM long_words(TABLE(SELECT item_id, text FROM {items})) WHERE error IS NULL"
+    return spark.sql(found, items=Tables(spark, sf_dir).benchmark)
+
+
+@query("""WITH r(first, last) AS (VALUES (0, 7), (3, 17), (0, 31), (29, 31)), e AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d FROM events)
+          SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, count(*) AS n, count(DISTINCT user_id) AS users, 0.0::DOUBLE AS hll_error, 0.0::DOUBLE AS median_rank_error
+          FROM r JOIN e ON d >= first AND d < last GROUP BY 1, 2""")
+def approx_merged(spark, sf_dir):
+    """Sketches of each day, stored and merged over ranges of days: users (theta counts up to 4,096 exactly), the share by which HLL
+    is off beyond 3 standard errors, and by how much the median's rank is off beyond 2 per cent."""
+    events = Tables(spark, sf_dir).events.withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long"))
+    path = new_path(spark, "sketches")
+    sketches.sketched(events, ["day"], "user_id", "value").write.parquet(path)
+    ranges = spark.createDataFrame([(0, 7), (3, 17), (0, 31), (29, 31)], "first long, last long")
+    days = relational.range_join(spark.read.parquet(path), ranges, "day", "first", "last", 10)
+    found = sketches.estimates(sketches.merged(days, ["first", "last"]))
+    exact = relational.range_join(events.select("day", "user_id", "value"), ranges, "day", "first", "last", 10).join(found.select("first", "last", F.col("quantiles")[0].alias("m")), ["first", "last"])
+    exact = exact.groupBy("first", "last").agg(F.countDistinct("user_id").alias("e"), F.avg((F.col("value") <= F.col("m")).cast("double")).alias("rank"), F.avg((F.col("value") < F.col("m")).cast("double")).alias("under"))
+    off = F.greatest(F.lit(0.0), F.abs(F.col("distinct_hll") / F.col("e") - 1) - 3 * 1.04 / 64)
+    median = F.greatest(F.lit(0.0), F.greatest(F.lit(0.5) - F.col("rank"), F.col("under") - 0.5) - 0.02)
+    return found.join(exact, ["first", "last"]).select("first", "last", "n", F.col("distinct_theta").alias("users"), off.alias("hll_error"), median.alias("median_rank_error"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum((props->>'$.k')::INT) AS BIGINT) AS k, CAST(0 AS BIGINT) AS missing, 'OBJECT<k: BIGINT>' AS shape FROM events GROUP BY 1""")
+def variant_facts(spark, sf_dir):
+    """The events' properties as variants: parsed once, a fact that they have, one that they have not, and their type."""
+    events = variants.facts(variants.parsed(Tables(spark, sf_dir).events, "props"), "variant", {"k": ("$.k", "int"), "gone": ("$.gone[0].x", "string")})
+    found = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.count("gone").alias("missing"))
+    return found.join(variants.shape(events, "variant", ["event_type"]), "event_type")
+
+
 @query("""WITH r AS (SELECT c_custkey AS k, c_nationkey AS x, floor(c_acctbal / 100) AS y FROM customer),
           p AS (SELECT sign(a.x - b.x) AS s, sign(a.y - b.y) AS t FROM r a JOIN r b ON a.k < b.k)
           SELECT round(sum(s * t) / sqrt(sum(abs(s)) * sum(abs(t))), 9) AS kendall FROM p""")

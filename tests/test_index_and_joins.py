@@ -34,8 +34,8 @@ def test_index_is_built_once_and_again_when_stale(spark, tmp_path):
     assert near.count() == 20 and all("b" in r.body for r in near.withColumnRenamed("text", "body").collect())
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cluster" in plan.replace("isnotnull(cluster#", "cluster#") or "PartitionFilters: [isnotnull" in plan
-    TextIndex.get(catalog, "d", "letters", docs.where("id < 30"), **options)
-    assert built.value > calls  # other rows
+    fewer = TextIndex.get(catalog, "d", "letters", docs.where("id < 30"), **options)
+    assert built.value == calls + 2 and fewer.rows.count() == 30  # other rows of known texts; the calls were the two queries
     calls = built.value
     catalog.mark_stale("index", "d", "letters")
     TextIndex.get(catalog, "d", "letters", docs.where("id < 30"), **options)
@@ -57,7 +57,28 @@ def test_summaries_are_cached_by_content(spark, tmp_path):
         assert {r.id: r.summary for r in summaries(df, "t", model, cache=cache).collect()} == {1: "ONE", 2: "ONE", 3: None, 4: None}
     assert asked.value == 1
     more = df.union(spark.createDataFrame([(5, "bad" * 400)], df.schema)).coalesce(1)
-    assert {r.id: r.summary for r in summaries(more, "t", model, cache=cache, batch=1).collect()}[5] == ("bad" * 400)[:500]
+    kept = {r.id: (r.summary, r.why) for r in summaries(more, "t", model, cache=cache, batch=1, errors="why").collect()}
+    assert kept[5] == (("bad" * 400)[:500], "RuntimeError: no answer") and kept[1] == ("ONE", None)
+    calls = asked.value
+    summaries(more, "t", model, cache=cache, batch=1).count()
+    assert asked.value == calls + 1  # what failed is asked again
+
+
+def test_summaries_cover_whole_texts(spark):
+    """A text of many chunks is summarised in rounds; its last word is in the summary."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        assert max(map(len, texts)) <= 100
+        return [" ".join(w for w in t.split() if w.isupper())[:40] or "-" for t in texts]
+
+    text = "FIRST " + "x y z " * 200 + "MIDDLE " + "x y z " * 200 + "LAST"
+    df = spark.createDataFrame([(1, text), (2, "SHORT one")], "id int, _text string")
+    found = {r.id: r.summary for r in summaries(df, "_text", model, chars=100).collect()}
+    assert found[2] == "SHORT" and all(w in found[1] for w in ("FIRST", "MIDDLE", "LAST"))
+    echo = summaries(df, "_text", lambda t: [x + "!" for x in t], chars=100, errors="why").where("id = 1").first()
+    assert "no shorter" in echo.why and echo.summary == text[:500]
 
 
 @pytest.mark.parametrize("threshold", [0.9, 0.3, -0.5])
