@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -767,8 +768,9 @@ def scan_documents(spark, sf_dir):
     """The documents as files of JSON lines, one folder a language, read back by ranges; only wanted files are opened."""
     path = new_path(spark, "files")
     Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source").repartition("lang").write.partitionBy("lang").json(path)
-    files = scan.scan(spark, path, rangeBytes=str(1 << 20)).where(F.col("suffix") == "json")
-    lines = files.select(F.regexp_extract("uri", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("contents", "\n")).alias("line")).where("line <> '' and lang <> 'en'")
+    langs = [r[0] for r in Tables(spark, sf_dir).documents.select("lang").where("lang <> 'en'").distinct().collect()]  # a few folders
+    files = reduce(DataFrame.unionByName, [scan.scan(spark, path, suffixes="json", under=f"lang={x}/", rangeBytes=str(1 << 20)) for x in langs])
+    lines = files.select(F.regexp_extract("uri", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("contents", "\n")).alias("line")).where("line <> ''")
     rows = lines.select("lang", F.from_json("line", "doc_id long, text string, source string").alias("d")).select("lang", "d.*")
     return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum("doc_id").alias("ids"))
 

@@ -22,21 +22,28 @@ class _Sessions(StatefulProcessor):
         self.gap, self.keys = gap, keys
 
     def init(self, handle) -> None:
-        self.handle, self.sessions = handle, handle.getListState("sessions", self.SCHEMA)
+        self.handle, self.sessions, self.late = handle, handle.getListState("sessions", self.SCHEMA), handle.getValueState("late", "n long")
 
     def close(self) -> None:
         pass
 
     def _rows(self, key, sessions: list) -> Iterator[pd.DataFrame]:
         if sessions:
+            late = self.late.get()[0] if self.late.exists() else 0
+            self.late.clear()
             starts, lasts, n, total = zip(*sessions, strict=True)
             at = lambda x: pd.to_datetime(pd.Series(x, dtype="int64"), unit="ms")
-            yield pd.DataFrame({k: [v] * len(n) for k, v in zip(self.keys, key, strict=True)} | {"start": at(starts), "end": at([x + self.gap for x in lasts]), "n": n, "total": total})
+            yield pd.DataFrame({k: [v] * len(n) for k, v in zip(self.keys, key, strict=True)} | {"start": at(starts), "end": at([x + self.gap for x in lasts]), "n": n, "total": total, "late": [late] + [0] * (len(n) - 1)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = [tuple(x) for x in self.sessions.get()]
+        found, open_from, late = [tuple(x) for x in self.sessions.get()], timerValues.getCurrentWatermarkInMs() - self.gap, 0
         for some in rows:
-            found += [(int(t), int(t), 1, float(v)) for t, v in zip(some["_ms"], some["_value"], strict=True)]
+            came = [(int(t), int(t), 1, float(v)) for t, v in zip(some["lumora_ms"], some["lumora_value"], strict=True)]
+            kept = [x for x in came if x[0] > open_from]
+            late += len(came) - len(kept)
+            found += kept
+        if late:
+            self.late.update((late + (self.late.get()[0] if self.late.exists() else 0),))
         merged: list[tuple] = []
         for start, last, n, total in sorted(found):
             if merged and start < merged[-1][1] + self.gap:
@@ -61,29 +68,25 @@ class _Sessions(StatefulProcessor):
 
 
 def timed_sessions(events: DataFrame, gap_ms: int, keys: list[str], *, time_col: str = "ts", value_col: str = "value", late: str = "1 hour") -> DataFrame:
-    """keys, start, end, n, total of each run of a key's events with pauses shorter than the gap, as soon as the watermark has passed its end.
+    """keys, start, end, n, total, late of each run of a key's events with pauses shorter than the gap, as soon as the watermark has passed its end.
 
     Of a stream: the open sessions of each key are its state, an event may join two of them, and event-time timers close
-    them. Events later than `late` are dropped and counted (late_rows). Of a table the same rows by session windows. A null value counts as 0,
+    them. Events that come when the watermark has passed the end of the session that they would begin are dropped; `late` counts a
+    key's since the row of it before. Of a table the same rows by session windows, and none is late. A null value counts as 0,
     events without a time are left out.
     """
     value = F.coalesce(F.col(value_col).cast("double"), F.lit(0.0))
-    rows = events.select(*keys, F.col(time_col).cast("timestamp").alias("_at"), value.alias("_value")).where("_at is not null")
+    rows = events.select(*keys, F.col(time_col).cast("timestamp").alias("lumora_at"), value.alias("lumora_value")).where("lumora_at is not null")
     if not events.isStreaming:
-        found = rows.groupBy(F.session_window("_at", f"{gap_ms} milliseconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_value").alias("total"))
-        return found.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+        found = rows.groupBy(F.session_window("lumora_at", f"{gap_ms} milliseconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("lumora_value").alias("total"))
+        return found.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total", F.lit(0).cast("long").alias("late"))
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = rows.withWatermark("_at", late).withColumn("_ms", F.unix_millis("_at"))
+    rows = rows.withWatermark("lumora_at", late).withColumn("lumora_ms", F.unix_millis("lumora_at"))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start timestamp, end timestamp, n long, total double"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start timestamp, end timestamp, n long, total double, late long"
     return rows.groupBy(*keys).transformWithStateInPandas(_Sessions(gap_ms, keys), schema, outputMode="Append", timeMode="EventTime")
 
 
-def late_rows(query) -> int:
-    """Events that a query's stateful operators have dropped as later than the watermark."""
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
-
-
 def joined_streams(
     left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, *, before: str, after: str, late: str = "1 hour"
 ) -> DataFrame:
