@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.vectors import cosine
+from lumora.plans.judges import fresh
+from lumora.tables import written
 
-#: Right vectors that pivots are chosen from, and pivots at most.
-SAMPLE, PIVOTS = 2048, 128
+#: Right vectors that pivots are chosen from, pivots of a length at most, and right rows of a cell.
+SAMPLE, PIVOTS, PART = 4096, 1024, 4096
 
 
 def _unit(vectors: list[list[float]]) -> np.ndarray:
@@ -20,48 +22,70 @@ def _unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _pivots(vectors: list, threshold: float, most: int) -> np.ndarray:
+    """Points of the sample, each the farthest from those before it."""
+    x = _unit(vectors)
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < min(most, len(x)) and nearest.min() < 1 - 1e-9:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
+
+
 def embedding_join(
-    left: DataFrame, right: DataFrame, left_vector: str, right_vector: str, threshold: float, *, score: str = "score", sample: int = SAMPLE, pivots: int = PIVOTS
+    left: DataFrame, right: DataFrame, left_vector: str, right_vector: str, threshold: float, *, score: str = "score", sample: int = SAMPLE,
+    pivots: int | None = None, part: int = PART,
 ) -> DataFrame:
     """Pairs with a cosine of at least `threshold`, and the cosine; columns of both sides must differ. No pair is lost.
 
-    Pivots are points of a sample of the right side, each the farthest from those before it. A
+    Pivots are points of a sample of the right side, for each length of vectors its own: as many as the root of
+    the right rows of that length, PIVOTS at most. A
     right row lives in the cell of its nearest pivot; a left row asks the cells whose pivot
     is at most twice the threshold's angle farther from it than its nearest one, which the
-    triangle inequality of angles proves to hold all its partners. Pairs meet by cell and are
-    verified. Vectors that are null, zero or not finite, or of another length than most, have no partners.
+    triangle inequality of angles proves to hold all its partners. A cell of more than `part` right rows is
+    split by their hash and asked part by part. Pairs meet by cell and are
+    verified. Vectors that are null, zero or not finite have no partners, nor have vectors of different lengths.
     """
     sound = lambda c: F.coalesce(F.forall(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))) & F.exists(c, lambda x: x != 0), F.lit(False))
-    a, b = left.where(sound(left_vector)), right.where(sound(right_vector))
-    widths = b.groupBy(F.size(right_vector).alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
-        return left.limit(0).join(right.limit(0)).withColumn(score, F.lit(None).cast("double"))
-    a, b = a.where(F.size(left_vector) == widths[0]), b.where(F.size(right_vector) == widths[0])
-    taken = b.select(F.col(right_vector).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(sample).collect()
-    x = _unit([r[0] for r in taken])
-    chosen, nearest = [0], x @ x[0]
-    while len(chosen) < min(pivots, len(x)) and nearest.min() < 1 - 1e-9:
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
-    points, reach = x[chosen], 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    cell, split, width = fresh(left.join(right, F.lit(False)), "_cell", "_split", "_width")
+    a, b = left.where(sound(left_vector)), right.where(sound(right_vector)).withColumn(width, F.size(right_vector))
+    sizes = {r[0]: r[1] for r in b.groupBy(width).count().collect()}  # a row for each length
+    shares = {w: max(16, sample * n // sum(sizes.values())) for w, n in sizes.items()}
+    places = F.row_number().over(Window.partitionBy(width).orderBy(F.xxhash64(right_vector)))
+    share = F.coalesce(*[F.when(F.col(width) == w, n) for w, n in shares.items()], F.lit(0))
+    taken: dict[int, list] = {}
+    picked = b.select(width, F.col(right_vector).cast("array<double>").alias("v"), places.alias("k"), share.alias("n")).where(F.col("k") <= max(shares.values(), default=0))
+    for w, v in picked.where("k <= n").select(width, "v").collect():
+        taken.setdefault(w, []).append(v)
+    points, first = {}, 0
+    for w, vectors in sorted(taken.items()):
+        points[w] = (first, _pivots(vectors, threshold, pivots or min(PIVOTS, max(16, int(sizes[w] ** 0.5)))))
+        first += len(points[w][1])
+    reach = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-6
 
     def cells(column: str, asks: bool):
         def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                at = batch.schema.get_field_index(column)
-                angle = np.arccos(np.clip(_unit(batch.column(at).to_pylist()) @ points.T, -1, 1))
-                near = angle <= angle.min(axis=1, keepdims=True) + reach if asks else np.arange(angle.shape[1])[None, :] == angle.argmin(axis=1)[:, None]
-                ends = np.concatenate(([0], np.cumsum(near.sum(axis=1)))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_cells"])
+                given = batch.column(batch.schema.get_field_index(column)).to_pylist()
+                found: list[list[int]] = [[] for _ in given]
+                for w, (start, pivot) in points.items():
+                    at = [i for i, v in enumerate(given) if len(v) == w]
+                    if at:
+                        angle = np.arccos(np.clip(_unit([given[i] for i in at]) @ pivot.T, -1, 1))
+                        near = angle <= angle.min(axis=1, keepdims=True) + reach if asks else np.arange(len(pivot))[None, :] == angle.argmin(axis=1)[:, None]
+                        for i, row in zip(at, near, strict=True):
+                            found[i] = (np.flatnonzero(row) + start).tolist()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, cell])
 
         return body
 
     def placed(df: DataFrame, column: str, asks: bool) -> DataFrame:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInArrow(cells(column, asks), f"{schema}, _cells array<int>").withColumn("_cell", F.explode("_cells")).drop("_cells")
+        return df.mapInArrow(cells(column, asks), f"{schema}, `{cell}` array<int>").withColumn(cell, F.explode(cell))
 
-    met = placed(a, left_vector, True).join(placed(b, right_vector, False), "_cell").drop("_cell")
+    living = written(placed(b.drop(width), right_vector, False), "cells")
+    parts = F.broadcast(living.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / part).alias(split)))  # a row for each pivot at most
+    asking = placed(a, left_vector, True).join(parts, cell).withColumn(split, F.explode(F.sequence(F.lit(0).cast("long"), F.col(split) - 1)))
+    living = living.join(parts, cell).withColumn(split, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), split))
+    met = asking.join(living, [cell, split]).drop(cell, split)
     return met.withColumn(score, cosine(F.col(left_vector), F.col(right_vector))).where(F.col(score) >= threshold)

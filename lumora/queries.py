@@ -16,7 +16,7 @@ from lumora.operators import embedding, index, joins, relational, sketches, tabl
 from lumora.plans.judges import Field, Judge, Pairs
 from lumora.sources import scan
 from lumora.sources.catalog import Catalog
-from lumora.streaming import windows
+from lumora.streaming import state, windows
 from lumora.tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +196,13 @@ SQL_NEAR = f"""c AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i
 @query(f"""WITH {SQL_NEAR} SELECT vec_id, label, round(s * s, 6) AS score FROM (SELECT vec_id, label, list_distance(embedding::DOUBLE[], {SQL_VECTOR}) AS s FROM embeddings
            WHERE label IN (SELECT label FROM near ORDER BY d, label LIMIT 3)) ORDER BY s, vec_id LIMIT 10""")
 def topk_ivf_label(spark, sf_dir):
-    found = topk.routed_topk(Tables(spark, sf_dir).embeddings, VECTOR, 10, vector_col="embedding", id_col="vec_id", cluster_col="label", probes=3)
+    """By centroids that are stored beside the rows, which lie in a folder for each cluster: a query reads those of three."""
+    rows, place = Tables(spark, sf_dir).embeddings, new_path(spark, "clusters")
+    rows.write.partitionBy("label").parquet(f"{place}/rows")
+    topk.centroids(rows, "embedding", "label").write.parquet(f"{place}/centers")
+    stored = spark.read.schema(rows.schema).parquet(f"{place}/rows")
+    options = {"vector_col": "embedding", "id_col": "vec_id", "cluster_col": "label", "centers": spark.read.parquet(f"{place}/centers")}
+    found = topk.routed_topk(stored, VECTOR, 10, probes=3, **options)
     return found.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -476,6 +482,19 @@ def win_session(spark, sf_dir):
     return windows.sessions(Tables(spark, sf_dir).events, "6 hours", ["user_id"]).select("user_id", "n")
 
 
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+          s AS (SELECT user_id, ts, value, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+          SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of the events as a stream, by state and timers: those whose end the watermark (an hour) has passed."""
+    source, out, checkpoint = (new_path(spark, x) for x in ("events", "sessions", "progress"))
+    events = Tables(spark, sf_dir).events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.write.parquet(source)
+    stream = state.timed_sessions(windows.read_stream(spark, source, events.schema, 1000), 6 * 3600_000, ["user_id"])
+    windows.run_once(stream, out, checkpoint)
+    return spark.read.schema("user_id long, n long, total double").parquet(out).select("user_id", "n", F.round("total", 2).alias("total"))
+
+
 def stand_in(prompts: list[str]) -> list[str]:
     """Replies in the form of a model's, by fixed rules over the record in each prompt."""
     replies = []

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -80,6 +82,8 @@ def timed_sessions(events: DataFrame, gap_ms: int, keys: list[str], *, time_col:
     if not events.isStreaming:
         found = rows.groupBy(F.session_window("lumora_at", f"{gap_ms} milliseconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("lumora_value").alias("total"))
         return found.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total", F.lit(0).cast("long").alias("late"))
+    # the process that sets up a stateful processor beside the driver does not get the packages shipped to executors
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = rows.withWatermark("lumora_at", late).withColumn("lumora_ms", F.unix_millis("lumora_at"))
     kinds = dict(rows.dtypes)

@@ -94,6 +94,38 @@ def test_embedding_join_loses_no_pair(spark, threshold):
     assert joins.embedding_join(left, right.limit(0), "u", "v", threshold).count() == 0
 
 
+def test_embedding_join_of_two_lengths_and_a_hot_cell(spark):
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(40, 5)), np.concatenate([np.tile(r.normal(size=(1, 5)), (60, 1)), r.normal(size=(40, 5))])
+    c = r.normal(size=(30, 3))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*a, *c[:20]])], "_cell int, u array<double>")
+    right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*b, *c[10:]])], "_split int, v array<float>")
+    cos = lambda x, y: len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+    x, y = [*a, *c[:20]], [v.astype(np.float32).astype(float) for v in (*b, *c[10:])]
+    want = {(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if cos(p, q) is not False and cos(p, q) >= 0.6}
+    found = [(z._cell, z._split) for z in joins.embedding_join(left, right, "u", "v", 0.6, pivots=6, part=7).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("on", [["k"], []])
+def test_asof_join_of_a_hot_key(spark, on):
+    r = random.Random(6)
+    left = [("hot" if r.random() < 0.9 else r.choice(["a", None]), r.choice([None, *range(300)]), i) for i in range(400)]
+    right = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), r.choice([None, *range(0, 300, 37)]), i) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, t int, v int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        found = {z.i: z.last for z in relational.asof_join(a, b.select(*on, "t", "v"), on, "t", "v", "last").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k, t, i in left:
+        rows = [(s, v) for q, s, v in right if s is not None and t is not None and s <= t and (not on or q == k)]
+        assert found[i] == (max(rows)[1] if rows else None)
+
+
 def test_not_in_as_sql_has_it(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
     for values, want in (([1], {2}), ([1, None], set()), ([], {1, 2, None})):
