@@ -169,8 +169,8 @@ def links(fps: DataFrame, keys: list[Column], *, distance: int, n_words: int = 1
     bucket for each key. Buckets are counted first, by a hash of their key alone, and those of
     one are dropped: while the others are few, their keys are broadcast and the fingerprints
     of no other bucket are shuffled. A bucket over `part` is cut into parts, and each two of
-    them are one cell, so no task holds a bucket whole. Within a cell only a forest is
-    emitted, never all pairs of a group.
+    them are one cell, so no task holds a bucket whole. What is joined within a task's batch is
+    emitted as stars around the least, never all pairs of a group.
     """
     words = [f"w{i}" for i in range(n_words)]
     own = F.explode(F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(keys)])).alias("key")
@@ -202,9 +202,12 @@ def links(fps: DataFrame, keys: list[Column], *, distance: int, n_words: int = 1
                 p, q = _links(x[at], distance)
                 a.append(node[at][p])
                 b.append(node[at][q])
-            a, b = np.concatenate(a), np.concatenate(b)
-            keep = a != b
-            yield {"a": pa.array(a[keep]), "b": pa.array(b[keep])}
+            # each node to the least that it is joined to here: near copies meet under many keys, and their links are then the same
+            nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+            half = len(at) // 2
+            least = roots(len(nodes), at[:half], at[half:])
+            keep = least != np.arange(len(nodes))
+            yield {"a": pa.array(nodes[keep]), "b": pa.array(nodes[least[keep]])}
 
     found = cells.repartition(*key).sortWithinPartitions(*key)
     return found.mapInArrow(in_order(["a", "b"], body), "a long, b long")
