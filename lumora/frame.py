@@ -12,7 +12,7 @@ from lumora.plans.judges import Field, Judge
 
 
 class SemFrame:
-    """Each step gives a new frame over a lazy DataFrame; nothing is collected in between."""
+    """Each step gives a new frame over a DataFrame. Rules and relational steps are lazy; a step that asks a model runs its jobs when it is called."""
 
     def __init__(self, df: DataFrame, judge: Judge | None = None):
         self.df, self.judge = df, judge or Judge()
@@ -45,6 +45,10 @@ class SemFrame:
         """The rows of an index over texts that are nearest to a query's text."""
         return self._next(index.search(query, k, **options))
 
+    def sem_rank(self, task: str, k: int, **options) -> SemFrame:
+        """The k best rows (scored candidates, as of a search) by a model that ranks lists of them."""
+        return self._next(topk.judged_topk(self.df, task, k, self.judge, **options))
+
     def limit(self, n: int) -> SemFrame:
         return self._next(self.df.limit(n))
 

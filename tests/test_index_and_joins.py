@@ -149,6 +149,9 @@ def test_range_interval_and_asof_joins(spark):
     want = {(i, j) for i, a, b in spans for j, c, d in spans if a is not None and c is not None and a < b and c < d and a < d and c < b}
     found = [(x.s, x.t) for x in relational.interval_join(s, t, ("a", "b"), ("c", "d"), 2.5).collect()]
     assert set(found) == want and len(found) == len(want)
+    clash = s.withColumnRenamed("s", "_slot")
+    assert relational.range_join(p, clash, "x", "a", "b", 2.5).select("p", "_slot").count() == relational.range_join(p, s, "x", "a", "b", 2.5).count()
+    assert relational.interval_join(clash, t, ("a", "b"), ("c", "d"), 2.5).select("_slot").count() == len(want)
     left = spark.createDataFrame([("k", 1, "a"), ("k", 5, "b"), ("m", 5, "c"), (None, 5, "d"), ("k", None, "e")], "k string, t int, name string")
     right = spark.createDataFrame([("k", 1, 10), ("k", 4, 40), ("k", 4, 41), ("k", 6, 60), ("m", 6, 99), (None, 1, 7), ("k", None, 8)], "k string, t int, v int")
     assert {x.name: x.last for x in relational.asof_join(left, right, ["k"], "t", "v", "last").collect()} == {"a": 10, "b": 41, "c": None, "d": 7, "e": None}
