@@ -811,19 +811,21 @@ def sql_judged_flat_map(spark, sf_dir):
           SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, count(*) AS n, count(DISTINCT user_id) AS users, 0.0::DOUBLE AS hll_error, 0.0::DOUBLE AS median_rank_error
           FROM r JOIN e ON d >= first AND d < last GROUP BY 1, 2""")
 def approx_merged(spark, sf_dir):
-    """Sketches of each day, stored and merged over ranges of days: users (theta counts up to 4,096 exactly), the share by which HLL
-    is off beyond 3 standard errors, and by how much the median's rank is off beyond 2 per cent."""
+    """Sketches of each day, stored and merged over ranges of days: users (by theta sketches in parts of up to 4,096 users, so exactly), the
+    share by which HLL is off beyond 3 standard errors, and by how much the median's rank is off beyond 2 per cent."""
     events = Tables(spark, sf_dir).events.withColumn("day", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long"))
     path = new_path(spark, "sketches")
     sketches.sketched(events, ["day"], "user_id", "value").write.parquet(path)
     ranges = spark.createDataFrame([(0, 7), (3, 17), (0, 31), (29, 31)], "first long, last long")
     days = relational.range_join(spark.read.parquet(path), ranges, "day", "first", "last", 10)
     found = sketches.estimates(sketches.merged(days, ["first", "last"]))
+    users = sketches.counts(relational.range_join(sketches.parted(events, ["day"], "user_id"), ranges, "day", "first", "last", 10), ["first", "last"])
     exact = relational.range_join(events.select("day", "user_id", "value"), ranges, "day", "first", "last", 10).join(found.select("first", "last", F.col("quantiles")[0].alias("m")), ["first", "last"])
     exact = exact.groupBy("first", "last").agg(F.countDistinct("user_id").alias("e"), F.avg((F.col("value") <= F.col("m")).cast("double")).alias("rank"), F.avg((F.col("value") < F.col("m")).cast("double")).alias("under"))
     off = F.greatest(F.lit(0.0), F.abs(F.col("distinct_hll") / F.col("e") - 1) - 3 * 1.04 / 64)
     median = F.greatest(F.lit(0.0), F.greatest(F.lit(0.5) - F.col("rank"), F.col("under") - 0.5) - 0.02)
-    return found.join(exact, ["first", "last"]).select("first", "last", "n", F.col("distinct_theta").alias("users"), off.alias("hll_error"), median.alias("median_rank_error"))
+    found = found.join(exact, ["first", "last"]).join(users, ["first", "last"], "left")
+    return found.select("first", "last", "n", F.coalesce("distinct_values", F.lit(0).cast("long")).alias("users"), off.alias("hll_error"), median.alias("median_rank_error"))
 
 
 @query("""SELECT event_type, count(*) AS n, CAST(sum((props->>'$.k')::INT) AS BIGINT) AS k, CAST(0 AS BIGINT) AS missing, 'OBJECT<k: BIGINT>' AS shape FROM events GROUP BY 1""")

@@ -1,7 +1,9 @@
 import os
 
+import duckdb
 import pytest
 
+from lumora import queries
 from lumora.functions import variants
 from lumora.operators import sketches, table_functions
 from lumora.plans.judges import Field, Judge, Unanswered
@@ -86,6 +88,21 @@ def test_sketches_merge(spark):
     assert both.select(sketches.common(both.a, both.b)).first()[0] == 0  # users of different days differ
 
 
+def test_counts_of_parts_are_exact(spark):
+    df = spark.range(60_000).selectExpr("id % 10 AS day", "id % 15000 AS user").union(spark.createDataFrame([(3, None), (77, None)], "day long, user long"))
+    parts = sketches.parted(df, ["day"], "user")
+    assert [r.distinct_values for r in sketches.counts(parts, []).collect()] == [15_000]
+    assert {r.day: r.distinct_values for r in sketches.counts(parts, ["day"]).collect()} == {d: 1500 for d in range(10)}
+    assert sketches.parted(df.where("user is null"), ["day"], "user").isEmpty()
+
+
+def test_merged_users_beyond_a_sketch(spark, same, tmp_path):
+    spark.range(12_000).selectExpr("id % 6000 AS user_id", "double(id) AS value", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 30)) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    same(queries.QUERIES["approx_merged"](spark, str(tmp_path)), duck.sql(queries.ORACLE_SQL["approx_merged"]))
+
+
 def test_variants(spark):
     df = spark.createDataFrame([(1, '{"a": [{"b": 5}], "c": "x"}'), (2, '{"a": [], "c": 2.5}'), (3, "no json"), (4, None)], "id int, j string")
     found = variants.facts(variants.parsed(df, "j"), "variant", {"b": ("$.a[0].b", "int"), "c": ("$.c", "double")})
