@@ -786,7 +786,7 @@ def metric_rows(spark, sf_dir):
 def scan_documents(spark, sf_dir):
     """The documents as files of JSON lines, one folder a language, read back by ranges; only wanted files are opened."""
     path = new_path(spark, "files")
-    Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source").repartition("lang").write.partitionBy("lang").json(path)
+    Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source").write.partitionBy("lang").json(path)
     langs = [r[0] for r in Tables(spark, sf_dir).documents.select("lang").where("lang <> 'en'").distinct().collect()]  # a few folders
     files = reduce(DataFrame.unionByName, [scan.scan(spark, path, suffixes="json", under=f"lang={x}/", rangeBytes=str(1 << 20)) for x in langs])
     lines = files.select(F.regexp_extract("uri", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split("contents", "\n")).alias("line")).where("line <> ''")

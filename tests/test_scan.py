@@ -2,12 +2,14 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumora import queries
 from lumora.functions import variants
 from lumora.operators import sketches, table_functions
 from lumora.plans.judges import Field, Judge, Unanswered
 from lumora.sources import scan
+from tests.conftest import DATA
 
 
 @pytest.fixture
@@ -88,6 +90,14 @@ def test_sketches_merge(spark):
     assert both.select(sketches.common(both.a, both.b)).first()[0] == 0  # users of different days differ
 
 
+def test_one_language_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    spark.read.parquet(f"{DATA}/documents.parquet").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "new_path", lambda spark, what: f"{tmp_path}/{what}")
+    found = queries.QUERIES["scan_documents"](spark, str(tmp_path))
+    assert found.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{DATA}/documents.parquet").where("lang <> 'en'").count()
+    assert len(list((tmp_path / "files" / "lang=en").glob("*.json"))) > 1
+
+
 def test_counts_of_parts_are_exact(spark):
     df = spark.range(60_000).selectExpr("id % 10 AS day", "id % 15000 AS user").union(spark.createDataFrame([(3, None), (77, None)], "day long, user long"))
     parts = sketches.parted(df, ["day"], "user")
