@@ -2,8 +2,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumora.operators import topk
+from lumora.operators import topk, tree
 from lumora.operators.embedding import embed
 from lumora.operators.index import TextIndex
 from lumora.operators.tree import VectorTree
@@ -119,3 +120,24 @@ def test_listwise_judge(spark):
     with pytest.raises(ValueError):
         topk.judged_topk(df, "x", 6, Judge(model=model), text_col="text", id_col="id", size=10)
     assert topk.parse_ranking("so: [2, 0, 2]") == "[2, 0]" and topk.parse_ranking("[a]") is None and topk.parse_ranking("[-1]") is None
+
+
+def test_tree_deals_the_rows_of_one_node(spark, monkeypatch):
+    """The root's rows meet its centers in several tasks, by number or by node; the answers are the exact ones."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 4))
+    x[200:450] = x[0]  # a group that does not part
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").coalesce(1)
+    rows = df.select("id", F.col("v").alias("_unit"), F.lit("0").alias("node"))
+    table = spark.createDataFrame([("0", 1)], "node string, c int")
+    monkeypatch.setattr(tree, "SIDE", 8)
+    met = tree._met(rows, table, "node", False)
+    assert met.count() == 700 and met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400
+    monkeypatch.setattr(tree, "HELD", 0)
+    made = VectorTree.build(df, vector_col="v", id_col="id", branching=3, leaf=40)
+    assert made.rows.count() == 700 and made.nodes.where("leaf").agg(F.sum("n")).first()[0] == 700
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (x[0], x[5]):
+        scores = np.round(unit @ q / np.linalg.norm(q), 9)
+        wanted = sorted(range(700), key=lambda i: (-scores[i], i))[:7]
+        assert [r.id for r in made.search(q.tolist(), 7, vector_col="v", id_col="id").withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").collect()] == wanted
