@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.plans.judges import fresh
+from lumora.tables import sliced
 
 
 def content(text: Column) -> tuple[Column, Column]:
@@ -31,7 +32,7 @@ def embed(
     texts = df.where(F.length(f"`{text_col}`") > 0).select(*[c.alias(k) for k, c in marks.items()], text).groupBy(one, two).agg(F.min("text").alias("text"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches, batch):
             given = rows.column(2).to_pylist()
             sizes = [-(-len(x) // max_chars) for x in given]
             pieces = [x[at : at + max_chars] for x in given for at in range(0, len(x), max_chars)]

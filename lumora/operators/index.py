@@ -15,7 +15,7 @@ from lumora.operators.embedding import content, embed
 from lumora.operators.topk import centroids, clustered, routed_topk, sem_topk
 from lumora.plans.judges import fresh
 from lumora.sources.catalog import Catalog, fingerprint
-from lumora.tables import dropped, written
+from lumora.tables import dropped, sliced, written
 
 #: Characters that a model summarises at once, and of the preview that stands in for a failed summary.
 SUMMARISED, PREVIEW = 50_000, 500
@@ -72,7 +72,7 @@ def summaries(
         return found, failed
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in sliced(batches, batch):
             found, failed = whole(rows.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.string()), pa.array(failed, pa.string())], names=[one, two, made, wrong])
 

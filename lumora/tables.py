@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +60,11 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that is no longer read, on whichever store it lies."""
     store, target = _store(spark, path)
     store.delete(target, True)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes of all columns, one row at the least, so that Python's copies stay small."""
+    for batch in batches:
+        each = max(1, min(rows, chars * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, each):
+            yield batch.slice(at, each)
