@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.plans.fitting import Fitter, room
-from lumora.tables import written
+from lumora.tables import sliced, written
 
 #: Characters of an unusable reply that the next prompt quotes.
 QUOTED = 120
@@ -85,10 +85,10 @@ class Judge:
         prompt = F.concat(F.lit(f"{task}\n"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}))
         kind = F.lit(f"{parse.__name__} {context or self.context} {sides}")
         marks = {one: F.xxhash64(kind, prompt), two: F.xxhash64(prompt, kind)}
-        answers = self.answerer(task, parse, sides, context)
+        answers, size = self.answerer(task, parse, sides, context), self.batch
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, size, 1 << 62):  # the model's own batches
                 replies, errors = answers(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["one", "two", "reply", "error"]
