@@ -6,9 +6,13 @@ import gc
 import json
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -20,10 +24,13 @@ KEPT, PIECES_KEPT = 400_000, 60_000
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: White space (fixed value), and the runs between which no piece reaches: a word with its space, or white space.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_WIDE = "\x85\xa0  -     　"
+_SPACE = f"\t-\r {_WIDE}"
 RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: White space other than single blanks and line ends between words: such texts are split by RUNS.
-ODD = re.compile("[\t\x0b-\r\x85\xa0  -     　]")
+#: More than a blank or a line end between words, or either at an end of the text: such texts are split by RUNS.
+ODD = f"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\t\x0b-\r{_WIDE}]"
+#: A sign after a letter (but an apostrophe) begins a piece, so it is parted from its word, by a mark that no text split at blanks has.
+SIGN, MARK = r"(\pL)([!-&(-/:-@[-`{-~])", "\r"
 
 
 def byte_signs() -> dict[int, str]:
@@ -34,13 +41,13 @@ def byte_signs() -> dict[int, str]:
 
 
 class Encoder:
-    """encode(text): the ids as bytes, little-endian unsigned 32-bit.
+    """encode(text): the ids as bytes, little-endian unsigned 32-bit; encode_all(texts): those of many texts.
 
     The ids are those of the library's encode(text, add_special_tokens=False): an added
     token's string in a text has that token's id, unless `literal`, which makes special
     tokens' strings ordinary text. A byte-level vocabulary splits a text into pieces that
-    are merged one by one, so equal pieces are encoded once. Other vocabularies encode
-    each whole text.
+    are merged one by one, so equal pieces are encoded once, and words that many texts of a batch
+    have are looked up once. Other vocabularies encode each whole text.
     """
 
     def __init__(self, path: str, kept: int | None = None, literal: bool = False):
@@ -57,35 +64,33 @@ class Encoder:
         self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
         longest = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(longest)})")
+        self.odd = "|".join([ODD, *longest])
         signs = byte_signs()
         model = self.tokenizer.model
         model._resize_cache(0)  # the memos below serve for it
 
-        def merged(piece: str) -> bytes:
+        def mapped(piece: str) -> str:
             if piece.isascii() and piece.isprintable():
-                mapped = piece.replace(" ", signs[32])  # the other printable signs stand for themselves
-            else:
-                mapped = piece.encode().decode("latin-1").translate(signs)
-            return array("I", [x.id for x in model.tokenize(mapped)]).tobytes()
+                return piece.replace(" ", signs[32])  # the other printable signs stand for themselves
+            return piece.encode().decode("latin-1").translate(signs)
+
+        def merged(pieces: list[str]) -> list[bytes]:
+            tokenize = model.tokenize
+            return [array("I", [x.id for x in tokenize(piece)]).tobytes() for piece in map(mapped, pieces)]
 
         def split(run: str) -> bytes:
             if run[1:].isalpha() and (run[0] == " " or run[0].isalpha()):
-                return merged(run)  # one piece
+                return merged([run])[0]  # one piece
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(run)))
 
         def after_blank(word: str) -> bytes:
-            """A word after a blank; a line end stands before its word and takes no blank."""
-            if word.isalpha():
-                return merged(" " + word)
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                bare = word[:-1]
-                known = self.words.get(bare) or self.words.old.get(bare) or merged(" " + bare)
-                return known + self.pieces[word[-1]]
-            if word[0] == "\n":
+            """A word after a blank; a line end stands before its word and takes no blank, nor does what was parted from a word."""
+            if word[:1] == "\n":
                 return self.pieces["\n"] + split(word[1:])
-            return split(" " + word)
+            return split(word[1:] if word[:1] == MARK else " " + word)
 
-        self.pieces = Memo(merged, PIECES_KEPT)
+        self.merged = merged
+        self.pieces = Memo(lambda piece: merged([piece])[0], PIECES_KEPT)
         self.runs = Memo(split, PIECES_KEPT)
         self.words = Memo(after_blank, kept or KEPT)
 
@@ -100,16 +105,60 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
-        plain = text and not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and not ODD.search(text)
-        if plain and not (text[0] in " \n" or text[-1] in " \n"):
-            first, *words = text.replace("\n", " \n").split(" ")
-            found = self.runs[first] + b"".join(map(self.words.__getitem__, words))
-        else:
-            found = b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        found = b"".join(map(self.runs.__getitem__, RUNS.findall(text)))
+        self._trim()
+        return found
+
+    def _trim(self) -> None:
         self.words.trim()
         self.pieces.trim()
         self.runs.trim()
-        return found
+
+    def _after_blanks(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words after blanks: letters that are not known yet are merged in one loop."""
+        known, old = self.words, self.words.old
+        new = [x for x in words if x not in known]
+        again = [x for x in new if x in old]
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = [x for x in new if x.isalpha() and x not in old]
+        known.update(zip(new, self.merged([" " + x for x in new]), strict=True))
+        return list(map(known.__getitem__, words))
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and how many each has with it. Null is an empty text.
+
+        Words are looked up once for all texts. A text's first word, which has no blank before
+        it, its last word, after which end_id stands, and texts that are not words with single blanks
+        or line ends between them, whole, are entries of their own.
+        """
+        texts, last = texts.fill_null(""), array("I", [end_id]).tobytes()
+        odd = pc.match_substring_regex(texts, self.odd) if self.by_piece else pa.array([True] * len(texts))
+        plain = pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n")
+        split = pc.split_pattern(pc.replace_substring_regex(plain, SIGN, rf"\1 {MARK}\2"), " ")
+        starts, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        found = self._after_blanks(words)
+        heads, tails = codes[starts[:-1]].tolist(), codes[starts[1:] - 1].tolist()
+        several = np.flatnonzero(np.diff(starts) > 1)
+        codes[starts[:-1]] = np.arange(len(texts)) + len(found)
+        codes[starts[1:][several] - 1] = np.arange(len(several)) + len(found) + len(texts)
+        ends = [found[tails[i]] + last for i in several.tolist()]
+        found += [self.encode(texts[i].as_py()) if x else self.runs[words[heads[i]]] for i, x in enumerate(odd.to_pylist())]
+        for i in np.flatnonzero(np.diff(starts) == 1).tolist():
+            found[i - len(texts)] += last
+        ids = pa.array(found + ends, pa.large_binary()).take(pa.array(codes))
+        self._trim()
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[starts] // 4
+        return np.frombuffer(ids.buffers()[2], dtype="<u4")[: ends[-1]], np.diff(ends)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of a text and less than `size` bytes of further texts."""
+    part = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64) // size
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(bounds):
+        if a < b:
+            yield batch.slice(a, b - a)
 
 
 _THRESHOLD = gc.get_threshold()

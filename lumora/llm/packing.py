@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.encoding import encoder
+from lumora.llm.encoding import encoder, slices
 from lumora.llm.shared import in_order, narrowed, written
 
 #: Words that the encoder remembers for each generation: fewer than elsewhere, as pieces take memory too.
@@ -55,22 +55,21 @@ def pieces(
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own, part, seen = encoder(tokenizer, KEPT), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
+            for some in slices(batch):
+                ids, totals = own.encode_all(some.column("text"), end_id)
                 rows = []
-                some = batch.slice(at, 250)
-                for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                    ids = own.encode(text or "") + end
-                    total, start = len(ids) // 4, 0
+                for doc, total in zip(some.column("doc_id").to_pylist(), totals.tolist(), strict=True):
+                    start = 0
                     for length in cuts(total, capacity, grain):
-                        piece = ids[4 * start : 4 * (start + length)]
                         nth = seen[length] = seen.get(length, -1) + 1
-                        rows.append((doc, start, length, piece, total, part, nth))
+                        rows.append((doc, start, length, total, part, nth))
                         start += length
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
-                yield dict(zip(names, map(pa.array, columns, kinds), strict=True))
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                ends = np.cumsum(columns[2].to_numpy()) * 4
+                offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32))
+                columns.insert(3, pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(ids)]))
+                yield dict(zip(names, columns, strict=True))
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"]
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,3 +43,39 @@ def test_every_code_point():
     texts = ["".join(f"a{c}b {c}{c}\n" for c in signs[i : i + 64]) for i in range(0, len(signs), 64)]
     for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == want.ids, hex(ord(text[1]))
+
+
+def test_many_texts_at_once():
+    """Ids and lengths of a batch are the library's with the end id after each text, whatever the memo still holds."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, whole, r = encoding.Encoder(path, 50), Tokenizer.from_file(path), random.Random(4)
+    signs = [*SIGNS, *[" "] * 8, "a.", "b,c", "x.y", "..", ",.", "z?!", " ?", "e\u0301.", "1.5", "a:b", "'s.", "it's,", "w$$$", "\r", ".\n"]
+    batches = [["".join(r.choices(signs, k=r.randint(0, 12))) for _ in range(50)] + [None, ""] for _ in range(60)]
+    codes = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    every = [f"a{c}b {c} {c}.a {c}{c},\n{c}x. a{c}" for c in codes]
+    for texts in [*batches, [None], ["one"], *(every[i : i + 50_000] for i in range(0, len(every), 50_000))]:
+        ids, n = own.encode_all(pa.array(texts, pa.string()), 7)
+        want = [[*x.ids, 7] for x in whole.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [x for ids in want for x in ids]
+
+
+def test_words_are_merged_once_for_a_batch():
+    """A word is merged once for all texts of a batch, whatever sign follows it and however few the memo keeps."""
+    own, merged = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 5), []
+    make = own.merged
+    own.merged = lambda pieces: merged.extend(pieces) or make(pieces)
+    words = [f"{a}{b}" for a in ("kor", "mun", "tel", "sav") for b in ("ane", "ilo", "ush")]
+    r = random.Random(1)
+    texts = ["First " + " ".join(r.choice(words) + r.choice(["", ".", ",", "$$$"]) for _ in range(200)) for _ in range(20)]
+    own.encode_all(pa.array(texts), 0)
+    assert sorted(merged) == sorted(f" {x}" for x in [*words, "First"])
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["x" * 10] * 7 + [None, "", "y" * 1000, "z"] + ["x" * 30] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = [x.column(0).to_pylist() for x in encoding.slices(batch.slice(1), size=40)]
+    assert [x for y in found for x in y] == texts[1:]
+    assert all(sum(len(x or "") for x in y[1:]) < 40 for y in found)
+    assert not list(encoding.slices(batch.slice(0, 0)))
