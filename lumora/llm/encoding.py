@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from lumora.llm.shared import RELEASE, Memo
 
 #: Remembered words and pieces of words for each generation of a memo; two generations are held.
-KEPT, PIECES_KEPT = 400_000, 60_000
+KEPT, PIECES_KEPT = 300_000, 60_000
 
 #: How byte-level vocabularies split a text before the merges (fixed value).
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -137,6 +137,7 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring_regex(plain, SIGN, rf"\1 {MARK}\2"), " ")
         starts, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        del plain, split, coded  # copies of all texts
         found = self._after_blanks(words)
         heads, tails = codes[starts[:-1]].tolist(), codes[starts[1:] - 1].tolist()
         several = np.flatnonzero(np.diff(starts) > 1)
@@ -152,7 +153,7 @@ class Encoder:
         return np.frombuffer(ids.buffers()[2], dtype="<u4")[: ends[-1]], np.diff(ends)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of a text and less than `size` bytes of further texts."""
     part = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64) // size
     bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]

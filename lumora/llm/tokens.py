@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.encoding import encoder
+from lumora.llm.encoding import encoder, slices
 from lumora.llm.shared import in_order, narrowed
 
 #: Files whose first places are broadcast; more of them are joined by shuffle.
@@ -45,14 +45,11 @@ def write(
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                ids = [own.encode(x or "") + end for x in some.column("text").to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for some in slices(batch):
+                ids, n = own.encode_all(some.column("text"), end_id)
                 ends = np.cumsum(n)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield {
                     "doc_id": some.column("doc_id"),
