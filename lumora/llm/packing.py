@@ -15,7 +15,7 @@ from lumora.llm.encoding import encoder, slices
 from lumora.llm.shared import in_order, narrowed, written
 
 #: Words that the encoder remembers for each generation: fewer than elsewhere, as pieces take memory too.
-KEPT = 120_000
+KEPT = 60_000
 #: Rows of the counts of each length and task that are broadcast, so that ids are not shuffled; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, nth long"
