@@ -678,7 +678,8 @@ def embedding_join(spark, sf_dir):
     rows = Tables(spark, sf_dir).embeddings
     left = rows.where("label < 5").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("left_vector"))
     right = rows.where("label >= 5").select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("right_vector"))
-    return joins.embedding_join(left, right, "left_vector", "right_vector", 0.3).select("left_id", "right_id", F.round("score", 6).alias("score"))
+    found = joins.embedding_join(left, right, "left_vector", "right_vector", 0.3, vectors=False)
+    return found.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey AS id, split_part(p_type, ' ', 1) AS kind, p_size AS size FROM part WHERE split_part(p_type, ' ', 1) = 'STANDARD' OR p_size > 45")

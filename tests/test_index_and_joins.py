@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,28 @@ def test_embedding_join_of_two_lengths_and_a_hot_cell(spark):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_embedding_join_where_pivots_are_of_no_use(spark):
+    """Vectors without groups at a low threshold: all pairs are compared, as products of matrices."""
+    r = np.random.default_rng(8)
+    a, b = (r.normal(size=(3000, 64)).astype(np.float32).astype(float) for _ in range(2))
+    left = spark.createDataFrame(pd.DataFrame({"l": range(3000), "u": list(a)}), "l int, u array<float>")
+    right = spark.createDataFrame(pd.DataFrame({"r": range(3000), "v": list(b)}), "r int, v array<float>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = unit(a) @ unit(b).T
+    began = time.monotonic()
+    found = joins.embedding_join(left, right, "u", "v", 0.3, vectors=False).toPandas()
+    assert time.monotonic() - began < 60
+    assert list(found.columns) == ["l", "r", "score"] and len(found) == (want >= 0.3).sum() > 10_000
+    assert np.abs(want[found.l, found.r] - found.score).max() < 1e-12 and not found.duplicated(["l", "r"]).any()
+
+
+def test_embedding_join_of_huge_and_tiny_numbers(spark):
+    left = spark.createDataFrame([(1, [3e200, 4e200]), (2, [3e-200, 4e-200]), (3, [1.0, -1.0])], "l int, u array<double>")
+    right = spark.createDataFrame([(1, [3.0, 4.0]), (2, [4e200, 3e200]), (3, [-3.0, -4.0])], "r int, v array<double>")
+    found = {(x.l, x.r): x.score for x in joins.embedding_join(left, right, "u", "v", 0.95).collect()}
+    assert found == pytest.approx({(1, 1): 1.0, (1, 2): 0.96, (2, 1): 1.0, (2, 2): 0.96})
+
+
 @pytest.mark.parametrize("on", [["k"], []])
 def test_asof_join_of_a_hot_key(spark, on):
     r = random.Random(6)
