@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,29 +17,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key as a list of start, last (milliseconds), n and total."""
+    """Open sessions of a key, by start, as one value of arrays of start, last (milliseconds), n and total, read and written by one call each."""
 
-    SCHEMA = "start long, last long, n long, total double"
+    SCHEMA = "start array<long>, last array<long>, n array<long>, total array<double>"
 
     def __init__(self, gap: int, keys: list[str]):
         self.gap, self.keys = gap, keys
 
     def init(self, handle) -> None:
-        self.handle, self.sessions, self.late = handle, handle.getListState("sessions", self.SCHEMA), handle.getValueState("late", "n long")
+        self.handle, self.sessions, self.late = handle, handle.getValueState("open", self.SCHEMA), handle.getValueState("late", "n long")
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> list[tuple]:
+        value = self.sessions.get()
+        return list(zip(*value, strict=True)) if value else []
+
+    def _hold(self, sessions: list[tuple]) -> None:
+        """A key has one timer, for its session that ends first; later ones are set when that has gone off, so that calls grow with keys, not with sessions."""
+        if sessions:
+            self.sessions.update(tuple(map(list, zip(*sessions, strict=True))))
+            self.handle.registerTimer(sessions[0][1] + self.gap)
+        else:
+            self.sessions.clear()
+
     def _rows(self, key, sessions: list) -> Iterator[pd.DataFrame]:
         if sessions:
             late = self.late.get()[0] if self.late.exists() else 0
             self.late.clear()
             starts, lasts, n, total = zip(*sessions, strict=True)
-            at = lambda x: pd.to_datetime(pd.Series(x, dtype="int64"), unit="ms")
+            at = lambda x: np.array(x, dtype="datetime64[ms]")
             yield pd.DataFrame({k: [v] * len(n) for k, v in zip(self.keys, key, strict=True)} | {"start": at(starts), "end": at([x + self.gap for x in lasts]), "n": n, "total": total, "late": [late] + [0] * (len(n) - 1)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found, open_from, late = [tuple(x) for x in self.sessions.get()], timerValues.getCurrentWatermarkInMs() - self.gap, 0
+        found, open_from, late = self._held(), timerValues.getCurrentWatermarkInMs() - self.gap, 0
         for some in rows:
             came = [(int(t), int(t), 1, float(v)) for t, v in zip(some["lumora_ms"], some["lumora_value"], strict=True)]
             kept = [x for x in came if x[0] > open_from]
@@ -53,19 +66,14 @@ class _Sessions(StatefulProcessor):
                 merged[-1] = (a, max(b, last), m + n, s + total)
             else:
                 merged.append((start, last, n, total))
-        self.sessions.put(merged)
-        for _, last, _, _ in merged:
-            self.handle.registerTimer(last + self.gap)
+        if merged:
+            self._hold(merged)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, held = expiredTimerInfo.getExpiryTimeInMs(), [tuple(x) for x in self.sessions.get()]
-        done = [x for x in held if x[1] + self.gap <= now]  # one that went on has a later timer
-        rest = [x for x in held if x[1] + self.gap > now]
-        if rest:
-            self.sessions.put(rest)
-        else:
-            self.sessions.clear()
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        done = [x for x in held if x[1] + self.gap <= now]  # all that have ended; one that went on stays
+        self._hold([x for x in held if x[1] + self.gap > now])
         yield from self._rows(key, done)
 
 

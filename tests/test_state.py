@@ -46,6 +46,53 @@ def test_sessions_by_timers_over_triggers_and_a_restart(spark, tmp_path):
     assert {(r[0], r[3]) for r in wanted} >= {("a", 3), ("b", 1)}
 
 
+class Held:
+    """A value or list of state, and how often it was asked."""
+
+    def __init__(self, calls, empty=None):
+        self.calls, self.empty, self.value = calls, empty, empty
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        return self.value != self.empty
+
+    def update(self, value):
+        self.calls.append("put")
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = self.empty
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+        self.getListState, self.getValueState = lambda *_: Held(self.calls, []), lambda *_: Held(self.calls)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_calls_of_state_grow_with_keys_not_with_sessions():
+    class Times:
+        def __init__(self, watermark):
+            self.getCurrentWatermarkInMs = lambda: watermark
+
+    handle, processor = Handle(), state._Sessions(10, ["k"])
+    processor.init(handle)
+    rows = pd.DataFrame({"lumora_ms": [100 * i for i in range(50)] + [103], "lumora_value": [1.0] * 51})
+    assert list(processor.handleInputRows(("a",), iter([rows]), Times(0))) == []
+    assert handle.timers == [10]
+    out = [r for f in processor.handleExpiredTimer(("a",), Times(1200), None) for r in f.itertuples()]
+    assert [r.n for r in out] == [1, 2] + [1] * 10 and handle.timers == [10, 1210] and len(handle.calls) <= 5
+    assert [r.n for f in processor.handleExpiredTimer(("a",), Times(10_000), None) for r in f.itertuples()] == [1] * 38 and len(handle.timers) == 2
+
+
 def test_joined_streams_equal_the_tables(spark, tmp_path):
     a, b, out, checkpoint = (str(tmp_path / x) for x in ("a", "b", "out", "checkpoint"))
     left = lambda df: df.select("k", F.col("ts").alias("lt"), F.col("value").alias("l"))
