@@ -117,7 +117,9 @@ def sem_join(
     keys = [(of_left(x), of_right(y)) for x, y in equal]
     if rule:
         residual = rule().residual
-        found = cell_join(a, b, keys, residual(lambda c: F.col(of_left(c)), lambda c: F.col(of_right(c))) if residual else None)
+        read: tuple[dict, dict] = {}, {}  # the columns that the residual asks for, each once
+        of = [lambda c, name=name, seen=seen: F.col(seen.setdefault(name(c), name(c))) for name, seen in zip((of_left, of_right), read, strict=True)]
+        found = cell_join(a, b, keys, residual(*of) if residual else None, order=tuple(map(list, read)))
         return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
     return sem_filter(cell_join(a, b, keys), condition, judge, errors=errors, sides=(tuple(a.columns), tuple(b.columns)))
 

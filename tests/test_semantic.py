@@ -112,6 +112,20 @@ def test_join_of_hot_keys_is_dealt_by_pairs(spark):
     assert relational.cell_join(left.limit(0).withColumnRenamed("k", "a"), right, [("a", "k")]).isEmpty()
 
 
+def test_files_of_joined_pairs_are_small(spark, tmp_path):
+    """Pairs of many rows of a key that a comparison chooses: partners repeat in order, so that a pair takes little over a byte at most."""
+    rule = Judge(rules={"less": lambda: Pairs((("k", "k"),), lambda a, b: b("x") > a("x"))})
+    rows = lambda name: spark.range(4200).select(F.lit(1).alias("k"), F.col("id").alias(name), F.round(F.rand(len(name)) * 10_000, 2).alias("x"))
+    left, right = rows("one"), rows("other")
+    place = str(tmp_path / "pairs")
+    semantic.sem_join(left, right, "less", rule).write.parquet(place)
+    pairs = spark.read.parquet(place)
+    a, b = ([r.x for r in df.collect()] for df in (left, right))
+    assert pairs.count() == sum(y > x for x in a for y in b)
+    assert pairs.where("right_x > left_x").select("one", "other").distinct().count() == pairs.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1.2 * pairs.count()
+
+
 def test_aggregate_in_packs(spark, animals):
     def model(prompts):
         out = []
